@@ -317,7 +317,10 @@ def count_chunk(path: str, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if not fine.all():
         keep = fine[text]
         starts, ends, text = starts[keep], ends[keep], text[keep]
-    out = np.bincount(text, table.length[table.look(data, starts, ends)], n).astype(np.int64) if len(starts) else np.zeros(n, np.int64)
+    out = np.zeros(n, np.int64)
+    if len(starts):
+        entries = table.look(data, starts, ends)
+        out = np.bincount(text, table.length[entries], n).astype(np.int64)
     raw = data.tobytes() if not fine.all() else b""
     for i in np.flatnonzero(~fine):
         out[i] = count_text(m, raw[offs[i] : offs[i + 1]].decode())
