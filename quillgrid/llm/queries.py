@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import bpe
+from quillgrid.llm.packing import pack
 from quillgrid.llm.token_count import token_counts
+from quillgrid.llm.token_files import token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +18,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), bpe.library_path())
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), bpe.library_path(), end_id=2)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), bpe.library_path(), capacity=2048, end_id=0)
+
+
 def queries() -> dict:
-    return {"op6_token_counts": op6_token_counts}
+    return {"op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
