@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import bpe
+from quillgrid.llm.near_dup import near_duplicates
 from quillgrid.llm.packing import pack
 from quillgrid.llm.token_count import token_counts
 from quillgrid.llm.token_files import token_files
@@ -26,8 +27,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe.library_path(), capacity=2048, end_id=0)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_shingles", "kept")
+
+
 def queries() -> dict:
-    return {"op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
+    return {"op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
