@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import bpe
 from quillgrid.llm import decontaminate as clean
+from quillgrid.llm import quality_rules, rule_ensemble
 from quillgrid.llm.near_dup import near_duplicates
 from quillgrid.llm.packing import pack
 from quillgrid.llm.token_count import token_counts
@@ -37,8 +38,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "spans")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+    return quality_rules.apply(docs, model).drop("probability")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.classify(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {"op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
+    return {"op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
