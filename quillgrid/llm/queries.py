@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import bpe
 from quillgrid.llm import decontaminate as clean
-from quillgrid.llm import quality_rules, rule_ensemble
+from quillgrid.llm import quality_rules, rule_ensemble, warc
 from quillgrid.llm.near_dup import near_duplicates
 from quillgrid.llm.packing import pack
 from quillgrid.llm.token_count import token_counts
@@ -49,9 +49,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
+    return {"op3_warc_salvage": op3_warc_salvage, "op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": clean.oracle()}
+    return {"op2_decontamination": clean.oracle(), "op3_warc_salvage": warc.ORACLE}
