@@ -29,6 +29,7 @@ class Rule:
     value: str
     least: int = 1
     base: bool = False
+    strict: str = ""  # a pattern for the value that has the bound in it, for redaction; by default ``value``
 
     @property
     def pattern(self) -> str:
@@ -41,8 +42,8 @@ def either_case(word: str) -> str:
 
 _KEYS = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + either_case("api") + "_?" + either_case("key")
 RULES = (
-    Rule("assign", rf"""(?:{_KEYS})["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", 6, True),
-    Rule("access", "", "AKIA[A-Z0-9]+", 20, True),
+    Rule("assign", rf"""(?:{_KEYS})["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", 6, True, "[A-Za-z0-9+/_.=-]{6,}"),
+    Rule("access", "", "AKIA[A-Z0-9]+", 20, True, "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "", "[0-9a-f]{24,}", 24, True),
     Rule("github", "", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "", "xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -91,6 +92,10 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda acc: acc["spans"])).otherwise(none)
 
 
+def _named(place: int, kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All secrets of every text.
 
@@ -110,7 +115,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
         spans = _spans(F.col("text"), rule)
         if query is not None:
             spans = F.when(F.array_contains("rules", n), spans).otherwise(none)
-        parts.append(F.transform(spans, lambda s, n=n, rule=rule: F.struct(s["start"].alias("start"), F.lit(n).alias("place"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"))))
+        parts.append(F.transform(spans, _named(n, rule.kind)))
     return rows.select(F.col("id").alias(id_col), "text_hash", F.array_sort(F.concat(*parts)).alias("found"))
 
 
@@ -134,8 +139,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     rows = src.join(met.select(F.col("key").alias("__key"), F.col("rules").alias("__rules")).hint("shuffle_hash"), "__key", "left")
     text = F.col(text_col)
     for n, (rule, query) in enumerate(zip(rules, queries(rules))):
-        value = rule.value if rule.least <= 1 or rule.value.endswith("}") else rule.value.removesuffix("+") + "{%d,}" % (rule.least - (4 if rule.value.startswith("AKIA") else 0))
-        changed = F.regexp_replace(text, f"({rule.head})({value})", f"$1{mask}")
+        changed = F.regexp_replace(text, f"({rule.head})({rule.strict or rule.value})", f"$1{mask}")
         text = changed if query is None else F.when(F.array_contains("__rules", n), changed).otherwise(text)
     return rows.withColumn(text_col, text).select(*names)
 
