@@ -111,7 +111,7 @@ def _scan(items, size: int):
     return scan
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """Where benchmark windows occur in each text.
 
     Returns for each input row: ``id_col``, n_words, n_hit (words inside any
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if blocks == 1:
         own = spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in items.collect()))
-        out = src.mapInArrow(_scan(own, size), schema).drop("text")
+        out = src.mapInArrow(_scan(own, size), schema)
     else:
         parts = None
         src = storage.materialise(src.withColumn("row", F.struct(F.col("id"), F.monotonically_increasing_id().alias("n"))), "scanned")
@@ -144,8 +144,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         union = F.aggregate("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
         merged = merged.withColumn("spans", union).join(src.select(F.col("row").alias("id"), "text"), "id")
         counted = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + F.regexp_count(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long"))
-        out = merged.select(F.col("id.id").alias("id"), "n_words", counted.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
-    return out.withColumnRenamed("id", id_col)
+        out = merged.select(F.col("id.id").alias("id"), "n_words", counted.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans", "text")
+    return (out if keep_text else out.drop("text")).withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", share: int = 20, **names) -> DataFrame:
@@ -156,6 +156,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = 20, **names) -> DataFrame:
+    """The rows of ``docs``, with all columns, that aren't contaminated; one scan, no join."""
+    rest = [c for c in docs.columns if c != text_col]
+    src = docs.select(F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(rest))).alias("row"), docs[text_col].alias("text"))
+    found = scan(src, benchmark, id_col="row", text_col="text", keep_text=True, **names)
+    clean = found.where((F.col("n_hit") == 0) | (F.col("n_hit") * share < F.col("n_words")))
+    return clean.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns))
+
+
 def oracle(size: int = WINDOW) -> str:
     """DuckDB SQL for the contract's columns."""
     cut = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

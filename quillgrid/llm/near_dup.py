@@ -219,3 +219,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(
         F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.col("n").alias("n_shingles"), F.when(alone, True).otherwise(is_first).alias("kept"), "text_hash"
     )
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand for their class; of exact repetitions of a row, one stays."""
+    key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), h)
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").groupBy(F.col(id_col).alias("id"), "text_hash").agg(F.count("*").alias("times"))
+    kept = storage.materialise(kept.withColumn("key", key(F.col("id"), F.col("text_hash"))), "kept")
+    names = docs.columns
+    src = docs.select(F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(names))).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    src = src.withColumn("key", key(F.col("id"), F.col("text_hash"))).alias("d")
+    same = (F.col("d.key") == F.col("k.key")) & F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
+    out = src.join(kept.where("times = 1").alias("k").hint("shuffle_hash"), same, "left_semi").select("row")
+    again = kept.where("times > 1")
+    if not again.isEmpty():
+        more = src.join(again.alias("k").hint("shuffle_hash"), same, "left_semi").groupBy("id", "text_hash").agg(F.first("row").alias("row"))
+        out = out.union(more.select("row"))
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))

@@ -44,19 +44,20 @@ def condition(rule: Rule) -> Column:
     return out
 
 
-def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """``textstats.STATISTICS`` of every text; a null text counts as empty. ``also`` names columns to carry along."""
+    last = None if keep_text else -1
 
     def count(batches):
         for batch in batches:
             for part, data, offs in arrays.chunks(batch, "text"):
                 s = textstats.statistics(data, offs)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(s[k]) for k in textstats.STATISTICS)], [*part.schema.names[:-1], *textstats.STATISTICS])
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *(pa.array(s[k]) for k in textstats.STATISTICS)], [*part.schema.names[:last], *textstats.STATISTICS])
 
     kept = [docs[id_col].alias("id"), *(docs[c].alias(f"c{i}") for i, c in enumerate(also))]
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *also)]
     names = ["id", *(f"c{i}" for i in range(len(also)))]
-    schema = ", ".join([f"{n} {k}" for n, k in zip(names, kinds)] + [f"{s} double" for s in textstats.STATISTICS])
+    schema = ", ".join([f"{n} {k}" for n, k in zip(names, kinds)] + ["text string"] * keep_text + [f"{s} double" for s in textstats.STATISTICS])
     return docs.select(*kept, docs[text_col].alias("text")).mapInArrow(count, schema)
 
 
@@ -166,3 +167,11 @@ def classify(docs: DataFrame, model: Ensemble, *, id_col: str = "doc_id", text_c
     found = statistics(docs, id_col=id_col, text_col=text_col).select("id", model.score().alias("score"))
     held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
     return found.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Ensemble, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, that aren't rejected (score >= ``threshold``); one scan, no join."""
+    rest = [c for c in docs.columns if c != text_col]
+    src = docs.select(F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(rest))).alias("row"), docs[text_col].alias("text"))
+    good = statistics(src, id_col="row", text_col="text", keep_text=True).where(model.score() >= threshold)
+    return good.select(*(F.col("text").alias(c) if c == text_col else F.col(f"id.c{rest.index(c)}").alias(c) for c in docs.columns))
