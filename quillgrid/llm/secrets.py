@@ -137,11 +137,11 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     src = docs.withColumn("__key", F.xxhash64(docs[id_col].cast("string"), docs[text_col]))
     met = candidates(src.select(F.col("__key").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")), rules)
     rows = src.join(met.select(F.col("key").alias("__key"), F.col("rules").alias("__rules")).hint("shuffle_hash"), "__key", "left")
-    text = F.col(text_col)
+    text = F.col(text_col)  # a projection for each rule: nested, the expression would double with every rule
     for n, (rule, query) in enumerate(zip(rules, queries(rules))):
         changed = F.regexp_replace(text, f"({rule.head})({rule.strict or rule.value})", f"$1{mask}")
-        text = changed if query is None else F.when(F.array_contains("__rules", n), changed).otherwise(text)
-    return rows.withColumn(text_col, text).select(*names)
+        rows = rows.withColumn(text_col, changed if query is None else F.when(F.array_contains("__rules", n), changed).otherwise(text))
+    return rows.select(*names)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
