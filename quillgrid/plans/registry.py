@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
+    from quillgrid.plans import metric_queries, scalar_queries  # noqa: F401
 
 
 def queries() -> dict:
