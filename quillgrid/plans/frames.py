@@ -52,7 +52,7 @@ REVIEW = """SELECT o.o_orderkey AS _row_id, CASE WHEN o.o_orderkey % 23 = 0 THEN
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey"""
 
 #: Short texts of the awkward kinds, one for each document.
-MESSY = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('  ', substr(text, 1, 60), '  ') WHEN 1 THEN 'NaN' WHEN 2 THEN NULL WHEN 3 THEN replace(substr(text, 1, 80), ' ', '   ') WHEN 4 THEN '' WHEN 5 THEN upper(substr(text, 1, 50)) WHEN 6 THEN replace(substr(text, 1, 70), 'e', '-') ELSE substr(text, 1, 90) END AS t,
+MESSY = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('  ', substr(text, 1, 60), '  ') WHEN 1 THEN 'NaN' WHEN 2 THEN NULL WHEN 3 THEN replace(substr(text, 1, 80), ' ', '   ') WHEN 4 THEN '' WHEN 5 THEN replace(replace(substr(text, 1, 50), 'e', 'E'), 't', 'T') WHEN 6 THEN replace(substr(text, 1, 70), 'e', '-') ELSE substr(text, 1, 90) END AS t,
   CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'alpha; Beta ;alpha;; gamma  ray' WHEN 2 THEN ' ' WHEN 3 THEN concat(lang, '; ', source, ';', lang) ELSE 'Beta; delta' END AS kw1, CASE doc_id % 4 WHEN 0 THEN 'delta ;BETA' WHEN 1 THEN 'nan' WHEN 2 THEN NULL ELSE concat(source, ' ; Omega') END AS kw2,
   CASE doc_id % 11 WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN ' 0 ' WHEN 3 THEN '0.0' WHEN 4 THEN 'true' WHEN 5 THEN 'Spatial' WHEN 6 THEN 'x' WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 9 THEN '1.7' ELSE '-1' END AS flag,
   CASE doc_id % 8 WHEN 0 THEN 'u3' WHEN 1 THEN 'N10' WHEN 2 THEN ' UNKNOWN ' WHEN 3 THEN 'none' WHEN 4 THEN 'Urban_Renewal_Other' WHEN 5 THEN 'U99' WHEN 6 THEN NULL ELSE 'n2' END AS label,

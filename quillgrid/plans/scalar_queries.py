@@ -105,8 +105,8 @@ ITEMS = {
     "f57_domain_tokens": (lambda: F.array_join(text.domains("kw1", "kw2"), "|"), lst(phr(f"list_concat({multi('kw1')}, {multi('kw2')})"))),
     "f59_is_topic": (lambda: cells.is_topic(cells.topic("label")), f"{D.family('label')} IN ('urban', 'nonurban')"),
     "f60_clean_text_field": (lambda: parse.clean_area("t"), f"CASE WHEN trim(lower({tr('coalesce(t, ' + repr('') + ')')}), ' .;:') IN ('', 'null', 'none', 'n/a', 'na', 'nan', 'not mentioned', 'not specified', 'unspecified', 'unknown') THEN 'Not mentioned' ELSE {tr('coalesce(t, ' + repr('') + ')')} END"),
-    "f61_normalize_for_match": (lambda: parse.matched("t"), f"lower({tr('regexp_replace(regexp_replace(coalesce(t, ' + repr('') + '), ' + repr('[‘’“”]') + ', chr(39), ' + repr('g') + '), ' + repr(chr(92) + 's+') + ', ' + repr(' ') + ', ' + repr('g') + ')')})"),
-    "f63_has_named_anchor": (lambda: parse.has_anchor(F.coalesce("t", F.lit(""))), "len(list_filter(regexp_extract_all(coalesce(t, ''), '\\b[A-Z][A-Za-z-]+\\b'), lambda x: lower(x) NOT IN ('a', 'an', 'the', 'selected', 'local', 'urban', 'brownfield', 'ecologically', 'sensitive', 'contentious', 'case', 'study', 'city', 'site', 'area', 'municipality', 'neighborhood', 'neighbourhood', 'district', 'block', 'corridor', 'development', 'project'))) > 0"),
+    "f61_normalize_for_match": (lambda: parse.matched("t"), "lower(trim(regexp_replace(regexp_replace(coalesce(t, ''), '[‘’“”]', chr(39), 'g'), '\\s+', ' ', 'g')))"),
+    "f63_has_named_anchor": (lambda: parse.has_anchor(F.coalesce("kw1", F.lit(""))), "len(list_filter(regexp_extract_all(coalesce(kw1, ''), '\\b[A-Z][A-Za-z-]+\\b'), lambda x: lower(x) NOT IN ('a', 'an', 'the', 'selected', 'local', 'urban', 'brownfield', 'ecologically', 'sensitive', 'contentious', 'case', 'study', 'city', 'site', 'area', 'municipality', 'neighborhood', 'neighbourhood', 'district', 'block', 'corridor', 'development', 'project'))) > 0"),
     "f66_lowered_document": (lambda: text.phrase(F.concat_ws(" ", text.normalize("t"), text.normalize("kw1"))), phrase(f"({norm('t')} || ' ' || {norm('kw1')})")),
     "f67_contains_anchor": (lambda: text.contains_any(text.phrase("t"), ["tion", "ung"]), f"contains({phrase('t')}, 'tion') OR contains({phrase('t')}, 'ung')"),
     "s09_name_tokens": (lambda: F.array_join(F.array_sort(text.word_set("source")), "|"), "array_to_string(list_sort(list_distinct(regexp_extract_all(lower(source), '[a-z0-9]+'))), '|')"),
