@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from quillgrid.functions import cells, text
@@ -252,7 +254,9 @@ def l14(spark, sf):
     return cases(spark, sf).select("doc_id", C.confidence(F.col("score"), F.col("lm"), F.col("p"), F.col("strong"), F.col("b") == "Unknown", F.col("doc_id") % 30).alias("confidence"))
 
 
+@lru_cache(maxsize=2)
 def decided(spark, sf):
+    """The chain's plan is the same for all its queries; building it takes longer than small tables do."""
     return H.decide(cases(spark, sf))
 
 
