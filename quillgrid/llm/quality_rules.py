@@ -105,19 +105,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     size = KINDS * BINS
     if len(label) == 0 or len(set(label[fold != 4])) < 2 or len(set(label[fold == 4])) < 2:
         return Model(np.zeros(size, np.float32), 0.0, 0.0, 30.0, threshold)
-    feature = rows["features"].combine_chunks().flatten().to_numpy()
-    share = rows["shares"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    owner = np.repeat(np.arange(len(label)), rows["features"].combine_chunks().value_lengths().to_numpy())
-    train = fold != 4
-    own = train[owner]
-    f, s, o = feature[own], share[own], owner[own]
+    lists = rows["features"].combine_chunks()
+    feature, share = lists.flatten().to_numpy(), rows["shares"].combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(label), dtype=np.int32), lists.value_lengths().to_numpy())
+    del rows, lists
+    train = fold != 4  # other rows have no importance, so their residuals are 0
     importance = np.where(train, np.where(label == 1, 0.5 / (label[train] == 1).sum(), 0.5 / (label[train] == 0).sum()), 0)
     weights, bias, rate = np.zeros(size), 0.0, 8.0
     seen, seen_bias = np.full(size, 1e-12), 1e-12
     for _ in range(steps):
-        z = np.bincount(o, s * weights[f], len(label)) + bias
+        z = np.bincount(owner, share * weights[feature], len(label)) + bias
         r = importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
-        g = np.bincount(f, s * r[o], size) + l2 / size * weights
+        g = np.bincount(feature, share * r[owner], size) + l2 / size * weights
         seen += g * g
         seen_bias += r.sum() ** 2
         weights -= rate * g / np.sqrt(seen)
