@@ -29,6 +29,8 @@ VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/(1\.0|1\.1)\r?\n")
+#: Headers that a record has once; a second one is another record's, run into this one.
+ONCE = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: Bytes of an archive after which the next record begins a new one.
 ROLL = 64 << 20
 #: Bytes that the reader takes from the archive at a time.
@@ -93,10 +95,12 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
         if line[:1] in (b" ", b"\t") and headers:
             last = next(reversed(headers))
             headers[last] += " " + line.strip().decode("utf-8", "replace")
-        elif not colon or not name.strip():
+        elif not colon or not name.strip() or b"\r" in line or b"\n" in line:
             raise Damage("malformed header")
+        elif (key := name.strip().lower().decode("utf-8", "replace")) in headers and key in ONCE:
+            raise Damage("a header is there twice")
         else:
-            headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+            headers[key] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Damage("no content length")
