@@ -285,7 +285,10 @@ def x02(spark, sf):
     return s.agg(F.count("*").alias("allocated"), F.count_distinct("stratum").alias("strata"))
 
 
-@query("x03_stratified_sample", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM documents) JOIN (VALUES {quota}) AS q(lang, k) USING (lang) WHERE n <= k".replace("{quota}", "('en', 62), ('fr', 14), ('de', 13), ('es', 11)"))
+_QUOTA = "c AS (SELECT lang, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS q FROM documents GROUP BY lang), r AS (SELECT lang, floor(q) + CASE WHEN row_number() OVER (ORDER BY q - floor(q) DESC, n DESC) <= 100 - sum(floor(q)) OVER () THEN 1 ELSE 0 END AS k FROM c)"
+
+
+@query("x03_stratified_sample", f"WITH {_QUOTA} SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM documents) JOIN r USING (lang) WHERE n <= k")
 def x03(spark, sf):
     return X.stratified(spark.read.parquet(f"{sf}/documents.parquet"), "lang", 100, 7, "doc_id").select("doc_id", "lang")
 
