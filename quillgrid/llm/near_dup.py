@@ -119,7 +119,7 @@ def _block_links(rows: pa.Table) -> pa.Table:
     kinds, column = np.unique(column, return_inverse=True)
     shared = np.zeros((len(left), len(right)), np.float32)
     row_of = np.full(len(sets), -1)
-    step = max(64, 8_000_000 // max(1, len(sets)))
+    step = max(1, min(len(kinds), max(64, 8_000_000 // len(sets))))
     bounds = np.searchsorted(column, np.arange(0, len(kinds) + step, step))
     for a, b in zip(bounds[:-1], bounds[1:]):
         sides = []
@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     src = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
     rows = storage.materialise(src.mapInArrow(_scan, f"id {kind}, text_hash long, node long, n long, bands array<long>"), "signatures")
     some = rows.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
+    nodes = some.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.min(row).alias("first"))
     nodes = storage.materialise(nodes, "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = storage.materialise(entries.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("total")).where("cnt > 1"), "buckets")
@@ -182,8 +183,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = pairs.groupBy("leader").agg(F.count("*").alias("size"))
     parts = storage.materialise(groups.select("leader", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "parts")
     texts = src.where(F.col("text").isNotNull()).select("id", "text_hash", "text")
-    wanted = some.join(central.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("at"))
-    wanted = wanted.select("node", F.col("at.id").alias("id"), F.col("at.text_hash").alias("text_hash"))
+    wanted = nodes.join(central.select("node"), "node", "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
     found = texts.alias("t").join(wanted.hint("shuffle_hash").alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.text_hash") == F.col("w.text_hash")))
     sets = storage.materialise(found.select("w.node", "t.text").mapInArrow(_sets, "node long, items binary"), "sets", {"parquet.enable.dictionary": "false"})
 
@@ -207,13 +207,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = storage.materialise(components(more.union(stars)), "roots")
 
-    known = nodes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
-    classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = storage.materialise(known.join(classes, "root").select("node", "root", "class_id", "class_size"), "classes")
+    known = nodes.join(roots, "node", "left").select("node", "least", "copies", "first", F.coalesce("root", "node").alias("root"))
+    classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
+    named = storage.materialise(known.select("node", "root").join(classes, "root"), "classes")
     out = rows.select("id", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n").join(named, "node", "left")
-    first = named.select("node", "root").join(some.select("id", "text_hash", "node"), "node").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))).alias("first"))
-    first = storage.materialise(first, "kept")
-    out = out.join(first, "root", "left")
     alone = F.col("root").isNull()
     is_first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))
     return out.select(
