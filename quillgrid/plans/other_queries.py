@@ -180,3 +180,107 @@ def f40(spark, sf):
 @query("f13_spatial_level", f"WITH e AS ({_E}) SELECT doc_id, CASE level_truth WHEN '3. National' THEN 3 WHEN '全国' THEN 3 WHEN 'City-wide 7' THEN 7 WHEN 'level 4 of 9' THEN 4 WHEN 'Street grid' THEN 9 WHEN 'Global' THEN 1 ELSE -1 END AS level FROM e")
 def f13(spark, sf):
     return D.spark_frame(spark, sf, D.EVAL).select("doc_id", cells.level("level_truth").alias("level"))
+
+
+# --- errors, projections and small helpers ---
+
+_PROSE = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Urban renewal policy' WHEN 1 THEN 'A deep learning model' WHEN 2 THEN 'regeneration only' WHEN 3 THEN 'Historic street' WHEN 4 THEN 'contaminated soil' WHEN 5 THEN NULL ELSE 'social housing' END AS t, doc_id % 3 AS k FROM {documents}"
+_PR = D.duck(_PROSE)
+
+
+def prose(spark, sf):
+    return D.spark_frame(spark, sf, _PROSE)
+
+
+@query("f33_anchor_terms", f"SELECT doc_id, CASE t WHEN 'Urban renewal policy' THEN 'urban_renewal' WHEN 'regeneration only' THEN 'urban_regeneration' ELSE '' END AS anchors FROM ({_PR})")
+def f33(spark, sf):
+    from quillgrid.operators import errors
+
+    return prose(spark, sf).select("doc_id", F.array_join(errors.anchor_terms(F.coalesce("t", F.lit(""))), ";").alias("anchors"))
+
+
+@query("f34_error_kind", f"SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'governance_program_law_under_renewal' WHEN 1 THEN 'method_design_evaluation_under_renewal' WHEN 2 THEN 'explicit_renewal_wording_but_other_object' WHEN 3 THEN 'heritage_adaptive_reuse_public_realm' WHEN 4 THEN 'contamination_risk_history_with_renewal_area_wording' WHEN 5 THEN 'other' ELSE 'health_social_effects_under_regeneration' END AS kind FROM ({_PR})")
+def f34(spark, sf):
+    from quillgrid.operators import errors
+
+    return prose(spark, sf).select("doc_id", errors.error_kind(F.coalesce("t", F.lit(""))).alias("kind"))
+
+
+_ED = f"WITH e AS ({_E}), w AS (SELECT *, {D.binary('truth')} AS tb, {D.binary('pred')} AS pb FROM e)"
+
+
+@query("j21_error_analysis", f"{_ED}, f AS (SELECT source AS title, arg_min(coalesce(parse_reason, ''), _row_id) AS parse_reason FROM e GROUP BY 1) SELECT source AS title, CASE WHEN tb = 1 THEN 'FN' ELSE 'FP' END AS error_type, f.parse_reason FROM w JOIN f ON f.title = w.source WHERE tb <> pb AND tb IN (0, 1) AND pb IN (0, 1)")
+def j21_analysis(spark, sf):
+    from quillgrid.operators import errors
+
+    e = D.spark_frame(spark, sf, D.EVAL).withColumn("title", F.col("source")).withColumn("abstract", F.lit(""))
+    return errors.analysis(e, e, "truth", "pred").select("title", "error_type", "parse_reason")
+
+
+@query("h46_spatial_row", f"WITH e AS ({_E}) SELECT doc_id, CASE WHEN {D.text('level_truth')} = '' THEN 'Not mentioned' ELSE level_truth END AS spatial_level, CASE WHEN {D.text('area_truth')} = '' THEN 'Not mentioned' ELSE area_truth END AS spatial_desc, '0' AS is_spatial, 'Low' AS confidence FROM e")
+def h46(spark, sf):
+    from quillgrid.operators import errors
+
+    e = D.spark_frame(spark, sf, D.EVAL).select("doc_id", F.col("level_truth").alias("spatial_level"), F.col("area_truth").alias("spatial_desc"))
+    return errors.with_defaults(e, errors.SPATIAL_DEFAULTS)
+
+
+@query("h45_target_row", f"WITH e AS ({_E}) SELECT doc_id, CASE WHEN {D.text('pred_b')} = '' THEN '0' ELSE pred_b END AS final_label, CASE WHEN {D.text('parse_reason')} = '' THEN 'missing_parse_reason' ELSE parse_reason END AS parse_reason FROM e")
+def h45(spark, sf):
+    from quillgrid.operators import errors
+
+    e = D.spark_frame(spark, sf, D.EVAL).select("doc_id", F.col("pred_b").alias("final_label"), "parse_reason")
+    return errors.with_defaults(e, {"final_label": "0", "parse_reason": "missing_parse_reason"})
+
+
+@query("j10_review_frame", f"WITH t AS ({_T}) SELECT _row_id, title, lang, label AS predicted, '' AS notes FROM t")
+def j10(spark, sf):
+    from quillgrid.operators import errors
+
+    t = D.spark_frame(spark, sf, D.TITLED)
+    return errors.review_frame(t.select("_row_id", "title", "abstract", "label"), t.select("_row_id", "title", "abstract", "lang"), ["title", "lang"], {"predicted": ["final_label", "label"], "notes": ["nothing"]})
+
+
+@query("f15_same_level", f"WITH e AS ({_E}) SELECT doc_id, CASE WHEN doc_id % 8 = 0 AND doc_id % 7 = 0 THEN true ELSE NULL END AS both_national FROM e")
+def f15(spark, sf):
+    e = D.spark_frame(spark, sf, D.EVAL)
+    both = (F.col("doc_id") % 8 == 0) & (F.col("doc_id") % 7 == 0)
+    return e.select("doc_id", F.when(both, cells.same_level("level_truth", "level_pred")).alias("both_national"))
+
+
+@query("f53_redacted", "SELECT doc_id, 'write to [REDACTED] with [REDACTED] now' AS note FROM documents")
+def f53(spark, sf):
+    from quillgrid.functions import text
+
+    note = F.lit("write to some.one@example.org with sk-abcdef123456 now")
+    return read(spark, sf, "documents").select("doc_id", text.redacted(note).alias("note"))
+
+
+@query("f62_without_implicit", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'China' ELSE 'Hong Kong area' END AS area FROM documents")
+def f62(spark, sf):
+    from quillgrid.functions import parse
+
+    raw = F.when(F.col("doc_id") % 2 == 0, "China (implicit country)").otherwise("implicitly Hong Kong area.")
+    return read(spark, sf, "documents").select("doc_id", parse.without_implicit(raw).alias("area"))
+
+
+@query("f64_country_scale", "SELECT doc_id, doc_id % 3 <> 2 AS is_country, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 7 END AS scale, CASE doc_id % 3 WHEN 0 THEN false ELSE true END AS mismatch FROM documents")
+def f64(spark, sf):
+    from quillgrid.functions import parse
+
+    k = F.col("doc_id") % 3
+    area, level = F.when(k == 2, "Old Harbour").otherwise("China"), F.when(k == 0, "3. National / Single-country Scale").when(k == 1, "7. Single-city / Municipal Scale").otherwise("none")
+    return read(spark, sf, "documents").select("doc_id", parse.is_country(area).alias("is_country"), parse.scale_number(level).alias("scale"), parse.scale_mismatch(area, level).alias("mismatch"))
+
+
+@query("f47_area_fragments", "SELECT doc_id, 'Bergen|Oslo|Norway' AS parts FROM documents")
+def f47(spark, sf):
+    from quillgrid.functions import parse
+
+    return read(spark, sf, "documents").select("doc_id", F.array_join(parse.fragments(F.lit("Bergen and Oslo in Norway")), "|").alias("parts"))
+
+
+@query("f30_legacy_topic", f"WITH m AS ({_M}) SELECT doc_id, CASE {D.topic('label')} WHEN 'U3' THEN 'U2' WHEN 'N10' THEN 'N2' ELSE '' END AS legacy FROM m")
+def f30(spark, sf):
+    legacy = {"U3": "U2", "N10": "N2"}
+    return D.spark_frame(spark, sf, D.MESSY).select("doc_id", cells.looked_up(cells.topic("label"), legacy, "").alias("legacy"))
