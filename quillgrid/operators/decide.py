@@ -113,7 +113,7 @@ def has_signal(signals: Column, needle: str) -> Column:
 
 
 def signals(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Adds ``sig``: what the text and the labels say, once for all stages."""
+    """Adds, once for all stages, ``sig`` (what the text and the labels say) and the best label within either family."""
     both = text.plain(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     raw = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     df = G.with_defaults(df).withColumns({"_x": both, "_y": text.plain("title"), "_raw": raw})
@@ -127,7 +127,8 @@ def signals(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         hits(x, P.ACTIONS).alias("actions"), hits(x, P.BUILT).alias("built"), hits(x, P.POLICY).alias("policy"), any_hit(y, P.ACTIONS).alias("title_action"), any_hit(y, P.BUILT).alias("title_built"), block.alias("text_block"), F.coalesce(s("text=", F.try_element_at(first(P.RECOVERY_BLOCKS), F.lit(1))), F.lit("")).alias("recovery_block"),
         rule_confidence().alias("rule_confidence"), quality.alias("quality"), ((F.col("hint.group") == IN) & good).alias("hint_in"), ((F.col("hint.group") == OUT) & good).alias("hint_out"), G.llm_hint("llm").alias("llm"),
     )
-    return df.withColumn("sig", sig).drop("_x", "_y", "_raw")
+    df = df.withColumn("sig", sig).drop("_x", "_y", "_raw")
+    return df.withColumns({"within_in": within(F.lit(IN), None, cfg), "within_out": within(F.lit(OUT), None, cfg)})
 
 
 # --- fusion ---
@@ -273,9 +274,8 @@ def consensus(w: Column) -> Column:
 
 def resolve_unknown(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``recovery`` (path, evidence) and gives unknown decisions a topic where a rule allows it."""
-    family = F.when(F.col("sig.llm") == "1", IN).when(F.col("sig.llm") == "0", OUT).otherwise(cells.NEITHER)
-    df = df.withColumn("_w", within(family, None, cfg))
-    df = df.withColumn("_f", F.when(F.col("decision.topic") == UNKNOWN, F.coalesce(offline(), hinted(), consensus(F.col("_w")))))
+    own = F.when(F.col("sig.llm") == "1", F.col("within_in")).otherwise(F.col("within_out"))
+    df = df.withColumn("_w", own).withColumn("_f", F.when(F.col("decision.topic") == UNKNOWN, F.coalesce(offline(), hinted(), consensus(F.col("_w")))))
     d, f, hit = F.col("decision"), F.col("_f"), F.col("_f").isNotNull()
     path = F.when(d["topic"] != UNKNOWN, "not_triggered").when(hit, f["path"]).otherwise("retained_unknown")
     new = F.when(hit, decision(f["topic"], f["source"], f["reason"], f["confidence"])).otherwise(F.when(d["topic"] == UNKNOWN, decision(UNKNOWN, d["source"], d["reason"], d["confidence"], 1, d["review_reason"])).otherwise(d))
@@ -316,8 +316,7 @@ def in_scope(c: Column) -> Column:
 
 def anchor_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``guard``: a topic out of scope although a core anchor occurs is blocked, promoted, or put up for review."""
-    df = df.withColumn("_w", within(F.lit(IN), None, cfg))
-    d, g, sg, w = F.col("decision"), F.col("gate"), F.col("sig"), F.col("_w")
+    d, g, sg, w = F.col("decision"), F.col("gate"), F.col("sig"), F.col("within_in")
     given = F.filter(F.array(F.when(F.col("inner.label") == UNKNOWN, "").otherwise(F.col("inner.label")), F.col("local.label"), F.col("hint.label")), in_scope)
     good = (w["label"] != UNKNOWN) & (w["score"] >= cfg.anchor_within_score) & (w["margin"] >= cfg.anchor_within_margin)
     fallback = (F.size(given) == 0) & good
@@ -340,13 +339,12 @@ def anchor_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     blocked = decision(d["topic"], d["source"], more(d["reason"], s("anchor_guard_blocked:", m["block"])), d["confidence"], d["review_flag"], d["review_reason"])
     cases = [(~m["applies"], act("", F.lit("")), d), (m["block"] != "", act("blocked_nonurban_risk", m["block"]), blocked), (m["candidate"].isNotNull() & (F.size(m["marks"]) > 0), act("promote", why), promoted)]
     cases += [(F.size(m["marks"]) > 0, act("review", s("support_without_urban_candidate;", why)), review("support_without_urban_candidate")), (F.lit(True), act("review", F.lit("core_anchor_without_support")), review("without_support"))]
-    return df.withColumns({"guard": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_w", "_g")
+    return df.withColumns({"guard": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_g")
 
 
 def uncertain_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``doubt``: a topic out of scope that the rule stage itself wanted reviewed is promoted, blocked, reviewed or kept."""
-    df = df.withColumn("_w", within(F.lit(IN), None, cfg))
-    d, g, sg, w, n, lo = F.col("decision"), F.col("gate"), F.col("sig"), F.col("_w"), F.col("inner"), F.col("local")
+    d, g, sg, w, n, lo = F.col("decision"), F.col("gate"), F.col("sig"), F.col("within_in"), F.col("inner"), F.col("local")
     candidate_reason = F.startswith(d["reason"], F.lit("rule_local_agree:")) | F.startswith(d["reason"], F.lit("rule_high_conflict_override_local:"))
     applies = F.lit(cfg.uncertain_guard) & (cells.family(d["topic"]) == OUT) & ~F.col("rule.reason").isin(*P.HARD_NEGATIVES) & (F.col("rule.review_flag") == 1) & (d["source"] == "rule_model_fusion") & candidate_reason
     by_inner = in_scope(n["label"]) & (n["score"] >= cfg.uncertain_within_score) & (n["margin"] >= cfg.uncertain_within_margin)
@@ -373,7 +371,7 @@ def uncertain_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         (m["risky"], act("review", m["evidence"]), decision(d["topic"], "uncertain_nonurban_review", more(d["reason"], s("uncertain_nonurban_review:", m["evidence"])), d["confidence"], 1, more(d["review_reason"], "uncertain_nonurban_review"))),
         (F.lit(True), act("keep_0", keep), d),
     ]
-    return df.withColumns({"doubt": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_w", "_g")
+    return df.withColumns({"doubt": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_g")
 
 
 def rule_review(df: DataFrame) -> DataFrame:
