@@ -24,7 +24,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The contract's phrases and labels (fixed values).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, keyword (a word that every form of the family has), name, identifier. Words are separated by single spaces.
+#: label, keyword, name, identifier. Words are separated by single spaces. The keyword is the oracle's filter; not every form has it (see KEYS).
 FAMILIES = (
     ("mit", "mit", "(?:mit|expat)", "mit"),
     ("apache-2", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?", "apache 2 0"),
@@ -67,6 +67,11 @@ FAMILIES = (
     ("cc-by-nc-sa", "sa", "(?:creative commons|cc) by nc sa(?: v?[1-4] [05])?", "cc by nc sa [1-4] [05]"),
     ("cc-by-nc-nd", "nd", "(?:creative commons|cc) by nc nd(?: v?[1-4] [05])?", "cc by nc nd [1-4] [05]"),
 )
+#: Of these words, or else of the keyword alone, every form of a family's name and identifier has one.
+KEYS = {
+    "mit": "mit|expat", "gpl-2": "general|gpl", "gpl-3": "general|gpl", "lgpl-2.1": "general|lgpl", "lgpl-3": "general|lgpl", "agpl-3": "affero|agpl", "gfdl-1.3": "documentation|gfdl", "mpl-1.1": "mozilla|mpl", "mpl-2": "mozilla|mpl",
+    "epl-1": "eclipse|epl", "epl-2": "eclipse|epl", "cddl-1": "distribution|cddl", "boost-1": "boost|bsl", "eupl-1.2": "european|eupl", "ofl-1.1": "font|ofl", "ms-pl": "microsoft|ms", "ms-rl": "microsoft|ms", "psf-2": "python|psf", "odbl-1": "database|odbl", "afl-3": "academic|afl", "osl-3": "software|osl",
+}
 #: pattern ({n}: the family's name, {i}: its identifier), priority.
 FORMS = (
     ("spdx license identifier {i}", 5),
@@ -100,6 +105,7 @@ class Rule:
     keyword: str
     pattern: str
     priority: int
+    keys: tuple[str, ...]
 
 
 def _spaced(pattern: str) -> str:
@@ -108,8 +114,8 @@ def _spaced(pattern: str) -> str:
 
 
 def rules() -> list[Rule]:
-    out = [Rule(label, key, _spaced(form.format(n=name, i=ident)), priority) for label, key, name, ident in FAMILIES for form, priority in FORMS]
-    return out + [Rule(label, key, _spaced(pattern), 5 if n < 4 else 3) for n, (label, key, pattern) in enumerate(CLAUSES)]
+    out = [Rule(label, key, _spaced(form.format(n=name, i=ident)), priority, tuple(KEYS.get(label, key).split("|"))) for label, key, name, ident in FAMILIES for form, priority in FORMS]
+    return out + [Rule(label, key, _spaced(pattern), 5 if n < 4 else 3, (key,)) for n, (label, key, pattern) in enumerate(CLAUSES)]
 
 
 def _words(s: Column) -> Column:
@@ -147,8 +153,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     norm = F.regexp_replace(lowered, BREAK, "  ")  # two spaces before the first word and after the last, too
     rows = rows.withColumn("norm", F.when(gate, norm).otherwise(F.lit("")))
     rows = rows.withColumn("norm", F.when(F.length("norm") > 4, F.substring("norm", F.lit(2), F.length("norm") - 2)).otherwise(F.lit(""))).drop("text")
-    table = F.array(*(F.struct(F.lit(f" {r.keyword} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in rules()))
-    fits = F.filter(table, lambda r: F.contains("norm", r["keyword"]))
+    groups: dict[tuple[str, ...], list[Rule]] = {}
+    for r in rules():
+        groups.setdefault(r.keys, []).append(r)
+    entry = lambda r: F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"))
+    table = F.array(*(F.struct(F.array(*(F.lit(f" {k} ") for k in keys)).alias("keys"), F.array(*map(entry, rs)).alias("rules")) for keys, rs in groups.items()))
+    near = F.filter(table, lambda g: F.exists(g["keys"], lambda k: F.contains(F.col("norm"), k)))
+    fits = F.flatten(F.transform(near, lambda g: g["rules"]))
     fits = F.filter(fits, lambda r: F.rlike(F.col("norm"), r["pattern"]))
     places = lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["label"].alias("label"), r["priority"].alias("priority")))
     none = F.expr("cast(array() as array<struct<first:bigint,last:bigint,label:string,priority:int>>)")

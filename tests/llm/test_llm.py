@@ -494,3 +494,38 @@ def test_pipeline(spark):
     packed = P.pack_sequences(spark, masked, DATA)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None
+
+
+def _spellings(pattern):
+    """Every text that a pattern of words matches; its language is finite."""
+    from re import _parser as sre
+
+    def of(nodes):
+        out = [""]
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                ways = [chr(arg)]
+            elif name == "IN":
+                ways = [c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else map(chr, range(a[0], a[1] + 1)))]
+            elif name == "BRANCH":
+                ways = [w for branch in arg[1] for w in of(branch)]
+            elif name == "SUBPATTERN":
+                ways = of(arg[3])
+            else:  # ? only
+                assert arg[:2] == (0, 1)
+                ways = ["", *of(arg[2])]
+            out = [a + b for a in out for b in ways]
+        return out
+
+    return sorted(set(of(sre.parse(pattern))))
+
+
+def test_licenses_have_no_form_without_a_key(spark):
+    forms = [(label, f"licensed under the {name}") for label, _, names, _ in licenses.FAMILIES for name in _spellings(names)]
+    forms += [(label, f"spdx license identifier {i}") for label, _, _, idents in licenses.FAMILIES for i in _spellings(idents)]
+    forms += [(label, c) for label, _, clause in licenses.CLAUSES for c in _spellings(clause)]
+    rows = {r.doc_id: r.labels.split(",") for r in licenses.digest(licenses.scan(frame(spark, [t for _, t in forms]))).collect()}
+    assert not [(label, t) for i, (label, t) in enumerate(forms) if label not in rows[i]]
+    text = "Licensed under the GNU General Public License v3.0. SPDX-License-Identifier: MS-PL"
+    assert licenses.digest(licenses.scan(frame(spark, [text]))).first().labels == "gpl-3,ms-pl"
