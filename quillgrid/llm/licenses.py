@@ -95,7 +95,7 @@ CLAUSES = (
     ("cc-by", "creative", "creative commons attribution(?: [1-4] [05])?"),
 )
 #: A text with none of these (in lower case), and without "cc" as a word, can match no rule.
-ANCHORS = ("licen", "creative", "permission", "redistribution", "reserved", "public", "subject to", "governed", "accordance", "pursuant", "under", "spdx")
+ANCHORS = ("licen", "creative", "permission", "redistribution", "reserved", "public", "subject", "governed", "accordance", "pursuant", "under", "spdx")
 CONFIDENCE = {1: 0.3, 2: 0.5, 3: 0.7, 4: 0.9, 5: 0.99}
 
 

@@ -529,3 +529,10 @@ def test_licenses_have_no_form_without_a_key(spark):
     assert not [(label, t) for i, (label, t) in enumerate(forms) if label not in rows[i]]
     text = "Licensed under the GNU General Public License v3.0. SPDX-License-Identifier: MS-PL"
     assert licenses.digest(licenses.scan(frame(spark, [text]))).first().labels == "gpl-3,ms-pl"
+
+
+def test_licenses_across_breaks(spark):
+    texts = [f"{form}{gap}the{gap}mit" for form in ("subject{0}to", "governed{0}by", "in{0}accordance{0}with", "pursuant{0}to", "licensed{0}under", "covered{0}under") for gap in (" ", "\n", "  ", ",\t", " * ")]
+    texts = [t.replace("{0}", g) for t in texts for g in (" ", "\n", " - ", "\r\n# ")] + ["Use is subject\nto Apache 2.0"]
+    rows = {r.doc_id: (r.labels, r.score) for r in licenses.digest(licenses.scan(frame(spark, texts))).collect()}
+    assert [rows[i] for i in range(len(texts))] == [("mit", 0.9)] * (len(texts) - 1) + [("apache-2", 0.9)]
