@@ -60,6 +60,13 @@ def docs(spark, sf):
     return D.spark_frame(spark, sf, DOCS)
 
 
+def whole(spark, sf):
+    """Documents without a cut: the first line as the title, all after it as the abstract, and the text itself."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    line = F.substring_index("text", "\n", 1)
+    return d.select("doc_id", F.col("doc_id").alias("_row_id"), line.alias("title"), F.substring("text", F.length(line) + 2, F.length("text")).alias("abstract"), "text", "lang", "source", "n_chars")
+
+
 def scored(spark, sf):
     return L.score_topics(L.fields(docs(spark, sf)), WORDS)
 
@@ -101,14 +108,18 @@ def l07(spark, sf):
     return df.select("doc_id", F.when(best["score"] <= 0, "Unknown").otherwise(best["label"]).alias("label"), best["score"].alias("score"), F.round(F.greatest(best["score"] - second["score"], F.lit(0.0)), 4).alias("margin"))
 
 
+def first(spark, sf):
+    return L.first_stage(L.score_topics(L.fields(whole(spark, sf)), WORDS))
+
+
 def staged(spark, sf):
-    return C.second_stage(L.first_stage(scored(spark, sf)))
+    return C.second_stage(first(spark, sf))
 
 
 @query("l11_first_stage", None)
 def l11(spark, sf):
     r = F.col("rule")
-    return L.first_stage(scored(spark, sf)).select("doc_id", *(r[c].alias(c) for c in ("route", "reason", "label", "group", "score", "margin", "conflict", "review_flag", "review_reason")), F.array_join(r["top3"], "; ").alias("top3"), F.array_join(r["risk_tags"], "; ").alias("risk_tags"))
+    return first(spark, sf).select("doc_id", *(r[c].alias(c) for c in ("route", "reason", "label", "group", "score", "margin", "conflict", "review_flag", "review_reason")), F.array_join(r["top3"], "; ").alias("top3"), F.array_join(r["risk_tags"], "; ").alias("risk_tags"))
 
 
 @query("l15_second_stage", None)
@@ -355,7 +366,7 @@ def m11(spark, sf):
 
 @query("m10_map_to_fixed", None)
 def m10(spark, sf):
-    k = T.top_terms(docs(spark, sf), "doc_id", "title").groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
+    k = T.top_terms(whole(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
     m = F.col("mapping")
     return T.map_to_fixed(k, "keywords", T.seed_tokens(WORDS)).select("doc_id", m["candidate"].alias("candidate"), m["status"].alias("status"), m["score"].alias("score"))
 
@@ -372,13 +383,13 @@ def m13(spark, sf):
 
 @query("m16_enrich_clusters", None)
 def m16(spark, sf):
-    p = pooled(spark, sf).select("doc_id", "source_pool").join(docs(spark, sf), "doc_id")
-    return T.enrich(p, "doc_id", "title", WORDS).select("doc_id", "source_pool", "cluster", "cluster_size", "cluster_keywords", "mapping_status")
+    p = pooled(spark, sf).select("doc_id", "source_pool").join(whole(spark, sf), "doc_id")
+    return T.enrich(p, "doc_id", "text", WORDS).select("doc_id", "source_pool", "cluster", "cluster_size", "cluster_keywords", "mapping_status")
 
 
 @query("m06_kmeans_clusters", None)
 def m06(spark, sf):
-    return T.by_kmeans(docs(spark, sf), "doc_id", "title", T.Config(min_size=100))
+    return T.by_kmeans(whole(spark, sf), "doc_id", "text", T.Config(min_size=100))
 
 
 REFINE = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '' END AS final_label, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'N3' END AS topic_final, 'covered' AS coverage, CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE '' END AS candidate_label, CAST((doc_id % 10) / 10.0 AS STRING) AS cluster_confidence, CAST(doc_id % 40 AS STRING) AS cluster_size, 'DUR_1' AS cluster,

@@ -237,3 +237,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("st").collect())) == sorted(map(tuple, G.windowed(spark.read.parquet(str(tmp_path / "in")), **args).collect()))
+
+
+def test_whole_documents_are_classified(spark, tmp_path):
+    from quillgrid.plans import registry
+
+    filler = "zzz " * 300
+    texts = [filler, f"zzz\n{filler} the tion that renewal", f"{filler}\n the tion that renewal", f"{filler}renewal ment"]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    q = registry.queries()
+    frame = {r.doc_id: r for r in q["l11_first_stage"](spark, str(tmp_path)).collect()}
+    assert frame[0].score == 0 and all(frame[i].score > 0 for i in (1, 2, 3))
+    local = {r.doc_id: r.top3 for r in q["l15_second_stage"](spark, str(tmp_path)).collect()}
+    assert all(local[i] != local[0] for i in (1, 2, 3))
+    mapped = {r.doc_id: r.score for r in q["m10_map_to_fixed"](spark, str(tmp_path)).collect()}
+    assert mapped[0] == 0 and mapped[3] > 0
+    names = {r.doc_id: r.cluster_keywords for r in q["m16_enrich_clusters"](spark, str(tmp_path)).collect()}
+    assert any("renewal" in str(v) for v in names.values())
