@@ -33,13 +33,13 @@ def windows(text: str | None, size: int = WINDOW) -> list[str]:
     return list(dict.fromkeys(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))) if k else []
 
 
-def _automaton(items: list[tuple[str, str]], size: int):
+def _automaton(items: list[tuple[str | None, str]], size: int):
     """(automaton, words of each pattern, items of each pattern); one per worker and set of items."""
     key = hashlib.sha256(repr((size, items)).encode()).hexdigest()
     if key not in _automata:
         import ahocorasick
 
-        owners: dict[str, list[str]] = {}
+        owners: dict[str, list[str | None]] = {}
         for item, text in items:
             for w in windows(text, size):
                 owners.setdefault(w, []).append(item)
@@ -71,6 +71,10 @@ def _normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts:
     return out.tobytes().decode()
 
 
+def _nulls_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def _scan(items, size: int):
     def scan(batches):
         automaton, widths, owners = _automaton(items.value, size)
@@ -79,7 +83,7 @@ def _scan(items, size: int):
                 starts, ends, _, firsts = arrays.words(data, offs)
                 docs = len(offs) - 1
                 hit = np.zeros(len(starts) + 1, np.int32)
-                found: dict[int, set[str]] = {}
+                found: dict[int, set[str | None]] = {}
                 if automaton is not None and len(starts):
                     norm = _normalised(data, starts, ends, firsts)
                     hits = list(automaton.iter(norm))
@@ -98,13 +102,13 @@ def _scan(items, size: int):
                 spans, names = [], []
                 for t in range(docs):
                     own, where = found.get(t), []
-                    if own:
+                    if own is not None:
                         a, b = firsts[t], firsts[t + 1]
                         s, e = arrays.runs(inside[a:b], np.array([0, b - a]))
                         chars = np.concatenate([[0], np.cumsum((data[offs[t] : offs[t + 1]] & 0xC0) != 0x80)])
                         where = [{"start": int(chars[starts[a + i] - offs[t]]), "end": int(chars[ends[a + j - 1] - offs[t]])} for i, j in zip(s.tolist(), e.tolist())]
                     spans.append(where)
-                    names.append(sorted(own or ()))
+                    names.append(sorted(own or (), key=_nulls_last))
                 spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(firsts)), pa.array(total), pa.array(names, pa.list_(pa.string())), spans], ["id", "text", "n_words", "n_hit", "items", "spans"])
 
@@ -115,28 +119,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     """Where benchmark windows occur in each text.
 
     Returns for each input row: ``id_col``, n_words, n_hit (words inside any
-    occurrence), items (ids, as sorted strings, of items with occurring windows)
-    and spans (start and end of each run of hit words, in code points of the
+    occurrence), items (ids, as sorted strings, of items with occurring windows;
+    all items without an id are one null, at the end) and spans (start and end
+    of each run of hit words, in code points of the
     original text). A null or empty text has no words; items without words have
     no windows; rows and items may repeat. Documents aren't shuffled. The
     benchmark is broadcast if it is at most ``BLOCK_CHARS`` characters; a larger
     one is scanned for in blocks of about that size, one after the other.
     """
     spark = docs.sparkSession
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if blocks == 1:
-        own = spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in items.collect()))
+        own = spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in items.collect()), key=lambda x: (_nulls_last(x[0]), x[1])))
         out = src.mapInArrow(_scan(own, size), schema)
     else:
         parts = None
         src = storage.materialise(src.withColumn("row", F.struct(F.col("id"), F.monotonically_increasing_id().alias("n"))), "scanned")
         for k in range(blocks):
-            own = spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()))
+            own = spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()), key=lambda x: (_nulls_last(x[0]), x[1])))
             found = src.select(F.col("row").alias("id"), "text").mapInArrow(_scan(own, size), schema.replace(f"id {kind}", f"id struct<id:{kind},n:long>")).drop("text")
             found = storage.materialise(found, "block")
             parts = found if parts is None else parts.union(found)

@@ -536,3 +536,24 @@ def test_licenses_across_breaks(spark):
     texts = [t.replace("{0}", g) for t in texts for g in (" ", "\n", " - ", "\r\n# ")] + ["Use is subject\nto Apache 2.0"]
     rows = {r.doc_id: (r.labels, r.score) for r in licenses.digest(licenses.scan(frame(spark, texts))).collect()}
     assert [rows[i] for i in range(len(texts))] == [("mit", 0.9)] * (len(texts) - 1) + [("apache-2", 0.9)]
+
+
+def test_benchmark_items_without_an_id(spark, monkeypatch):
+    import duckdb
+
+    a, b, c = (" ".join(f"{p}{i}" for i in range(15)) for p in "abc")
+    items = [(None, a), (None, "a3 " + b), ("q", c), ("q", None), (None, None)]
+    texts = [a, f"{c} and {a}", b, c, "nothing here", "", None, "b0 " * 40]
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.sql("create table benchmark (item_id varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    con.executemany("insert into benchmark values (?, ?)", items)
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(con.sql(f"select {', '.join(cols)} from ({decontaminate.oracle()})").fetchall())
+    assert [w[2] for w in want] == [15, 30, 15, 15, 0, 0, 0, 0]
+    for most in (decontaminate.BLOCK_CHARS, 30):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", most)
+        assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).select(*cols).collect())) == want
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [4, 5, 6, 7]
