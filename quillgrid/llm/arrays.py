@@ -16,11 +16,11 @@ import pyarrow as pa
 CHUNK = 1 << 20
 _U = np.uint64
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_STEP = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_STEP), -1, 2**64))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_STEP = _U(0x9E3779B97F4A7C15)
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+_FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 512
 
 _bytes = np.arange(256)
 LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
@@ -30,17 +30,6 @@ WORD = ((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 65) & (_bytes <= 90)) | (
 DARK = ~((_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, CHUNK + 4096)
-        for k, f in (("up", _STEP), ("down", _INVERSE)):
-            p = np.full(size, f, np.uint64)
-            p[0] = 1
-            np.cumprod(p, out=p)
-            _powers[k] = p
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> _U(30))
@@ -82,13 +71,75 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    """A copy of ``data`` with eight spare bytes."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    out[: len(data)] = data
+    return out
+
+
+def strides(spare: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place but the last seven, as unaligned little-endian words."""
+    return np.ndarray((len(spare) - 7,), "<u8", spare.data, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, the same wherever the span lies."""
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_HASH[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span, the same wherever the span lies.
+
+    Eight bytes are mixed in at a time, each mixed with all before it; spans
+    beyond ``_LONG`` bytes go through xxh3. Unequal spans share a hash with a
+    chance of 2**-64; where that would give a wrong result, spans are compared
+    (``equal_spans``, ``span_ids``).
+    """
+    import xxhash
+
+    length = ends - starts
+    word = strides(padded(data))
+    h = mix(length.astype(np.uint64) * _STEP + _STEP)
+    many = np.flatnonzero((length > 0) & (length <= _LONG))
+    at, left, own = starts[many], length[many], h[many]
+    while len(many):
+        own = mix(own ^ (word[at] & _FRONT[np.minimum(left, 8)])) + _STEP
+        h[many] = own
+        on = left > 8
+        many, at, left, own = many[on], at[on] + 8, left[on] - 8, own[on]
+    for k in np.flatnonzero(length > _LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return mix(h)
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``length`` bytes at ``a`` of ``data`` and at ``b`` of ``other`` are the same.
+
+    ``other`` is ``data`` by default; one that is given has eight spare bytes at its end.
+    """
+    left = strides(padded(data))
+    right = left if other is None else strides(other)
+    same = np.ones(len(a), bool)
+    many = np.flatnonzero((length > 0) & (length <= _LONG))
+    a_, b_, n = a[many], b[many], length[many]
+    while len(many):
+        keep = _FRONT[np.minimum(n, 8)]
+        same[many] &= (left[a_] & keep) == (right[b_] & keep)
+        on = n > 8
+        many, a_, b_, n = many[on], a_[on] + 8, b_[on] + 8, n[on] - 8
+    body = data if other is None else other
+    for k in np.flatnonzero(length > _LONG).tolist():
+        same[k] = np.array_equal(data[a[k] : a[k] + length[k]], body[b[k] : b[k] + length[k]])
+    return same
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, equal for two spans exactly if their bytes are equal."""
+    _, first, ids = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    length = ends - starts
+    fine = length == length[first][ids]
+    fine[fine] = equal_spans(data, starts[fine], starts[first][ids][fine], length[fine])
+    if not fine.all():  # spans that share a hash with another one
+        own: dict[bytes, int] = {}
+        for k in np.flatnonzero(~fine).tolist():
+            ids[k] = len(first) + own.setdefault(data[starts[k] : ends[k]].tobytes(), len(own))
+    return ids
 
 
 def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = WORD, lower: bool = True):

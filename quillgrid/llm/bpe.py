@@ -1,8 +1,8 @@
 """Byte-level BPE over Arrow batches: ids and counts exactly as the tokenizers library gives them.
 
 A text is cut into pre-tokens with array operations, each pre-token is looked
-up by its hash in a bounded table, and only pre-tokens that a worker hasn't
-seen are encoded. Texts outside the character classes that the array code knows
+up in a bounded table (by its hash, then compared byte for byte), and only
+pre-tokens that a worker hasn't seen are encoded. Texts outside the character classes that the array code knows
 (scripts beyond Latin and Cyrillic, rare white space, special strings) go to an
 exact slow path whole, so every text has the library's own result.
 """
@@ -97,10 +97,10 @@ def pretokens(data: np.ndarray, offs: np.ndarray, specials: tuple[bytes, ...] =
 
 
 class Pieces:
-    """A bounded table from a pre-token's hash to what ``encode`` gives for it.
+    """A bounded table from a pre-token to what ``encode`` gives for it.
 
-    Two pre-tokens of one worker's table share a 64-bit hash with a chance of
-    about 2**-42 for each new pre-token.
+    A pre-token is found by its 64-bit hash; the table keeps the bytes of its
+    entries, and a hit counts only where they are the same.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list], bits: int = 21, most: int = 1_500_000, ids: bool = True):
@@ -110,14 +110,17 @@ class Pieces:
     def clear(self) -> None:
         size = int(self.mask) + 1
         self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        self.n, self.used = 0, 0
+        self.n, self.used, self.spelt = 0, 0, 0
         self.length, self.place = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-        self.pool = np.zeros(1 << 18, np.uint32)
+        self.size, self.spell_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.spelling = np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint8)
 
-    def _add(self, hashes: np.ndarray, found: list) -> np.ndarray:
+    def _add(self, raw: list[bytes]) -> np.ndarray:
+        """Entries for these pre-tokens; where to find them is the caller's concern."""
+        found = self.encode(raw)
         lengths = np.array([len(x) for x in found] if self.ids else found, np.int32)
         while self.n + len(found) > len(self.length):
-            self.length, self.place = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.place))
+            self.length, self.place, self.size, self.spell_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.place, self.size, self.spell_at))
         new = np.arange(self.n, self.n + len(found), dtype=np.int32)
         self.length[new] = lengths
         if self.ids:
@@ -127,17 +130,25 @@ class Pieces:
             self.pool[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
             self.place[new] = self.used + np.cumsum(lengths) - lengths
             self.used += total
+        sizes, body = np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+        while self.spelt + len(body) + 8 > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
+        self.spelling[self.spelt : self.spelt + len(body)] = body
+        self.size[new], self.spell_at[new] = sizes, self.spelt + np.cumsum(sizes) - sizes
+        self.spelt += len(body)
         self.n += len(found)
+        return new
+
+    def _file(self, hashes: np.ndarray, new: np.ndarray) -> None:
         first, second = (hashes & self.mask).astype(np.int64), ((hashes >> _U(32)) & self.mask).astype(np.int64)
         slot = np.where(self.keys[first] == 0, first, second)
         self.keys[slot], self.entry[slot] = hashes, new
         clash = self.keys[slot] != hashes  # two of these met in one slot; the later stays
         self.entry[slot[~clash]] = new[~clash]
-        return new
 
     def look(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each pre-token; valid until the next call."""
-        if self.n > self.most:
+        if self.n > self.most or self.spelt > 1 << 27:
             self.clear()
         h = arrays.span_hashes(data, starts, ends) | _U(1)
         first = (h & self.mask).astype(np.int64)
@@ -147,12 +158,24 @@ class Pieces:
             second = ((h[miss] >> _U(32)) & self.mask).astype(np.int64)
             out[miss] = self.entry[second]
             miss = miss[self.keys[second] != h[miss]]
+        raw = None
         if len(miss):
             new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
             raw = data.tobytes()
             at = miss[at]
-            found = self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            out[miss] = self._add(new, found)[back]
+            entries = self._add([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self._file(new, entries)
+            out[miss] = entries[back]
+        fine = self.size[out] == ends - starts
+        fine[fine] = arrays.equal_spans(data, starts[fine], self.spell_at[out[fine]], (ends - starts)[fine], self.spelling)
+        wrong = np.flatnonzero(~fine)
+        if len(wrong):  # another pre-token has this hash: these get entries of their own, without a place in the table
+            raw = raw or data.tobytes()
+            own: dict[bytes, list[int]] = {}
+            for k in wrong.tolist():
+                own.setdefault(raw[starts[k] : ends[k]], []).append(k)
+            for entry, places in zip(self._add(list(own)), own.values()):
+                out[places] = entry
         return out
 
     def all_ids(self, entries: np.ndarray) -> np.ndarray:

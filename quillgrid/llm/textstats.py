@@ -28,7 +28,7 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     dark = arrays.DARK[data]
     starts, ends = arrays.runs(dark, offs)
     firsts = np.searchsorted(starts, offs)
-    hashes = arrays.span_hashes(data, starts, ends)
+    word = arrays.span_ids(data, starts, ends)
     flag = lambda mask: arrays.per_text(mask.astype(np.int64), offs)
     out = {"n_words": np.diff(firsts), "word_chars": flag(dark & ((data & 0xC0) != 0x80)), "n_symbols": flag(SYMBOLS[data])}
 
@@ -41,21 +41,24 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(starts, line_to) > np.searchsorted(starts, line_from)
     line_from, line_to = line_from[has_word], line_to[has_word]
     owner = np.searchsorted(offs, line_from, "right") - 1
-    h = arrays.span_hashes(data, line_from, line_to)
+    h = arrays.span_ids(data, line_from, line_to)
     order = np.lexsort((h, owner))
     again = np.zeros(len(h), bool)
     again[1:] = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     out["n_dup_lines"] = np.bincount(owner[order][again], minlength=texts).astype(np.int64)
     out["n_lines"] = np.bincount(owner, minlength=texts).astype(np.int64)
 
-    repeated = np.zeros(len(hashes), bool)
-    if len(hashes) >= 3:
+    repeated = np.zeros(len(word), bool)
+    if len(word) >= 3:
         text = np.repeat(np.arange(texts), np.diff(firsts))
         at = np.flatnonzero(text[:-2] == text[2:])
-        w = arrays.mix(hashes[at] * _U(3) + arrays.mix(hashes[at + 1] * _U(5) + arrays.mix(hashes[at + 2])))
+        own = word.astype(np.uint64)
+        w = arrays.mix(own[at] + arrays.mix(own[at + 1] + arrays.mix(own[at + 2] + _U(1))))
         order = np.lexsort((w, text[at]))
-        same = np.zeros(len(at) + 1, bool)
-        same[1:-1] = (w[order][1:] == w[order][:-1]) & (text[at][order][1:] == text[at][order][:-1])
+        same, place = np.zeros(len(at) + 1, bool), at[order]
+        same[1:-1] = (w[order][1:] == w[order][:-1]) & (text[place[1:]] == text[place[:-1]])
+        for k in range(3):
+            same[1:-1] &= word[place[1:] + k] == word[place[:-1] + k]
         twice = at[order[same[:-1] | same[1:]]]
         for k in range(3):
             repeated[twice + k] = True
