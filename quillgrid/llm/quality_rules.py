@@ -85,12 +85,16 @@ def _sparse(batches):
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """At most ``most`` labelled texts (by a hash of their ids), with label and fold; the documents aren't shuffled.
 
-    The fold is crc32 of the id as text, modulo 5; rows of fold 0 stay out.
+    The fold is crc32 of the id as text, modulo 5; rows of fold 0 stay out. An
+    id counts once: of documents that repeat it, the one whose text hash is
+    smallest; of labels, the largest.
     """
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)).cast("int")
     some = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)").withColumn("fold", fold).where("fold <> 0")
     some = some.groupBy("id").agg(F.max("label").alias("label"), F.first("fold").alias("fold")).orderBy(F.xxhash64("id"), "id").limit(most)
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(some), "id").select("label", "fold", "text", "id")
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("hash")).join(F.broadcast(some), "id")
+    one = found.groupBy("id").agg(F.min_by(F.struct("label", "fold", "text"), F.struct("hash", "text")).alias("row"))  # at most `most` texts are shuffled, of each id's rows one a task
+    return one.select("row.label", "row.fold", "row.text", "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 3000, steps: int = 150, l2: float = 1e-4, threshold: float = 0.5) -> Model:
@@ -100,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     the rows as they are. Labels that are all alike, or none, give a model that
     keeps everything.
     """
-    rows = sample(docs, labels, id_col, text_col, label_col, most).select("label", "fold", "text").mapInArrow(_sparse, "label int, fold int, features array<int>, shares array<float>").toArrow()
+    some = sample(docs, labels, id_col, text_col, label_col, most).orderBy("id").select("label", "fold", "text")  # the same sums however the rows arrive
+    rows = some.mapInArrow(_sparse, "label int, fold int, features array<int>, shares array<float>").toArrow()
     label, fold = rows["label"].to_numpy().astype(float), rows["fold"].to_numpy()
     size = KINDS * BINS
     if len(label) == 0 or len(set(label[fold != 4])) < 2 or len(set(label[fold == 4])) < 2:

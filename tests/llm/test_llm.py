@@ -557,3 +557,50 @@ def test_benchmark_items_without_an_id(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_CHARS", most)
         assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).select(*cols).collect())) == want
     assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [4, 5, 6, 7]
+
+
+def thue_morse(n=11):
+    """Two words that polynomial hashes modulo a power of two can't tell apart."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_weak_hashes_confuse(spark, monkeypatch):
+    a, b = thue_morse()
+    texts = [f"{a} {b}", b, a, f"{a}\n{b}\n{a}", f"x {a} y x {b} y"]
+    path = bpe.library_path()
+    t = bpe.tokenizer(path)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    def check():
+        (chunk,) = arrays.chunks(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text")
+        bpe._tables.clear()
+        for _ in range(2):
+            ids, at = bpe.encode_chunk(path, *chunk[1:])
+            assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+            assert bpe.count_chunk(path, *chunk[1:]).tolist() == [len(x) for x in want]
+        c = textstats.base_counts(*chunk[1:])
+        assert c["n_dup_lines"].tolist() == [0, 0, 0, 1, 0] and c["n_repeat_words"].tolist() == [0] * 5
+
+    check()
+    monkeypatch.setattr(arrays, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    check()  # with a hash that hardly tells anything apart, too
+    bpe._tables.clear()
+    monkeypatch.undo()
+    rows = {r.doc_id: r for r in token_files.token_files(frame(spark, texts), path).collect()}
+    assert [rows[i].n_tokens for i in range(5)] == [len(x) + 1 for x in want]
+    assert [rows[i].ids_crc32 for i in range(5)] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
+    assert len({r.class_id for r in near_dup.near_duplicates(frame(spark, [a, b])).collect()}) == 2
+
+
+def test_fits_take_one_row_an_id(spark):
+    docs, labels, _ = quality_frame(spark, 120)
+    twice = docs.union(docs).union(docs.where("doc_id % 2 = 0"))
+    assert quality_rules.sample(twice, labels.union(labels), "doc_id", "text", "quality", 1000).count() == quality_rules.sample(docs, labels, "doc_id", "text", "quality", 1000).count()
+    one, two = quality_rules.fit(docs, labels), quality_rules.fit(twice.repartition(7), labels.repartition(3))
+    assert np.array_equal(one.weights, two.weights) and (one.bias, one.slope, one.shift) == (two.bias, two.slope, two.shift)
+    assert rule_ensemble.fit(docs, labels) == rule_ensemble.fit(twice, labels)
+    none = docs.limit(0)
+    assert quality_rules.apply(none, quality_rules.fit(none, labels)).count() == 0 and rule_ensemble.classify(none, rule_ensemble.fit(none, labels)).count() == 0
