@@ -1,10 +1,12 @@
 """Operator 7: secret scans through a trigram inverted index, in DataFrame functions only.
 
-Each rule's regular expression gives a Boolean trigram query (``trigrams``). One
-scan of the texts builds the posting lists of those trigrams; the lists are
-intersected for each conjunction, and the rules that a text may match are tried
-on it. A rule without mandatory trigrams (long hexadecimal runs) is tried on
-every text.
+Each rule's regular expression gives a Boolean trigram query (``trigrams``). The
+index is bit-sliced: the posting of a trigram is a Boolean column over the rows
+of a partition, whether the lower-cased text has it. Postings are intersected
+where they lie, the rarest first, so a conjunction's other trigrams are looked
+up only in texts that have that one, and neither texts nor postings are
+shuffled. Rules that a text may match are then tried on it; a rule without
+mandatory trigrams (long hexadecimal runs) is tried on every text.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm import trigrams
+from quillgrid.llm import folds, trigrams
 
 #: Marks put around matches. They are noncharacters; where a text has one, it counts as U+FFFD, which no rule matches.
 OPEN, CLOSE, INNER = "﷐", "﷑", "﷒"
@@ -58,38 +60,47 @@ def queries(rules: tuple[Rule, ...] = RULES) -> list[trigrams.Query]:
     return [trigrams.derive(r.pattern) for r in rules]
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index (gram, key) of the lower-cased texts, for the trigrams that rules ask for."""
-    there = F.filter(F.array(*(F.lit(g) for g in grams)), lambda g: F.contains("low", g))
-    return docs.select("key", F.lower("text").alias("low")).select("key", F.explode(there).alias("gram"))
+#: Letters from frequent to rare; all other characters are rarer.
+FREQUENT = "etaoinshrdlucmfwypvbgkjxqz"
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, rules: indexes of the rules whose trigram query the text meets), for rules that have one."""
-    needed = [(n, k, gram, len(c)) for n, q in enumerate(queries(rules)) if q is not None for k, c in enumerate(sorted(q, key=sorted)) for gram in sorted(c)]
-    if not needed:
-        return docs.select("key", F.array().cast("array<int>").alias("rules")).limit(0)
-    table = docs.sparkSession.createDataFrame(needed, "rule int, part int, gram string, size int")  # some hundred rows, fixed by the rules
-    found = postings(docs, sorted({g for _, _, g, _ in needed})).join(F.broadcast(table), "gram")
-    met = found.groupBy("key", "rule", "part").agg(F.count_distinct("gram").alias("n"), F.first("size").alias("size")).where("n = size")
-    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+def posting(low: Column, gram: str) -> Column:
+    """The posting of a trigram: which rows' lower-cased texts have it."""
+    return F.contains(low, F.lit(gram))
+
+
+def candidates(low: Column, query: trigrams.Query) -> Column:
+    """Which rows meet a trigram query: for one conjunction at least, they are in the postings of all its trigrams."""
+    if query is None:
+        return F.lit(True)
+    rarity = lambda g: (-sum(FREQUENT.find(c) % 64 for c in g), g)
+    out = F.lit(False)
+    for conjunction in sorted(query, key=sorted):
+        first, *rest = sorted(conjunction, key=rarity)
+        met = posting(low, first)
+        for g in rest:
+            met = met & posting(low, g)
+        out = out | met
+    return out
+
+
+def _with_candidates(rows: DataFrame, text: Column, rules: tuple[Rule, ...], name: str) -> DataFrame:
+    """Adds an array of Booleans: for each rule, whether the text may match it."""
+    low = f"{name}_low"
+    rows = rows.withColumn(low, F.lower(text))
+    return rows.withColumn(name, F.array(*(candidates(F.col(low), q) for q in queries(rules)))).drop(low)
 
 
 def _spans(text: Column, rule: Rule) -> Column:
     """The matches of a rule, leftmost and non-overlapping: array of (start, end) in code points."""
-    marked = F.regexp_replace(text, rule.pattern, f"{OPEN}$1{INNER}$2{CLOSE}")
-    parts = F.split(marked, OPEN)
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
 
-    def step(acc: Column, part: Column) -> Column:
+    def step(at: Column, part: Column):
         match = F.substring_index(part, CLOSE, 1)
-        size, value = F.length(match) - 1, F.length(F.substring_index(match, INNER, -1))
-        end = acc["at"] + size
-        span = F.struct(acc["at"].alias("start"), end.alias("end"))
-        return F.struct((acc["at"] + F.length(part) - 2).alias("at"), F.when(value >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        value = F.length(F.substring_index(match, INNER, -1))
+        return (at + F.length(part) - 2), value >= rule.least, F.struct(at.alias("start"), (at + F.length(match) - 1).alias("end"))
 
-    begin = F.struct(F.length(F.element_at(parts, 1)).cast("bigint").alias("at"), none.alias("spans"))
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda acc: acc["spans"])).otherwise(none)
+    parts = F.split(F.regexp_replace(text, rule.pattern, f"{OPEN}$1{INNER}$2{CLOSE}"), OPEN)
+    return folds.bind(parts, lambda p: folds.scan(F.slice(p, F.lit(2), F.size(p)), F.length(F.element_at(p, 1)).cast("bigint"), step, "struct<start:bigint,end:bigint>"))
 
 
 def _named(place: int, kind: str):
@@ -102,19 +113,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     Returns for each input row: ``id_col``, text_hash (xxhash64 of the text) and
     found, an array of (start, place of the kind in ``rules``, end, kind), in
     that order; offsets are code points, the end exclusive. A null text counts
-    as empty. Repeated and null ids are scanned row by row.
+    as empty. Repeated and null ids are scanned row by row; an empty table gives
+    none. Each row is handled where it lies: one scan, no shuffle.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    src = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"), F.xxhash64(docs[id_col].cast("string"), docs[text_col]).alias("key"))
-    rows = src.join(candidates(src, rules).hint("shuffle_hash"), "key", "left")
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    rows = _with_candidates(rows, F.col("text"), rules, "may")
     has_mark = F.contains("text", F.lit(OPEN)) | F.contains("text", F.lit(CLOSE)) | F.contains("text", F.lit(INNER))
     rows = rows.withColumn("text", F.when(has_mark, F.translate("text", OPEN + CLOSE + INNER, "�" * 3)).otherwise(F.col("text")))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     parts = []
-    for n, (rule, query) in enumerate(zip(rules, queries(rules))):
-        spans = _spans(F.col("text"), rule)
-        if query is not None:
-            spans = F.when(F.array_contains("rules", n), spans).otherwise(none)
+    for n, rule in enumerate(rules):
+        spans = F.when(F.col("may")[n] & F.rlike("text", F.lit(rule.pattern)), _spans(F.col("text"), rule)).otherwise(none)
         parts.append(F.transform(spans, _named(n, rule.kind)))
     return rows.select(F.col("id").alias(id_col), "text_hash", F.array_sort(F.concat(*parts)).alias("found"))
 
@@ -134,13 +144,14 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     rows are kept; a null text stays null.
     """
     names = docs.columns
-    src = docs.withColumn("__key", F.xxhash64(docs[id_col].cast("string"), docs[text_col]))
-    met = candidates(src.select(F.col("__key").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")), rules)
-    rows = src.join(met.select(F.col("key").alias("__key"), F.col("rules").alias("__rules")).hint("shuffle_hash"), "__key", "left")
+    may = "_may"
+    while any(c.lower().startswith(may) for c in names):
+        may = f"_{may}"
+    rows = _with_candidates(docs, F.coalesce(docs[text_col], F.lit("")), rules, may)
     text = F.col(text_col)  # a projection for each rule: nested, the expression would double with every rule
     for n, (rule, query) in enumerate(zip(rules, queries(rules))):
         changed = F.regexp_replace(text, f"({rule.head})({rule.strict or rule.value})", f"$1{mask}")
-        rows = rows.withColumn(text_col, changed if query is None else F.when(F.array_contains("__rules", n), changed).otherwise(text))
+        rows = rows.withColumn(text_col, changed if query is None else F.when(F.col(may)[n], changed).otherwise(text))
     return rows.select(*names)
 
 
