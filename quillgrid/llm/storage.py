@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
+#: Scratch tables that ``materialise`` has written and ``free`` hasn't removed, by session.
+_made: dict[str, list[str]] = {}
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -34,12 +36,33 @@ def new_dir(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = new_dir(df.sparkSession, label)
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_of(df: DataFrame) -> int:
+    """The bytes that the planner estimates for a table, from its files' sizes; 0 if it has no estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark(spark: SparkSession) -> int:
+    """A place in the list of scratch tables, for ``free``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def free(spark: SparkSession, since: int, keep: tuple[str, ...]) -> None:
+    """Remove the scratch tables written since a mark, but for those with the labels ``keep``, which results still read."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    kept = [p for p in made[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] in keep]
+    for p in set(made[since:]) - set(kept):
+        delete(spark, p)
+    made[since:] = kept

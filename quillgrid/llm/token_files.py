@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ from quillgrid.llm import arrays, bpe, files, storage
 class Layout:
     """How the files are laid out.
 
+    A file is closed after ``file_ids`` ids; a task is given about ``task_bytes``
+    of input, so tasks and files don't grow with the table.
+
     ``encoding``: DELTA_BINARY_PACKED packs the ids of each miniblock in as few
     bits as their differences need; None lets the writer choose a dictionary.
     A row group is closed after ``group_rows`` texts or ``group_ids`` ids,
@@ -30,26 +34,35 @@ class Layout:
     group_rows: int = 4096
     group_ids: int = 1 << 20
     page_bytes: int = 64 << 10
+    file_ids: int = 1 << 27
+    task_bytes: int = 256 << 20
     compression: str = "zstd"
 
 
-FILE_SCHEMA = pa.schema([("id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.field("element", pa.int32(), False)))])
-MANIFEST = "file string, min_id long, texts long, tokens long"
+MANIFEST = "file string, task int, number int, texts long, tokens long"
+IDS = pa.list_(pa.field("element", pa.int32(), False))
+
+
+def file_schema(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("id", kind), ("start_in_file", pa.int64()), ("n_tokens", pa.int32()), ("ids", IDS)])
 
 
 def write(docs: DataFrame, folder: str, path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", layout: Layout = Layout()) -> DataFrame:
     """Tokenise every text, append ``end_id``, and write files in ascending order of the id.
 
-    Texts are dealt by ranges of the id and sorted within each range, so file k
-    holds smaller ids than file k + 1 (rows of one id lie together). Returns the
-    manifest, a row for each file; it is written beside the files.
-    A null text counts as empty (one id: the end id). Null ids come first.
+    Texts are dealt by ranges of the id and a hash of the text and sorted within
+    each range, so files are in order by task and number (rows of one id lie
+    together, in an order of their own that is the same in every attempt; an id
+    that many rows have is dealt to many tasks). Ids of any type that sorts.
+    Returns the manifest, a row for each file; it is written beside the files,
+    and a file that isn't on it is a dead attempt's. A null text counts as empty
+    (one id: the end id). Null ids come first. An empty table gives no files.
     """
     spark = docs.sparkSession
 
     def put(batches):
-        name = f"tokens-{TaskContext.get().partitionId():06d}.parquet"
-        out, writer, done, texts, least = None, None, 0, 0, None
+        task, attempt, k = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
+        out, writer, name, done, texts = None, None, "", 0, 0
         held, held_rows, held_ids = [], 0, 0
 
         def flush():
@@ -58,15 +71,25 @@ def write(docs: DataFrame, folder: str, path: str, *, end_id: int, id_col: str =
                 writer.write_table(pa.concat_tables(held).combine_chunks(), row_group_size=max(1, held_rows))
             held, held_rows, held_ids = [], 0, 0
 
+        def close():
+            nonlocal out, k
+            flush()
+            writer.close()
+            out.close()
+            out, k = None, k + 1
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([texts], pa.int64()), pa.array([done], pa.int64())], ["file", "task", "number", "texts", "tokens"])
+
         for batch in batches:
             for part, data, offs in arrays.chunks(batch, "text"):
+                schema = file_schema(part.column(0).type)
                 if out is None:
+                    name, done, texts = f"tokens-{task:06d}-{attempt}-{k:05d}.parquet", 0, 0
                     out = files.Atomic(folder, name)
+                    packed = {c: "DELTA_BINARY_PACKED" for c in ("id", "start_in_file", "n_tokens") if pa.types.is_integer(schema.field(c).type)}
                     writer = pq.ParquetWriter(
-                        out.out, FILE_SCHEMA, compression=layout.compression, use_dictionary=layout.encoding is None and ["ids.list.element"], column_encoding=layout.encoding and {"ids.list.element": layout.encoding, "id": "DELTA_BINARY_PACKED", "start_in_file": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"},
+                        out.out, schema, compression=layout.compression, use_dictionary=layout.encoding is None and ["ids.list.element"], column_encoding=layout.encoding and {"ids.list.element": layout.encoding, **packed},
                         write_page_index=True, data_page_size=layout.page_bytes, write_statistics=["id", "start_in_file", "n_tokens"],
                     )
-                    least = part.column(0)[0].as_py()
                 ids, places = bpe.encode_chunk(path, data, offs)
                 lengths = np.diff(places)
                 n = len(lengths)
@@ -76,35 +99,36 @@ def write(docs: DataFrame, folder: str, path: str, *, end_id: int, id_col: str =
                 mark[ends - 1] = True
                 body[mark], body[~mark] = end_id, ids
                 rows = pa.Table.from_arrays(
-                    [part.column(0), pa.array(done + ends - lengths - 1), pa.array((lengths + 1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(body), type=FILE_SCHEMA.field("ids").type)], schema=FILE_SCHEMA
+                    [part.column(0), pa.array(done + ends - lengths - 1), pa.array((lengths + 1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(body), type=IDS)], schema=schema
                 )
                 done, texts = done + len(body), texts + n
                 held.append(rows)
                 held_rows, held_ids = held_rows + n, held_ids + len(body)
                 if held_rows >= layout.group_rows or held_ids >= layout.group_ids:
                     flush()
+                if done >= layout.file_ids:
+                    yield close()
         if out is not None:
-            flush()
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([least], pa.int64()), pa.array([texts]), pa.array([done])], ["file", "min_id", "texts", "tokens"])
+            yield close()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id")
+    src = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-storage.size_of(docs) // layout.task_bytes))
+    src = src.repartitionByRange(parts, "id", "hash").sortWithinPartitions("id", "hash", "text").drop("hash")
     src.mapInArrow(put, MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def read(manifest: DataFrame, folder: str, *, with_ids: bool = True) -> DataFrame:
+def read(manifest: DataFrame, folder: str, *, with_ids: bool = True, id_type: str = "long") -> DataFrame:
     """The texts of written files: id, start (ids of all texts before it), n_tokens and, if asked for, ids.
 
     Without ids only the metadata columns' pages are read. The manifest has a
     row for each file; its running sum is the one step that isn't dealt out.
+    ``id_type``: the type of the ids.
     """
     spark = manifest.sparkSession
-    order = Window.orderBy(F.col("min_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
-    schema = "id long, start_in_file long, n_tokens int" + (", ids array<int>" if with_ids else "")
+    schema = f"id {id_type}, start_in_file long, n_tokens int" + (", ids array<int>" if with_ids else "")
     rows = spark.read.schema(schema).option("pathGlobFilter", "tokens-*.parquet").parquet(folder)
     rows = rows.withColumn("file", F.col("_metadata.file_name"))
     return rows.join(F.broadcast(base) if _small(manifest) else base, "file").select("id", (F.col("before") + F.col("start_in_file")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), *(["ids"] if with_ids else []))
@@ -125,11 +149,12 @@ def checksums(tokens: DataFrame, id_col: str) -> DataFrame:
             crc = [zlib.crc32(body[4 * i : 4 * j]) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("id", "start", "n_tokens", "ids").mapInArrow(digest, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    kind = tokens.schema["id"].dataType.simpleString()
+    return tokens.select("id", "start", "n_tokens", "ids").mapInArrow(digest, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, layout: Layout = Layout()) -> DataFrame:
     """Write the token files of ``docs`` and return a digest row for each text, from the files."""
     folder = folder or storage.new_dir(docs.sparkSession, "token-files")
     manifest = write(docs, folder, path, end_id=end_id, id_col=id_col, text_col=text_col, layout=layout)
-    return checksums(read(manifest, folder), id_col)
+    return checksums(read(manifest, folder, id_type=docs.schema[id_col].dataType.simpleString()), id_col)
