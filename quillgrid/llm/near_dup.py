@@ -4,18 +4,22 @@ Texts become multisets of five-word shingles of lower-cased words. Texts with
 equal multisets are one *node* from then on. Nodes get a signature
 (``bagminhash``), 32 bands of 4 components: a pair of similarity 0.8 shares no
 band with a chance of (1 - 0.8**4)**32, about 5e-8. Buckets are settled in two
-steps, both exact:
+steps:
 
 1. *Leaders.* Each bucket's most central node is compared with all others of
    the bucket, a row for each pair of nodes. That joins a group of near copies
    of any size with as many comparisons as it has members.
 2. *Blocks.* Pairs within a bucket that step 1 left in different components are
-   compared block against block inside a task, as matrix products over shared
-   shingles. Only links that join two components come out, so no task emits
-   pairs of a group, and no pair of a bucket stays unverified.
+   looked at block against block inside a task. First by signatures alone, half
+   a kilobyte a node: a pair stays in play if its sizes allow the similarity, if
+   no earlier band has it too, and if at least ``AGREE`` components agree (a pair
+   of similarity 0.8 has fewer with a chance of 4e-8). Shingle sets go only to
+   the nodes of pairs in play, and these are verified exactly, as matrix
+   products over shared shingles. Only links that join two components come out,
+   so no task emits the pairs of a group.
 
 Hot buckets are dealt out: leaders' members are salted by the size of the group,
-blocks hold a bounded number of nodes and shingles.
+blocks hold a bounded number of nodes, and of shingles where they have any.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from quillgrid.llm.components import components
 SHINGLE, SIMILARITY, SIZE, ROWS = 5, 0.8, 128, 4
 #: Nodes and shingles of a block; members of a salted part of a leader's group.
 BLOCK_NODES, BLOCK_SHINGLES, PART = 1024, 2_000_000, 2000
+#: Of ``SIZE`` components, so many agree in a pair that is looked at further.
+AGREE = 77
 FAR_ID = 2**63 - 1
 
 
@@ -49,10 +55,11 @@ def _scan(batches):
             first = np.searchsorted(o, np.arange(n + 1))
             total = arrays.per_text(c, first)
             node = arrays.mix(arrays.per_text(arrays.mix(v) * c.astype(np.uint64), first) + total.astype(np.uint64)).view(np.int64)
-            keys = bag.bands(bag.signatures(v, o, c, n, SIZE), ROWS)
+            signature = bag.signatures(v, o, c, n, SIZE)
+            keys = bag.bands(signature, ROWS)
             some = total > 0
             at = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(total), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel()))], ["id", "text_hash", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(total), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.array([x.tobytes() for x in signature], pa.binary())], ["id", "text_hash", "node", "n", "bands", "signature"])
 
 
 def _expanded(v: np.ndarray, o: np.ndarray, c: np.ndarray, texts: int) -> list[bytes]:
@@ -99,13 +106,35 @@ def _against_leader(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
 
+def _in_play(rows: pa.Table) -> pa.Table:
+    """Of one pair of blocks (columns i, j, block, band, node, root, n, signature): the nodes of pairs that need verification."""
+    i, j, band = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["band"][0].as_py()
+    block, roots, sizes = rows["block"].to_numpy(), rows["root"].to_numpy(), rows["n"].to_numpy()
+    signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(len(block), SIZE)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = sizes[left][:, None], sizes[right][None, :]
+    want = (roots[left][:, None] != roots[right][None, :]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+    agree = np.zeros(want.shape, np.uint8)
+    for k in range(SIZE // ROWS):
+        together = np.ones(want.shape, bool)
+        for c in range(k * ROWS, (k + 1) * ROWS):
+            same = signature[left, c][:, None] == signature[right, c][None, :]
+            agree += same
+            together &= same
+        if k < band:
+            want &= ~together
+    want &= agree >= AGREE
+    some = np.zeros(len(block), bool)
+    some[left[want.any(1)]] = some[right[want.any(0)]] = True
+    return rows.filter(pa.array(some)).drop_columns(["signature"])
+
+
 def _block_links(rows: pa.Table) -> pa.Table:
-    """Links between components of one pair of blocks (columns i, j, block, node, root, items), enough to join them all."""
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    """Links between components of a pair of (pieces of) blocks, 0 and 1 (columns block, node, root, items), enough to join them all."""
     block, nodes, roots = rows["block"].to_numpy(), rows["node"].to_numpy(), rows["root"].to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
     sizes = np.array([len(s) for s in sets])
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    left, right = np.flatnonzero(block == 0), np.flatnonzero(block == 1)
     owner = np.repeat(np.arange(len(sets)), sizes)
     items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     order = np.argsort(items, kind="stable")
@@ -166,14 +195,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     a chance of n**2 / 2**65.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    since = storage.mark(docs.sparkSession)
     src = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
-    rows = storage.materialise(src.mapInArrow(_scan, f"id {kind}, text_hash long, node long, n long, bands array<long>"), "signatures")
+    rows = storage.materialise(src.mapInArrow(_scan, f"id {kind}, text_hash long, node long, n long, bands array<long>, signature binary"), "signatures")
     some = rows.where("n > 0")
     row = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
-    nodes = some.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.min(row).alias("first"))
+    nodes = some.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.min(row).alias("first"))
     nodes = storage.materialise(nodes, "nodes")
-    entries = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = storage.materialise(entries.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("total")).where("cnt > 1"), "buckets")
+    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    shared = storage.materialise(entries.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1"), "buckets")
     entries = storage.materialise(entries.join(shared, "key"), "entries")
 
     central = entries.groupBy("node").agg(F.sum(F.log2("cnt")).alias("weight"))
@@ -195,13 +225,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = storage.materialise(both.mapInArrow(_against_leader, "a long, b long"), "links")
     roots = storage.materialise(components(links), "roots")
 
-    placed = entries.join(roots, "node", "left").select("key", "node", "cnt", "total", F.coalesce("root", "node").alias("root"))
+    placed = entries.join(roots, "node", "left").select("key", "node", "cnt", "n", "band", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    blocks = F.greatest(F.ceil(F.col("cnt") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.ceil(F.col("cnt") / BLOCK_NODES).cast("int")
     left = placed.join(storage.materialise(mixed, "mixed"), "key", "left_semi").where("cnt > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sets, "node")
-    more = left.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node", "root", "n").join(nodes.select("node", "signature"), "node")
+    left = left.select("key", "i", "j", "block", "band", "node", "root", "n", "signature")
+    play = left.groupBy("key", "i", "j").applyInArrow(_in_play, "key long, i int, j int, block int, band int, node long, root long, n long")
+    play = storage.materialise(play, "in-play")
+    load = play.groupBy("key", "i", "j").agg(F.sum("n").alias("load"))
+    pieces = F.ceil(F.col("load") / BLOCK_SHINGLES).cast("int")  # of each side, where a pair of blocks has too many shingles for one task
+    play = play.join(load, ["key", "i", "j"]).withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("node", F.lit(1)), "pieces").cast("int"))
+    play = play.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    first = play.where("block = i").select("key", "i", "j", F.col("piece").alias("p"), F.col("other").alias("q"), "node", "root", F.lit(0).alias("block"))
+    second = play.where("block = j").select("key", "i", "j", F.col("other").alias("p"), F.col("piece").alias("q"), "node", "root", F.lit(1).alias("block"))
+    both = first.union(second).join(sets, "node").select("key", "i", "j", "p", "q", "block", "node", "root", "items")
+    more = both.groupBy("key", "i", "j", "p", "q").applyInArrow(_block_links, "a long, b long")
     more = storage.materialise(more, "links")
     if not more.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -210,6 +250,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = nodes.join(roots, "node", "left").select("node", "least", "copies", "first", F.coalesce("root", "node").alias("root"))
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
     named = storage.materialise(known.select("node", "root").join(classes, "root"), "classes")
+    storage.free(docs.sparkSession, since, ("signatures", "classes"))
     out = rows.select("id", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n").join(named, "node", "left")
     alone = F.col("root").isNull()
     is_first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))
