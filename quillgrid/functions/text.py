@@ -16,6 +16,16 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def seal(c: Column) -> Column:
+    """The same value, but an expression that the optimiser doesn't copy into each place that reads a field of it."""
+    return F.element_at(F.array(c), 1)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for each row, in lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), _EDGE, "")
 
@@ -93,11 +103,11 @@ def key(c: Column | str) -> Column:
 
 def contained(text: Column, terms: Sequence[str]) -> Column:
     """Which of the terms a text contains, in their order."""
-    return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(text, t)) if terms else F.array().cast("array<string>")
+    return bind(text, lambda x: F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(x, t))) if terms else F.array().cast("array<string>")
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    return F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(text, t)) if terms else F.lit(False)
+    return bind(text, lambda x: F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(x, t))) if terms else F.lit(False)
 
 
 def word_set(c: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import cells
 from quillgrid.operators.align import share
+from quillgrid.operators.metrics import numbered
 
 TOTAL, NOT_MENTIONED = "Total", "Not mentioned"
 #: Levels that are written in two ways (fixed value).
@@ -104,15 +105,15 @@ def level_share(df: DataFrame, level: str, is_in: str) -> DataFrame:
 def ranked(df: DataFrame, value: str, year: str, all_rows: int) -> DataFrame:
     """Each value's count, overall rank (by falling count, then value), shares, and first and last year."""
     g = df.groupBy(value).agg(F.count("*").alias("count"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
-    w = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), value))  # one row for each distinct value
-    return g.withColumns({"overall_rank": rank, "share_all": F.when(F.lit(all_rows) > 0, F.col("count") / all_rows).otherwise(0.0), "share_in": F.col("count") / F.sum("count").over(w)})
+    g = numbered(g.withColumn("__minus", -F.col("count")), ["__minus", value], "overall_rank").drop("__minus")
+    return g.withColumns({"share_all": F.when(F.lit(all_rows) > 0, F.col("count") / all_rows).otherwise(0.0), "share_in": F.col("count") / F.lit(g.agg(F.sum("count")).first()[0])})
 
 
 def top_per_group(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
     """The k most frequent values of each group (ties by value), with shares and the value's overall rank."""
     pairs = df.groupBy(group, value).agg(F.count("*").alias("count"))
-    overall = pairs.groupBy(value).agg(F.sum("count").alias("__n")).withColumn("overall_rank", F.row_number().over(Window.orderBy(F.desc("__n"), value))).drop("__n")
+    overall = pairs.groupBy(value).agg((-F.sum("count")).alias("__minus"))
+    overall = numbered(overall, ["__minus", value], "overall_rank").drop("__minus")
     w = Window.partitionBy(group)
     out = pairs.withColumns({"group_total": F.sum("count").over(w), "__r": F.row_number().over(w.orderBy(F.desc("count"), value))}).where(F.col("__r") <= k)
     return out.join(overall, value).select(group, value, "count", (F.col("count") / F.col("group_total")).alias("share_within"), "group_total", "overall_rank")

@@ -116,7 +116,7 @@ def signals(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds, once for all stages, ``sig`` (what the text and the labels say) and the best label within either family."""
     both = text.plain(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     raw = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
-    df = G.with_defaults(df).withColumns({"_x": both, "_y": text.plain("title"), "_raw": raw})
+    df = G.with_defaults(df).withColumns({"_x": both, "_y": text.plain("title"), "_raw": text.seal(raw)})
     x, y = F.col("_x"), F.col("_y")
     quality = hint_quality(cfg=cfg)
     good = quality.isin("high", "medium")
@@ -127,8 +127,8 @@ def signals(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         hits(x, P.ACTIONS).alias("actions"), hits(x, P.BUILT).alias("built"), hits(x, P.POLICY).alias("policy"), any_hit(y, P.ACTIONS).alias("title_action"), any_hit(y, P.BUILT).alias("title_built"), block.alias("text_block"), F.coalesce(s("text=", F.try_element_at(first(P.RECOVERY_BLOCKS), F.lit(1))), F.lit("")).alias("recovery_block"),
         rule_confidence().alias("rule_confidence"), quality.alias("quality"), ((F.col("hint.group") == IN) & good).alias("hint_in"), ((F.col("hint.group") == OUT) & good).alias("hint_out"), G.llm_hint("llm").alias("llm"),
     )
-    df = df.withColumn("sig", sig).drop("_x", "_y", "_raw")
-    return df.withColumns({"within_in": within(F.lit(IN), None, cfg), "within_out": within(F.lit(OUT), None, cfg)})
+    df = df.withColumn("sig", text.seal(sig)).drop("_x", "_y", "_raw")
+    return df.withColumns({"within_in": text.seal(within(F.lit(IN), None, cfg)), "within_out": text.seal(within(F.lit(OUT), None, cfg))})
 
 
 # --- fusion ---
@@ -163,7 +163,7 @@ def fuse(df: DataFrame) -> DataFrame:
     ]
     hard = r["route"] == "hard_negative"
     first = decision(a, "stage1_rule", r["reason"], F.lit(0.98))
-    return df.withColumn("decision", F.when(hard, first).otherwise(first_match(table, review("rule_local_cross_group_both_weak"))))
+    return df.withColumn("decision", text.seal(F.when(hard, first).otherwise(first_match(table, review("rule_local_cross_group_both_weak")))))
 
 
 # --- a label within a family ---
@@ -275,11 +275,11 @@ def consensus(w: Column) -> Column:
 def resolve_unknown(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``recovery`` (path, evidence) and gives unknown decisions a topic where a rule allows it."""
     own = F.when(F.col("sig.llm") == "1", F.col("within_in")).otherwise(F.col("within_out"))
-    df = df.withColumn("_w", own).withColumn("_f", F.when(F.col("decision.topic") == UNKNOWN, F.coalesce(offline(), hinted(), consensus(F.col("_w")))))
+    df = df.withColumn("_w", text.seal(own)).withColumn("_f", text.seal(F.when(F.col("decision.topic") == UNKNOWN, F.coalesce(offline(), hinted(), consensus(F.col("_w"))))))
     d, f, hit = F.col("decision"), F.col("_f"), F.col("_f").isNotNull()
     path = F.when(d["topic"] != UNKNOWN, "not_triggered").when(hit, f["path"]).otherwise("retained_unknown")
     new = F.when(hit, decision(f["topic"], f["source"], f["reason"], f["confidence"])).otherwise(F.when(d["topic"] == UNKNOWN, decision(UNKNOWN, d["source"], d["reason"], d["confidence"], 1, d["review_reason"])).otherwise(d))
-    return df.withColumn("recovery", F.struct(path.alias("path"), F.coalesce(f["evidence"], F.lit("")).alias("evidence"))).withColumn("decision", new).drop("_w", "_f")
+    return df.withColumn("recovery", text.seal(F.struct(path.alias("path"), F.coalesce(f["evidence"], F.lit("")).alias("evidence")))).withColumn("decision", text.seal(new)).drop("_w", "_f")
 
 
 # --- gate ---
@@ -287,7 +287,7 @@ def resolve_unknown(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def apply_gate(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``inner`` (the label within the gate's family); an unknown topic takes it under ten conditions. Needs ``gate``."""
-    df = df.withColumn("inner", within(F.col("gate.family"), F.col("decision.topic"), cfg))
+    df = df.withColumn("inner", text.seal(within(F.col("gate.family"), F.col("decision.topic"), cfg)))
     d, g, w, sg = F.col("decision"), F.col("gate"), F.col("inner"), F.col("sig")
     want = F.when(sg["llm"] == "1", IN).when(sg["llm"] == "0", OUT)
     by_rule, by_hint, by_local = F.col("rule.group") == want, F.col("hint.group") == want, F.col("local.group") == want
@@ -296,7 +296,7 @@ def apply_gate(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     new = decision(w["label"], "family_gate_recovery", more(d["reason"], s("family_gate:", g["family"], ":", w["label"])), F.greatest(d["confidence"], 0.58 + g["confidence"] * 0.25))
     ev = F.format_string("family=%s;within=%s;family_confidence=%.4f;within_score=%.2f;within_margin=%.2f", g["family"], w["label"], g["confidence"], w["score"], w["margin"])
     rec = F.when(ok, F.struct(F.lit("family_gate_recovery").alias("path"), ev.alias("evidence"))).otherwise(F.col("recovery"))
-    return df.withColumn("recovery", rec).withColumn("decision", F.when(ok, new).otherwise(d))
+    return df.withColumn("recovery", text.seal(rec)).withColumn("decision", text.seal(F.when(ok, new).otherwise(d)))
 
 
 # --- guards of topics out of scope ---
@@ -330,7 +330,7 @@ def anchor_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         )
     )
     applies = F.lit(cfg.anchor_guard) & (cells.family(d["topic"]) == OUT) & ~F.col("rule.reason").isin(*P.HARD_NEGATIVES) & (F.size(sg["core"]) > 0)
-    df = df.withColumn("_g", F.struct(marks.alias("marks"), candidate.alias("candidate"), block_reason(d["topic"]).alias("block"), applies.alias("applies")))
+    df = df.withColumn("_g", text.seal(F.struct(marks.alias("marks"), candidate.alias("candidate"), block_reason(d["topic"]).alias("block"), applies.alias("applies"))))
     m = F.col("_g")
     why = F.array_join(m["marks"], "; ")
     act = lambda action, reason: F.struct(F.lit(action).alias("action"), reason.alias("reason"), F.array_join(sg["core"], "; ").alias("hits"))
@@ -339,7 +339,7 @@ def anchor_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     blocked = decision(d["topic"], d["source"], more(d["reason"], s("anchor_guard_blocked:", m["block"])), d["confidence"], d["review_flag"], d["review_reason"])
     cases = [(~m["applies"], act("", F.lit("")), d), (m["block"] != "", act("blocked_nonurban_risk", m["block"]), blocked), (m["candidate"].isNotNull() & (F.size(m["marks"]) > 0), act("promote", why), promoted)]
     cases += [(F.size(m["marks"]) > 0, act("review", s("support_without_urban_candidate;", why)), review("support_without_urban_candidate")), (F.lit(True), act("review", F.lit("core_anchor_without_support")), review("without_support"))]
-    return df.withColumns({"guard": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_g")
+    return df.withColumns({"guard": text.seal(first_match([(c, a) for c, a, _ in cases])), "decision": text.seal(first_match([(c, x) for c, _, x in cases]))}).drop("_g")
 
 
 def uncertain_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -359,7 +359,7 @@ def uncertain_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     rl = F.col("rule.label")
     meaning = F.coalesce(s("core_anchor:", F.try_element_at(sg["core"], F.lit(1))), s("broad_anchor:", F.try_element_at(sg["broad"], F.lit(1))), F.when(F.array_contains("rule.risk_tags", P.OTHER_OBJECT_RISK), f"risk_tag:{P.OTHER_OBJECT_RISK}"))
     risky = rl.isin(*P.HIGH_RISK_RULES) | ((rl == "N8") & meaning.isNotNull())
-    df = df.withColumn("_g", F.struct(applies.alias("applies"), label.alias("label"), F.array_join(marks, "; ").alias("why"), block.alias("block"), risky.alias("risky"), F.array_join(F.array_compact(F.array(s("high_risk_rule:", rl), meaning)), "; ").alias("evidence")))
+    df = df.withColumn("_g", text.seal(F.struct(applies.alias("applies"), label.alias("label"), F.array_join(marks, "; ").alias("why"), block.alias("block"), risky.alias("risky"), F.array_join(F.array_compact(F.array(s("high_risk_rule:", rl), meaning)), "; ").alias("evidence"))))
     m = F.col("_g")
     keep = s("rule=", rl, " not in high_risk_bucket")
     act = lambda a, e: F.struct(F.lit(a).alias("action"), e.alias("reason"))
@@ -371,7 +371,7 @@ def uncertain_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         (m["risky"], act("review", m["evidence"]), decision(d["topic"], "uncertain_nonurban_review", more(d["reason"], s("uncertain_nonurban_review:", m["evidence"])), d["confidence"], 1, more(d["review_reason"], "uncertain_nonurban_review"))),
         (F.lit(True), act("keep_0", keep), d),
     ]
-    return df.withColumns({"doubt": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_g")
+    return df.withColumns({"doubt": text.seal(first_match([(c, a) for c, a, _ in cases])), "decision": text.seal(first_match([(c, x) for c, _, x in cases]))}).drop("_g")
 
 
 def rule_review(df: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def rule_review(df: DataFrame) -> DataFrame:
     flag = F.when(unknown | (d["review_flag"] == 1) | (r["review_flag"] == 1), 1).otherwise(0)
     fresh = F.when(d["review_reason"] != "", d["review_reason"]).otherwise(F.when(r["review_reason"] != "", r["review_reason"]).otherwise(F.when(unknown, "unknown_review").otherwise("")))
     reason = F.when(d["review_flag"] == 1, d["review_reason"]).when(flag == 1, fresh).otherwise("")
-    return df.withColumn("decision", decision(d["topic"], d["source"], d["reason"], d["confidence"], flag, reason))
+    return df.withColumn("decision", text.seal(decision(d["topic"], d["source"], d["reason"], d["confidence"], flag, reason)))
 
 
 # --- open set ---
@@ -413,7 +413,7 @@ def open_set_evidence(cfg: Settings = DEFAULT) -> Column:
 
 def open_set(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``open`` (flag, topic, reason, evidence, coverage); unknown or doubtful topics may become the open-set label."""
-    df = df.withColumn("_e", open_set_evidence(cfg))
+    df = df.withColumn("_e", text.seal(open_set_evidence(cfg)))
     d, e = F.col("decision"), F.col("_e")
     hard = F.col("rule.reason").isin(*P.HARD_NEGATIVES)
     group = cells.family(d["topic"])
@@ -423,7 +423,7 @@ def open_set(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     new = decision(cells.OPEN_IN, "open_set_recovery", more(d["reason"], s("open_set_urban_other:", e["reason"])), F.greatest(d["confidence"], F.lit(0.55)), 1, more(d["review_reason"], "open_set_topic"))
     rest = F.when(d["topic"] == UNKNOWN, "unknown").when(d["topic"] == cells.OPEN_OUT, "open_set").otherwise("covered")
     cases = [(F.lit(not cfg.open_set), st(0, "", blank, blank, blank), d), (hard, st(0, "", F.lit("hard_negative"), F.col("rule.reason"), F.lit("hard_negative")), d), (covered, st(0, "", blank, blank, F.lit("covered")), d), (e["ok"], st(1, cells.OPEN_IN, e["reason"], e["evidence"], F.lit("open_set")), new), (F.lit(True), st(0, "", blank, blank, rest), d)]
-    return df.withColumns({"open": first_match([(c, a) for c, a, _ in cases]), "decision": first_match([(c, x) for c, _, x in cases])}).drop("_e")
+    return df.withColumns({"open": text.seal(first_match([(c, a) for c, a, _ in cases])), "decision": text.seal(first_match([(c, x) for c, _, x in cases]))}).drop("_e")
 
 
 # --- binary decision ---
@@ -506,19 +506,19 @@ def binary_decision(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Adds ``binary`` (score, label, confidence, source, inconsistent, recall) and the review reasons that follow."""
     d = F.col("decision")
     hard = F.col("rule.reason").isin(*P.HARD_NEGATIVES)
-    df = df.withColumn("_raw", raw_score(cfg)).withColumn("_c", recall_floor(F.col("_raw"), cfg))
+    df = df.withColumn("_raw", text.seal(raw_score(cfg))).withColumn("_c", text.seal(recall_floor(F.col("_raw"), cfg)))
     score = F.when(hard, 0.02).otherwise(F.round(F.least(F.greatest(F.col("_c.score"), F.lit(0.02)), F.lit(0.98)), 6))
-    df = df.withColumn("_z", score)
+    df = df.withColumn("_z", text.seal(score))
     label = F.when(hard, "0").when(F.col("_z") >= cfg.threshold, "1").otherwise("0")
     conf = F.when(hard, 0.98).when(label == "1", F.round("_z", 6)).otherwise(F.round(1 - F.col("_z"), 6))
     recall = F.when(hard, F.struct(F.col("_z").alias("score"), F.lit(0).alias("flag"), F.lit("hard_negative").alias("tier"), F.col("rule.reason").alias("reason"))).otherwise(F.col("_c"))
     b = F.struct(F.col("_z").alias("score"), F.col("_raw").alias("raw"), label.alias("label"), conf.alias("confidence"), F.when(hard, "binary_hard_negative_override").otherwise("binary_confidence_resolution").alias("source"), inconsistent(label, d["topic"]).alias("inconsistent"), recall.alias("recall"))
-    df = df.withColumn("binary", b)
+    df = df.withColumn("binary", text.seal(b))
     old = F.filter(F.split(d["review_reason"], ";"), lambda x: x != "")
     reasons = F.array_distinct(F.concat(old, F.array_compact(F.array(F.when(F.col("binary.confidence") < cfg.low_confidence, "binary_low_confidence"), F.when(F.col("binary.inconsistent") == 1, "binary_topic_inconsistency")))))
     flag = F.when(hard, d["review_flag"]).otherwise(F.when((d["review_flag"] == 1) | (F.size(reasons) > 0), 1).otherwise(0))
     new = F.struct(d["topic"].alias("topic"), d["source"].alias("source"), d["reason"].alias("reason"), F.col("binary.confidence").alias("confidence"), flag.cast("int").alias("review_flag"), F.when(hard, d["review_reason"]).otherwise(F.array_join(reasons, ";")).alias("review_reason"))
-    return df.withColumn("decision", new).drop("_raw", "_c", "_z")
+    return df.withColumn("decision", text.seal(new)).drop("_raw", "_c", "_z")
 
 
 # --- audit and result ---
@@ -540,7 +540,7 @@ def audit(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     manual = ("anchor_guard_core_anchor_without_support", "anchor_guard_support_without_urban_candidate", "uncertain_nonurban_review")
     why = F.array_distinct(F.concat(F.array_compact(F.array(F.when(F.abs(b["score"] - cfg.threshold) <= cfg.review_margin, "binary_near_threshold"), F.when(b["inconsistent"] == 1, "binary_topic_inconsistency"), F.when((b["recall"]["tier"] == "blocked") & (b["label"] == "1"), "risk_blocked_positive"))), F.filter(F.split(d["review_reason"], ";"), lambda x: x.isin(*manual))))
     why = F.when(hard, F.array().cast("array<string>")).otherwise(why)
-    return df.withColumns({"audit": a, "review": F.struct((F.size(why) > 0).cast("int").alias("flag"), F.array_join(why, ";").alias("reason"))}).withColumn("decision", F.struct(d["topic"].alias("topic"), d["source"].alias("source"), reason.alias("reason"), d["confidence"].alias("confidence"), d["review_flag"].alias("review_flag"), d["review_reason"].alias("review_reason")))
+    return df.withColumns({"audit": text.seal(a), "review": text.seal(F.struct((F.size(why) > 0).cast("int").alias("flag"), F.array_join(why, ";").alias("reason")))}).withColumn("decision", text.seal(F.struct(d["topic"].alias("topic"), d["source"].alias("source"), reason.alias("reason"), d["confidence"].alias("confidence"), d["review_flag"].alias("review_flag"), d["review_reason"].alias("review_reason"))))
 
 
 def balance(label: Column, confidence: Column, hard: Column, conflict: Column) -> Column:
@@ -564,7 +564,7 @@ def explain(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     none = lambda c: F.when(c == "", "none").otherwise(c)
     line = F.format_string("final=%s; score=%.4f%sthreshold=%.4f; confidence=%.4f; topic=%s/%s; coverage=%s; source=%s; review=%d", b["label"], b["score"], F.when(b["score"] >= cfg.threshold, ">=").otherwise("<"), F.lit(cfg.threshold), d["confidence"], d["topic"], fam, op["coverage"], d["source"], F.col("review.flag"))
     stack = F.concat_ws(" > ", s("route=", r["route"], ":", r["reason"]), s("rule=", r["label"]), s("local=", F.col("local.label")), s("family=", g["source"], ":", g["family"]), s("anchor=", none(gd["action"])), s("uncertain_nonurban=", none(db["action"])), s("open_set=", none(op["topic"]), ":", op["reason"]), s("binary_audit=", F.col("audit.action")), s("binary=", b["source"], ":", b["recall"]["tier"]))
-    return df.withColumn("explanation", F.struct(line.alias("text"), shown(plus).alias("positive"), shown(minus).alias("negative"), balance(b["label"], d["confidence"], r["reason"].isin(*P.HARD_NEGATIVES), b["inconsistent"]).alias("balance"), stack.alias("stack")))
+    return df.withColumn("explanation", text.seal(F.struct(line.alias("text"), shown(plus).alias("positive"), shown(minus).alias("negative"), balance(b["label"], d["confidence"], r["reason"].isin(*P.HARD_NEGATIVES), b["inconsistent"]).alias("balance"), stack.alias("stack"))))
 
 
 def decide(df: DataFrame, cfg: Settings = DEFAULT, gate_probability: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions import cells
+from quillgrid.functions import cells, text
 from quillgrid.operators import phrases as P
 from quillgrid.operators.lexicon import hits
 
@@ -44,7 +44,7 @@ def features(df: DataFrame) -> DataFrame:
         one(rf == cells.IN), one(rf == cells.OUT), r["score"], r["margin"], one(lf == cells.IN), one(lf == cells.OUT), lo["confidence"], lo["margin"], lo["p"], one(hf == cells.IN), one(hf == cells.OUT), h["probability"], h["purity"], h["share"], h["count"].cast("double"), F.size(r["risk_tags"]).cast("double"),
         count(P.COMMON_ANCHORS), count(P.EXISTING_OBJECTS), count(P.MECHANISMS), F.size(F.filter(F.split("_sep", " "), lambda w: w != "")).cast("double"), one(rf.isin(cells.IN, cells.OUT) & lf.isin(cells.IN, cells.OUT) & (rf != lf)), r["conflict"].cast("double"), one(llm_hint("llm") == "1"), one(llm_hint("llm") == "0"),
     )
-    return df.withColumn("features", F.struct(*(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in zip(FEATURES, v))))
+    return df.withColumn("features", text.seal(F.struct(*(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in zip(FEATURES, v)))))
 
 
 def heuristic(f: Column) -> Column:
@@ -89,7 +89,7 @@ def gate(df: DataFrame, probability: str | None = None) -> DataFrame:
         rf.alias("rule_family"), lf.alias("local_family"), final.alias("family"), F.round(F.abs(F.col("_p") - 0.5) * 2, 4).alias("confidence"), F.round("_p", 6).alias("probability"), F.lit("family_gate_model" if probability else "family_gate_heuristic").alias("source"),
         boundary(r["label"], lo["label"], rf, lf).alias("bucket"), conflict_pattern(r["label"], lo["label"]).alias("pattern"),
     )
-    return df.withColumn("gate", g).drop("_p")
+    return df.withColumn("gate", text.seal(g)).drop("_p")
 
 
 def fit(df: DataFrame, label: str):

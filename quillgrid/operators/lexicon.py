@@ -65,8 +65,12 @@ SAMPLE = Taxonomy(
 
 
 def hits(text_: Column, terms: Sequence[str]) -> Column:
-    """The phrases that a plain text contains."""
-    return text.contained(text_, [t for t in terms if t]) if len(terms) == 0 else F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(text_, F.replace(t, F.lit("-"), F.lit(" "))))
+    """The phrases that a plain text contains, in their own order and as written."""
+    pairs = [(t, t.replace("-", " ")) for t in terms if t]
+    if not pairs:
+        return F.array().cast("array<string>")
+    table = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("plain")) for t, p in pairs))
+    return text.bind(text_, lambda x: F.transform(F.filter(table, lambda r: F.contains(x, r["plain"])), lambda r: r["term"]))
 
 
 def any_hit(text_: Column, terms: Sequence[str]) -> Column:
@@ -84,36 +88,57 @@ def weighted(title: Column, abstract: Column, terms: Sequence[str], base: float)
     return base * (TITLE_WEIGHT * F.size(in_title) + F.size(in_abstract)), F.array_distinct(found)
 
 
-def topic_score(t: Topic, title: Column, abstract: Column, both: Column, place: int) -> Column:
-    """struct(score, place, label, matches, combos) of a topic."""
-    seed, seen = weighted(title, abstract, t.seeds, SEED)
-    context, in_context = weighted(title, abstract, t.context_terms, CONTEXT)
-    anchors = F.filter(F.array(*(F.lit(_plain(a)) for a in t.context_anchors)), lambda a: F.contains(both, a)) if t.context_anchors else None
+def _listed(terms: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(" ".join(t.lower().split()) for t in terms if t.strip()))
+
+
+def _plains(terms: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(_plain(t) for t in terms if t.strip()))
+
+
+def _among(terms: Sequence[str], found: Column) -> Column:
+    """Which of the terms were found, in the terms' order."""
+    return F.array_intersect(F.array(*map(F.lit, terms)), found) if terms else F.array().cast("array<string>")
+
+
+def _any_among(terms: Sequence[str], found: Column) -> Column:
+    return F.arrays_overlap(F.array(*map(F.lit, terms)), found) if terms else F.lit(False)
+
+
+def _field_score(terms: Sequence[str], base: float, title: Column, abstract: Column) -> tuple[Column, Column]:
+    """(score, matches ``field:term``) of terms from the terms found in either field; the title weighs more."""
+    terms = _listed(terms)
+    if not terms:
+        return F.lit(0.0), F.array().cast("array<string>")
+    own_title, own_abstract = _among(terms, title), _among(terms, abstract)
+    named = F.flatten(F.transform(_among(terms, F.concat(own_title, own_abstract)), lambda t: F.array_compact(F.array(F.when(F.array_contains(own_title, t), F.concat(F.lit("title:"), t)), F.when(F.array_contains(own_abstract, t), F.concat(F.lit("abstract:"), t))))))
+    return base * (TITLE_WEIGHT * F.size(own_title) + F.size(own_abstract)), named
+
+
+def topic_score(t: Topic, found: Column, place: int) -> Column:
+    """struct(minus, place, label, score, matches, combos) of a topic, from the terms found (``score_topics``)."""
+    title, abstract, both = found["title"], found["abstract"], found["both"]
+    seed, seen = _field_score(t.seeds, SEED, title, abstract)
+    context, in_context = _field_score(t.context_terms, CONTEXT, title, abstract)
+    anchors = _among(_plains(t.context_anchors), both) if t.context_anchors else None
     counts = (F.size(in_context) > 0) if anchors is None else (F.size(in_context) > 0) & (F.size(anchors) > 0)
     none = F.array().cast("array<string>")
     bonus = context if anchors is None else context + t.context_bonus
     named = none if anchors is None else F.transform(F.slice(anchors, 1, 3), lambda a: F.concat(F.lit("anchor:"), a))
     combos = [[_plain(x) for x in c if x.strip()] for c in t.combos]
-    combo = F.array_compact(F.array(*(F.when(_all(both, c), F.lit("+".join(c))) for c in combos))) if combos else none
-    out = F.filter(F.array(*(F.lit(_plain(x)) for x in t.excludes)), lambda x: F.contains(both, x)) if t.excludes else none
-    score = seed + F.when(counts, bonus).otherwise(0.0) + COMBO * F.size(combo) - EXCLUDE * F.size(out)
+    combo = F.array_compact(F.array(*(F.when(F.size(_among(_plains(c), both)) == len(set(c)) if c else F.lit(False), F.lit("+".join(c))) for c in combos))) if combos else none
+    out = _among(_plains(t.excludes), both)
+    parts = [seed, F.when(counts, bonus).otherwise(0.0), COMBO * F.size(combo), -EXCLUDE * F.size(out)]
     marks = [seen, F.when(counts, F.concat(in_context, named)).otherwise(none), F.transform(combo, lambda c: F.concat(F.lit("combo:"), c)), F.transform(out, lambda x: F.concat(F.lit("exclude:"), x))]
     if t.anchor_penalty is not None and t.anchors:
-        missing = ~any_hit(both, t.anchors)
-        score = score - F.when(missing, t.anchor_penalty).otherwise(0.0)
+        missing = ~_any_among(_plains(t.anchors), both)
+        parts.append(-F.when(missing, t.anchor_penalty).otherwise(0.0))
         marks.append(F.when(missing, F.array(F.lit("penalty:missing_anchor"))).otherwise(none))
     if t.renewal_penalty is not None:
-        there = any_hit(both, P.COMMON_ANCHORS) & (any_hit(both, P.EXISTING_OBJECTS) | any_hit(both, P.PENALTY_MECHANISMS))
-        score = score - F.when(there, t.renewal_penalty).otherwise(0.0)
-        marks.append(F.when(there, F.array(F.lit("penalty:renewal_anchor_present"))).otherwise(none))
-    return F.struct((-F.round(score, 4)).alias("minus"), F.lit(place).alias("place"), F.lit(t.label).alias("label"), F.round(score, 4).alias("score"), F.array_distinct(F.concat(*marks)).alias("matches"), combo.alias("combos"))
-
-
-def _all(both: Column, terms: Sequence[str]) -> Column:
-    out = F.lit(bool(terms))
-    for t in terms:
-        out = out & F.contains(both, F.lit(t))
-    return out
+        parts.append(-F.when(found["renewal"], t.renewal_penalty).otherwise(0.0))
+        marks.append(F.when(found["renewal"], F.array(F.lit("penalty:renewal_anchor_present"))).otherwise(none))
+    total = F.aggregate(F.array(*(x.cast("double") for x in parts)), F.lit(0.0), lambda a, x: a + x)
+    return text.bind(F.round(total, 4), lambda score: F.struct((-score).alias("minus"), F.lit(place).alias("place"), F.lit(t.label).alias("label"), score.alias("score"), F.array_distinct(F.concat(*marks)).alias("matches"), combo.alias("combos")))
 
 
 def fields(df: DataFrame, title: str = "title", abstract: str = "abstract") -> DataFrame:
@@ -123,9 +148,21 @@ def fields(df: DataFrame, title: str = "title", abstract: str = "abstract") -> D
 
 
 def score_topics(df: DataFrame, taxonomy: Taxonomy, column: str = "topics") -> DataFrame:
-    """Adds all topics' scores, best first (ties: the taxonomy's order). Needs ``fields``."""
-    every = [topic_score(t, F.col("_t"), F.col("_a"), F.col("_both"), i) for i, t in enumerate(taxonomy.topics)]
-    return df.withColumn(column, F.array_sort(F.array(*every)))
+    """Adds all topics' scores, best first (ties: the taxonomy's order). Needs ``fields``.
+
+    Every term of the whole lexicon is looked up once in each text, however many
+    topics share it; topics are scored from the terms found, so the plan holds
+    each normalised text once and grows with the lexicon only by its literals.
+    """
+    topics = taxonomy.topics
+    in_fields = _listed([x for t in topics for x in (*t.seeds, *t.context_terms)])
+    in_both = _plains([x for t in topics for x in (*t.context_anchors, *(y for c in t.combos for y in c), *t.excludes, *t.anchors)])
+    renewal = F.lit(False)
+    if any(t.renewal_penalty is not None for t in topics):
+        renewal = any_hit(F.col("_both"), P.COMMON_ANCHORS) & (any_hit(F.col("_both"), P.EXISTING_OBJECTS) | any_hit(F.col("_both"), P.PENALTY_MECHANISMS))
+    found = F.struct(text.contained(F.col("_t"), in_fields).alias("title"), text.contained(F.col("_a"), in_fields).alias("abstract"), text.contained(F.col("_both"), in_both).alias("both"), renewal.alias("renewal"))
+    df = df.withColumn("_found", text.seal(found))
+    return df.withColumn(column, F.array_sort(F.array(*(topic_score(t, F.col("_found"), i) for i, t in enumerate(topics))))).drop("_found")
 
 
 def ranked(label: Column, score: Column) -> Column:
@@ -142,7 +179,7 @@ def first_stage(df: DataFrame) -> DataFrame:
     t = F.col("_sep")
     found = {n: hits(t, getattr(P, n.upper())) for n in ("background", "media", "greenfield", "method", "materials", "wording", "general_method", "governance", "rural", "misuse_math", "misuse_trigger")}
     some = {n: F.size(F.col(f"_h.{n}")) > 0 for n in found}
-    df = df.withColumn("_h", F.struct(*(c.alias(n) for n, c in found.items()))).withColumn("_obj", any_hit(t, P.EXISTING_OBJECTS) | any_hit(t, P.MECHANISMS))
+    df = df.withColumn("_h", text.seal(F.struct(*(c.alias(n) for n, c in found.items())))).withColumn("_obj", any_hit(t, P.EXISTING_OBJECTS) | any_hit(t, P.MECHANISMS))
     best, second = F.col("topics")[0], F.try_element_at("topics", F.lit(2))
     margin = F.round(F.greatest(best["score"] - F.coalesce(second["score"], F.lit(0.0)), F.lit(0.0)), 4)
     other = some["wording"] & ~F.col("_obj") & (some["background"] | some["media"])
@@ -155,7 +192,7 @@ def first_stage(df: DataFrame) -> DataFrame:
     label = F.coalesce("_other", F.when(best["score"] <= 0, cells.UNKNOWN).otherwise(best["label"]))
     extra = F.when(F.col("_other") == "N8", F.concat("_h.background", "_h.wording", "_h.general_method")).otherwise(F.concat("_h.background", "_h.media", "_h.wording", "_h.governance"))
     risks = F.array_sort(F.array_compact(F.array(F.when(some["background"], P.BACKGROUND_RISK), F.when(some["media"], P.MEDIA_RISK), F.when(other, P.OTHER_OBJECT_RISK), F.when(some["greenfield"], P.GREENFIELD_RISK), F.when(some["method"] | some["materials"], P.TECHNICAL_RISK))))
-    df = df.withColumn("_s", F.struct(label.alias("label"), F.when(other, 6.4).otherwise(best["score"]).alias("score"), F.when(other, 3.0).otherwise(margin).alias("margin"), F.when(other, over3).otherwise(top3).alias("top3"), F.when(other, F.array_distinct(F.concat(extra, best["matches"]))).otherwise(best["matches"]).alias("matches"), (other | strong).alias("strong")))
+    df = df.withColumn("_s", text.seal(F.struct(label.alias("label"), F.when(other, 6.4).otherwise(best["score"]).alias("score"), F.when(other, 3.0).otherwise(margin).alias("margin"), F.when(other, over3).otherwise(top3).alias("top3"), F.when(other, F.array_distinct(F.concat(extra, best["matches"]))).otherwise(best["matches"]).alias("matches"), (other | strong).alias("strong"))))
     s = F.col("_s")
     group = lambda i: cells.family(F.substring_index(F.try_element_at(s["top3"], F.lit(i)), ":", 1))
     conflict = F.when((F.size(s["top3"]) >= 2) & (group(1) != group(2)), 1).otherwise(0)
@@ -180,7 +217,7 @@ def first_stage(df: DataFrame) -> DataFrame:
         .when(some["rural"], hard("rural_nonurban", "N9", F.col("_h.rural")))
         .otherwise(out("uncertain", reason, s["label"], s["score"], s["margin"], s["top3"], s["matches"], signals, risks, conflict, s["strong"], review))
     )
-    return df.withColumn("rule", rule).drop("_h", "_obj", "_best", "_margin", "_other", "_s")
+    return df.withColumn("rule", text.seal(rule)).drop("_h", "_obj", "_best", "_margin", "_other", "_s")
 
 
 def metadata_audit(df: DataFrame, categories: str, areas: str, keywords: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,25 +46,18 @@ def allocate(counts: Mapping[str, int], n: int) -> dict[str, int]:
     total = sum(counts.values())
     if n >= total:
         return dict(counts)
-    quota = {k: c / total * n for k, c in counts.items()}
-    out = {k: int(q) for k, q in quota.items()}
-    rest = {k: quota[k] - out[k] for k in counts}
-    some = [k for k, c in counts.items() if c > 0]
-    if n >= len(some):
-        out |= {k: max(1, out[k]) for k in some}
-    rank = lambda k: (rest[k], counts[k])
-    for k in sorted((k for k in out if out[k] > 1), key=rank):
-        if sum(out.values()) <= n:
-            break
-        out[k] -= 1
-    open_ = sorted((k for k in counts if out[k] < counts[k]), key=rank, reverse=True)
-    while sum(out.values()) < n and open_:
-        for k in open_:
-            if sum(out.values()) >= n:
-                break
-            if out[k] < counts[k]:
-                out[k] += 1
-        open_ = [k for k in open_ if out[k] < counts[k]]
+    exact = {k: c / total * n for k, c in counts.items()}
+    least = 1 if n >= sum(c > 0 for c in counts.values()) else 0
+    out = {k: max(int(q), least if counts[k] else 0) for k, q in exact.items()}
+    missing = n - sum(out.values())
+    strength = {k: (exact[k] - int(exact[k]), c) for k, c in counts.items()}
+    if missing > 0:  # seats in rounds, in each round the strongest first
+        seats = [(turn, -strength[k][0], -strength[k][1], i, k) for i, k in enumerate(counts) for turn in range(min(missing, counts[k] - out[k]))]
+        for *_, k in heapq.nsmallest(missing, seats):
+            out[k] += 1
+    else:
+        for *_, k in heapq.nsmallest(-missing, [(*strength[k], i, k) for i, k in enumerate(counts) if out[k] > 1]):
+            out[k] -= 1
     return out
 
 

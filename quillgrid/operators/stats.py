@@ -52,7 +52,10 @@ def mcnemar(df: DataFrame, truth: str, preds: Sequence[str]) -> DataFrame:
     Equal normalised values count as right, unreadable ones too.
     """
     t = cells.binary(truth)
-    scored = sorted(((-M.binary(df, truth, p).first()["f1"], p) for p in preds))[:2]
+    cell = lambda p, x, y: F.count_if((t == x) & (cells.binary(p) == y))
+    one = df.agg(*(cell(p, x, y).alias(f"{i}_{x}{y}") for i, p in enumerate(preds) for x, y in ((1, 1), (0, 1), (1, 0)))).first()
+    f1 = lambda i: round(2 * one[f"{i}_11"] / max(1, 2 * one[f"{i}_11"] + one[f"{i}_01"] + one[f"{i}_10"]), 6)
+    scored = sorted((-f1(i), p) for i, p in enumerate(preds))[:2]
     if len(scored) < 2:
         return df.sparkSession.createDataFrame([], "file_a string, file_b string, b long, c long, statistic double, p_value double")
     a, b = (p for _, p in scored)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import cells, text
 from quillgrid.operators import phrases as P
 from quillgrid.operators.lexicon import Taxonomy
-from quillgrid.operators.metrics import STATUSES
+from quillgrid.operators.metrics import STATUSES, numbered
 
 #: Words that are no keywords.
 STOP = ("and", "the", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "not", "but", "its", "into", "their", "they", "our", "can", "such", "these", "those", "which", "also", "been", "than", "then", "between", "using", "based", "study", "paper", "results")
@@ -84,7 +84,8 @@ def by_kmeans(df: DataFrame, key: str, doc: str, cfg: Config = Config()) -> Data
 def name_clusters(assigned: DataFrame, order: str) -> DataFrame:
     """Ids ``DUR_0001`` ... by falling size, ties by first row: bucket, cluster, size."""
     g = assigned.groupBy("bucket").agg(F.count("*").alias("size"), F.min(order).alias("first_row"))
-    return g.withColumn("cluster", F.format_string("DUR_%04d", F.row_number().over(Window.orderBy(F.desc("size"), "first_row")))).drop("first_row")
+    g = numbered(g.withColumn("__minus", -F.col("size")), ["__minus", "first_row"], "__n")
+    return g.withColumn("cluster", F.format_string("DUR_%04d", F.col("__n"))).drop("first_row", "__minus", "__n")
 
 
 def seed_tokens(taxonomy: Taxonomy, least: int = 3) -> dict[str, list[str]]:

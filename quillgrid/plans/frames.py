@@ -45,14 +45,18 @@ FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
 TITLED = """SELECT doc_id AS _row_id, doc_id, CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN concat('  Title   ', CAST(doc_id % 300 AS STRING), ' ') WHEN doc_id % 3 = 1 THEN concat('TITLE ', CAST(doc_id % 300 AS STRING)) ELSE concat('title ', CAST(doc_id % 300 AS STRING)) END AS title,
   CASE WHEN doc_id % 5 = 0 THEN 'A' ELSE 'a ' END AS abstract, CAST(n_chars % 2 AS STRING) AS label, lang, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN ' ' ELSE CAST(1990 + doc_id % 30 AS STRING) END AS publication_year, n_chars FROM {documents}"""
 
+#: Customers under titles of the same kind, of which some are no document's.
+CROSSED = """SELECT c_custkey AS _row_id, c_custkey AS doc_id, CASE WHEN c_custkey % 53 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN concat('TITLE   ', CAST(c_custkey % 450 + 37 AS STRING), ' ') ELSE concat('title ', CAST(c_custkey % 450 + 37 AS STRING)) END AS title,
+  CASE WHEN c_custkey % 5 = 0 THEN 'A' ELSE 'a ' END AS abstract, CAST(c_nationkey % 2 AS STRING) AS label, c_mktsegment AS lang, CAST(1990 + c_custkey % 30 AS STRING) AS publication_year, CAST(c_nationkey AS BIGINT) AS n_chars FROM {customer}"""
+
 #: Orders as a review sheet: year, topic, level, detail.
 REVIEW = """SELECT o.o_orderkey AS _row_id, CASE WHEN o.o_orderkey % 23 = 0 THEN 'n/a' ELSE CAST(year(o.o_orderdate) AS STRING) END AS publication_year, CASE WHEN o.o_orderkey % 47 = 0 THEN ' ' ELSE o.o_orderpriority END AS topic,
   CASE o.o_orderkey % 5 WHEN 0 THEN '0' WHEN 1 THEN 'Non-spatial' WHEN 2 THEN '1.0' ELSE 'TRUE' END AS spatial_flag, CASE WHEN o.o_orderkey % 9 = 0 THEN '' WHEN r.r_regionkey = 0 THEN '9. Micro / Neighborhood / Block' ELSE r.r_name END AS level,
   CASE WHEN o.o_orderkey % 6 = 0 THEN NULL ELSE n.n_name END AS detail
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey"""
 
-#: Short texts of the awkward kinds, one for each document.
-MESSY = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('  ', substr(text, 1, 60), '  ') WHEN 1 THEN 'NaN' WHEN 2 THEN NULL WHEN 3 THEN replace(substr(text, 1, 80), ' ', '   ') WHEN 4 THEN '' WHEN 5 THEN replace(replace(substr(text, 1, 50), 'e', 'E'), 't', 'T') WHEN 6 THEN replace(substr(text, 1, 70), 'e', '-') ELSE substr(text, 1, 90) END AS t,
+#: Whole texts and cells of the awkward kinds, one for each document.
+MESSY = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('  ', text, '  ') WHEN 1 THEN 'NaN' WHEN 2 THEN NULL WHEN 3 THEN replace(text, ' ', '   ') WHEN 4 THEN '' WHEN 5 THEN replace(replace(text, 'e', 'E'), 't', 'T') WHEN 6 THEN replace(text, 'e', '-') ELSE text END AS t,
   CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'alpha; Beta ;alpha;; gamma  ray' WHEN 2 THEN ' ' WHEN 3 THEN concat(lang, '; ', source, ';', lang) ELSE 'Beta; delta' END AS kw1, CASE doc_id % 4 WHEN 0 THEN 'delta ;BETA' WHEN 1 THEN 'nan' WHEN 2 THEN NULL ELSE concat(source, ' ; Omega') END AS kw2,
   CASE doc_id % 11 WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN ' 0 ' WHEN 3 THEN '0.0' WHEN 4 THEN 'true' WHEN 5 THEN 'Spatial' WHEN 6 THEN 'x' WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 9 THEN '1.7' ELSE '-1' END AS flag,
   CASE doc_id % 8 WHEN 0 THEN 'u3' WHEN 1 THEN 'N10' WHEN 2 THEN ' UNKNOWN ' WHEN 3 THEN 'none' WHEN 4 THEN 'Urban_Renewal_Other' WHEN 5 THEN 'U99' WHEN 6 THEN NULL ELSE 'n2' END AS label,

@@ -28,7 +28,8 @@ WORDS = L.Taxonomy(
         L.Topic("N8", cells.OUT, "eighth out", ("on", "ea"), ("er", "th"), ("edblean", "ing"), excludes=("que", "und")),
     )
 )
-DOCS = "SELECT doc_id, doc_id AS _row_id, substr(text, 1, 60) AS title, substr(text, 61, 600) AS abstract, lang, source, n_chars FROM {documents}"
+#: Whole documents: the first line is the title, all after it the abstract.
+DOCS = "SELECT doc_id, doc_id AS _row_id, split_part(text, chr(10), 1) AS title, regexp_replace(text, concat('^[^', chr(10), ']*', chr(10), '?'), '') AS abstract, text, lang, source, n_chars FROM {documents}"
 _D = D.duck(DOCS)
 _SQ = "replace(regexp_replace(lower(trim({c})), '\\s+', ' ', 'g'), '-', ' ')"
 _X = f"x AS (SELECT doc_id, {_SQ.replace('{c}', 'title')} AS t, {_SQ.replace('{c}', 'abstract')} AS a FROM ({_D})), y AS (SELECT *, concat_ws(' ', nullif(t, ''), nullif(a, '')) AS b FROM x)"
@@ -60,13 +61,6 @@ def docs(spark, sf):
     return D.spark_frame(spark, sf, DOCS)
 
 
-def whole(spark, sf):
-    """Documents without a cut: the first line as the title, all after it as the abstract, and the text itself."""
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    line = F.substring_index("text", "\n", 1)
-    return d.select("doc_id", F.col("doc_id").alias("_row_id"), line.alias("title"), F.substring("text", F.length(line) + 2, F.length("text")).alias("abstract"), "text", "lang", "source", "n_chars")
-
-
 def scored(spark, sf):
     return L.score_topics(L.fields(docs(spark, sf)), WORDS)
 
@@ -90,7 +84,7 @@ def l04(spark, sf):
 
 @query("l05_topic_scores", f"WITH {_X}, {_LONG} SELECT doc_id, label, score FROM l")
 def l05(spark, sf):
-    return scored(spark, sf).select("doc_id", F.explode("topics").alias("x")).select("doc_id", F.col("x.label").alias("label"), F.col("x.score").alias("score"))
+    return scored(spark, sf).select("doc_id", F.explode_outer("topics").alias("x")).select("doc_id", F.col("x.label").alias("label"), F.col("x.score").alias("score"))
 
 
 @query("l06_topic_order", f"WITH {_X}, {_LONG} SELECT doc_id, string_agg(label, '>' ORDER BY score DESC, place) AS labels FROM l GROUP BY doc_id")
@@ -109,7 +103,7 @@ def l07(spark, sf):
 
 
 def first(spark, sf):
-    return L.first_stage(L.score_topics(L.fields(whole(spark, sf)), WORDS))
+    return L.first_stage(L.score_topics(L.fields(docs(spark, sf)), WORDS))
 
 
 def staged(spark, sf):
@@ -130,12 +124,12 @@ def l15(spark, sf):
 
 # --- token odds ---
 
-_TOK = f"WITH d AS ({_D}), k AS (SELECT d.doc_id, quality, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g'), '[a-z0-9]+'))) AS token FROM d JOIN labels USING (doc_id)), n AS (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM (SELECT DISTINCT doc_id, quality FROM k)), c AS (SELECT token, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM k GROUP BY 1 HAVING count(*) >= 2), w AS (SELECT token, ln((pos + 1) / (p + 2.0)) - ln((neg + 1) / (n + 2.0)) AS weight FROM c, n)"
+_TOK = f"WITH d AS ({_D}), k AS (SELECT d.doc_id, quality, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[a-z0-9]+'))) AS token FROM d JOIN labels USING (doc_id)), n AS (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM (SELECT DISTINCT doc_id, quality FROM k)), c AS (SELECT token, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM k GROUP BY 1 HAVING count(*) >= 2), w AS (SELECT token, ln((pos + 1) / (p + 2.0)) - ln((neg + 1) / (n + 2.0)) AS weight FROM c, n)"
 
 
 def labelled_tokens(spark, sf):
     d = docs(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    return C.document_tokens(d, "doc_id", text.unigrams("title"), ("quality",))
+    return C.document_tokens(d, "doc_id", text.unigrams("text"), ("quality",))
 
 
 @query("a39_token_documents", f"{_TOK} SELECT token, pos, neg FROM c")
@@ -150,10 +144,10 @@ def m01(spark, sf):
     return C.fit_odds(labelled_tokens(spark, sf), "doc_id", "quality")[0].select("token", F.round("weight", 9).alias("weight"))
 
 
-@query("m02_odds_score", f"{_TOK}, t2 AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g'), '[a-z0-9]+'))) AS token FROM d) SELECT doc_id, round(sum(coalesce(weight, 0)) + max(ln((p + 1) / (n + 1.0))), 6) AS odds, round(1 / (1 + exp(-least(greatest((sum(coalesce(weight, 0)) + max(ln((p + 1) / (n + 1.0)))) / 4, -12), 12))), 6) AS probability FROM t2 LEFT JOIN w USING (token), n GROUP BY doc_id")
+@query("m02_odds_score", f"{_TOK}, t2 AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[a-z0-9]+'))) AS token FROM d) SELECT doc_id, round(sum(coalesce(weight, 0)) + max(ln((p + 1) / (n + 1.0))), 6) AS odds, round(1 / (1 + exp(-least(greatest((sum(coalesce(weight, 0)) + max(ln((p + 1) / (n + 1.0)))) / 4, -12), 12))), 6) AS probability FROM t2 LEFT JOIN w USING (token), n GROUP BY doc_id")
 def m02(spark, sf):
     w, bias = C.fit_odds(labelled_tokens(spark, sf), "doc_id", "quality")
-    tokens = C.document_tokens(docs(spark, sf), "doc_id", text.unigrams("title"))
+    tokens = C.document_tokens(docs(spark, sf), "doc_id", text.unigrams("text"))
     return C.odds_score(tokens, "doc_id", w, bias).select("doc_id", F.round("odds", 6).alias("odds"), F.round("probability", 6).alias("probability"))
 
 
@@ -336,13 +330,13 @@ def m12(spark, sf):
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP)
-_TERM = f"""g AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g'), '[a-z][a-z0-9_+-]{{2,}}') AS w FROM ({_D})),
+_TERM = f"""g AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[a-z][a-z0-9_+-]{{2,}}') AS w FROM ({_D})),
 u AS (SELECT doc_id, w[i] AS term, 1 AS n FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM g) WHERE w[i] NOT IN ({_STOP}) UNION ALL SELECT doc_id, w[i] || '_' || w[i + 1], 2 FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM g) WHERE w[i] NOT IN ({_STOP}) AND w[i + 1] NOT IN ({_STOP}))"""
 
 
 @query("m08_keyword_terms", f"WITH {_TERM}, s AS (SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS weight FROM u GROUP BY 1, 2) SELECT doc_id, term, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 10")
 def m08(spark, sf):
-    return T.top_terms(docs(spark, sf), "doc_id", "title")
+    return T.top_terms(docs(spark, sf), "doc_id", "text")
 
 
 _BUCKET = "b AS (SELECT d.doc_id, coalesce(term, 'document_' || d.doc_id) AS bucket FROM documents AS d LEFT JOIN (SELECT doc_id, term FROM (SELECT doc_id, term, sum(n) AS weight FROM u GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) = 1) USING (doc_id))"
@@ -350,12 +344,12 @@ _BUCKET = "b AS (SELECT d.doc_id, coalesce(term, 'document_' || d.doc_id) AS buc
 
 @query("m07_keyword_clusters", f"WITH {_TERM}, {_BUCKET} SELECT doc_id, bucket FROM b")
 def m07(spark, sf):
-    return T.by_keyword(docs(spark, sf), "doc_id", "title")
+    return T.by_keyword(docs(spark, sf), "doc_id", "text")
 
 
 @query("m09_cluster_ids", f"WITH {_TERM}, {_BUCKET} SELECT bucket, count(*) AS size, 'DUR_' || CASE WHEN r < 10000 THEN lpad(CAST(r AS VARCHAR), 4, '0') ELSE CAST(r AS VARCHAR) END AS cluster FROM (SELECT bucket, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS r FROM b GROUP BY 1) JOIN b USING (bucket) GROUP BY bucket, r")
 def m09(spark, sf):
-    return T.name_clusters(T.by_keyword(docs(spark, sf), "doc_id", "title"), "doc_id")
+    return T.name_clusters(T.by_keyword(docs(spark, sf), "doc_id", "text"), "doc_id")
 
 
 @query("m11_cluster_confidence", "SELECT doc_id, round(0.45 * least(1, n_chars / 2000.0) + 0.35 * least(1, (doc_id % 10) / 10.0 / 0.35) + 0.2 * least(1, (doc_id % 12) / 8.0), 6) AS confidence FROM documents")
@@ -366,7 +360,7 @@ def m11(spark, sf):
 
 @query("m10_map_to_fixed", None)
 def m10(spark, sf):
-    k = T.top_terms(whole(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
+    k = T.top_terms(docs(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
     m = F.col("mapping")
     return T.map_to_fixed(k, "keywords", T.seed_tokens(WORDS)).select("doc_id", m["candidate"].alias("candidate"), m["status"].alias("status"), m["score"].alias("score"))
 
@@ -383,13 +377,13 @@ def m13(spark, sf):
 
 @query("m16_enrich_clusters", None)
 def m16(spark, sf):
-    p = pooled(spark, sf).select("doc_id", "source_pool").join(whole(spark, sf), "doc_id")
+    p = pooled(spark, sf).select("doc_id", "source_pool").join(docs(spark, sf), "doc_id")
     return T.enrich(p, "doc_id", "text", WORDS).select("doc_id", "source_pool", "cluster", "cluster_size", "cluster_keywords", "mapping_status")
 
 
 @query("m06_kmeans_clusters", None)
 def m06(spark, sf):
-    return T.by_kmeans(whole(spark, sf), "doc_id", "text", T.Config(min_size=100))
+    return T.by_kmeans(docs(spark, sf), "doc_id", "text", T.Config(min_size=100))
 
 
 REFINE = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '' END AS final_label, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'N3' END AS topic_final, 'covered' AS coverage, CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE '' END AS candidate_label, CAST((doc_id % 10) / 10.0 AS STRING) AS cluster_confidence, CAST(doc_id % 40 AS STRING) AS cluster_size, 'DUR_1' AS cluster,
@@ -423,9 +417,9 @@ def m21(spark, sf):
     return T.auto_mapping(d, "topic", "label", none, 0.3, 0.3)
 
 
-@query("m23_sample_titles", "WITH f AS (SELECT lang AS topic, trim(substr(text, 1, 12)) AS t, min(doc_id) AS o FROM documents WHERE trim(substr(text, 1, 12)) <> '' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY o) AS r FROM f) SELECT topic, string_agg(t, ' | ' ORDER BY r) AS sample_titles FROM k WHERE r <= 5 GROUP BY 1")
+@query("m23_sample_titles", "WITH f AS (SELECT lang AS topic, trim(split_part(text, chr(10), 1)) AS t, min(doc_id) AS o FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY o) AS r FROM f) SELECT topic, string_agg(t, ' | ' ORDER BY r) AS sample_titles FROM k WHERE r <= 5 GROUP BY 1")
 def m23(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("topic"), F.btrim(F.substring("text", 1, 12)).alias("t"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("topic"), F.btrim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("t"))
     return T.sample_titles(d, "topic", "t", "doc_id")
 
 

@@ -62,10 +62,13 @@ def u13(spark, sf):
     return read(spark, sf, "documents").select("doc_id", U.hint_block(m).alias("hints"))
 
 
-@query("u16_consistency", "SELECT 'missing' AS kind, name FROM (SELECT DISTINCT source AS name FROM documents WHERE doc_id % 3 = 0) WHERE name NOT IN (SELECT source FROM documents WHERE doc_id % 7 = 0) UNION ALL SELECT 'orphan', name FROM (SELECT DISTINCT source AS name FROM documents WHERE doc_id % 7 = 0) WHERE name NOT IN (SELECT source FROM documents WHERE doc_id % 3 = 0)")
+_KNOWN, _USED = "SELECT DISTINCT source AS name FROM documents WHERE lang = 'de'", "SELECT DISTINCT source AS name FROM documents JOIN labels USING (doc_id) WHERE quality = 0"
+
+
+@query("u16_consistency", f"SELECT 'missing' AS kind, name FROM ({_KNOWN}) WHERE name NOT IN ({_USED}) UNION ALL SELECT 'orphan', name FROM ({_USED}) WHERE name NOT IN ({_KNOWN})")
 def u16(spark, sf):
-    d = read(spark, sf, "documents")
-    return U.consistency(d.where("doc_id % 3 = 0").select(F.col("source").alias("name")).distinct(), d.where("doc_id % 7 = 0").select(F.col("source").alias("name")).distinct())
+    d = read(spark, sf, "documents").withColumnRenamed("source", "name")
+    return U.consistency(d.where("lang = 'de'").select("name").distinct(), d.join(read(spark, sf, "labels").where("quality = 0"), "doc_id").select("name").distinct())
 
 
 @query("u18_context_full", "SELECT conv_id, turn, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS characters, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) > 400 AS is_full FROM conversations")

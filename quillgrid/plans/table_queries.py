@@ -12,9 +12,10 @@ from quillgrid.operators import sampling as X
 from quillgrid.plans import frames as D
 from quillgrid.plans.registry import query
 
-_T, _R, _E = D.duck(D.TITLED), D.duck(D.REVIEW), D.duck(D.EVAL)
+_T, _R, _E, _X = D.duck(D.TITLED), D.duck(D.REVIEW), D.duck(D.EVAL), D.duck(D.CROSSED)
 _KEY = "regexp_replace(lower(trim(coalesce(title, 'nan'))), '\\s+', ' ', 'g')"
-_SIDES = f"k AS (SELECT *, {_KEY} AS _key FROM t), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _key ORDER BY _row_id) AS n FROM k WHERE doc_id % 2 = 0) WHERE n = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _key ORDER BY _row_id) AS n FROM k WHERE doc_id % 3 < 2 AND doc_id % 5 <> 0) WHERE n = 1)"
+_ONE_EACH = f"(SELECT *, {_KEY} AS _key, row_number() OVER (PARTITION BY {_KEY} ORDER BY _row_id) AS n FROM {{}}) WHERE n = 1"
+_SIDES = f"x AS ({_X}), a AS (SELECT * FROM {_ONE_EACH.format('t')}), b AS (SELECT * FROM {_ONE_EACH.format('x')})"
 _MK = "lower(trim(coalesce(CAST(title AS VARCHAR), ''))) || chr(31) || lower(trim(coalesce(CAST(abstract AS VARCHAR), '')))"
 
 
@@ -22,6 +23,10 @@ def titled(spark, sf):
     return D.spark_frame(spark, sf, D.TITLED)
 
 
+def crossed(spark, sf):
+    return D.spark_frame(spark, sf, D.CROSSED)
+
+
 def review(spark, sf):
     return P.normalize(D.spark_frame(spark, sf, D.REVIEW), "publication_year", "topic", "spatial_flag", "level", "detail")
 
@@ -31,8 +36,7 @@ def tq(name: str, sql: str | None):
 
 
 def _sides(spark, sf):
-    t = titled(spark, sf)
-    return t.where("doc_id % 2 = 0"), t.where("doc_id % 3 < 2 and doc_id % 5 <> 0")
+    return titled(spark, sf), crossed(spark, sf)
 
 
 def _aligned(spark, sf):
@@ -81,10 +85,10 @@ def j04(spark, sf):
 _OCC = f"SELECT *, {_MK} AS mk, row_number() OVER (PARTITION BY {_MK} ORDER BY _row_id) - 1 AS dup FROM t"
 
 
-@tq("j05_occurrence_join", f", o AS ({_OCC}), l AS (SELECT *, row_number() OVER (PARTITION BY mk ORDER BY _row_id) - 1 AS i FROM o WHERE doc_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY mk ORDER BY _row_id) - 1 AS i FROM o WHERE doc_id % 4 < 3) SELECT l._row_id, r.doc_id, r.n_chars FROM l LEFT JOIN r ON l.mk = r.mk AND l.i = r.i")
+@tq("j05_occurrence_join", f", x AS ({_X}), l AS ({_OCC}), r AS ({_OCC.replace('FROM t', 'FROM x')}) SELECT l._row_id, r.doc_id, r.n_chars FROM l LEFT JOIN r ON l.mk = r.mk AND l.dup = r.dup")
 def j05(spark, sf):
-    t = titled(spark, sf)
-    return J.by_occurrence(t.where("doc_id % 2 = 0"), t.where("doc_id % 4 < 3"), ["title", "abstract"]).select("_row_id", "doc_id", "n_chars")
+    right = crossed(spark, sf).select("_row_id", "title", "abstract", "doc_id", "n_chars")
+    return J.by_occurrence(titled(spark, sf).select("_row_id", "title", "abstract"), right, ["title", "abstract"]).select("_row_id", "doc_id", "n_chars")
 
 
 _YEAR = f"y AS (SELECT {_MK} AS mk, coalesce(arg_min(publication_year, _row_id) FILTER (publication_year IS NOT NULL), '') AS year FROM t GROUP BY 1)"
@@ -121,16 +125,14 @@ def j11(spark, sf):
 _LT = "lower(trim(coalesce(title, '')))"
 
 
-@tq("j12_title_merge", f", l AS (SELECT *, {_LT} AS k FROM t WHERE doc_id % 2 = 0), r AS (SELECT *, {_LT} AS k FROM t WHERE doc_id % 3 = 0) SELECT l.doc_id, r.doc_id AS doc_id_right FROM l LEFT JOIN r USING (k)")
+@tq("j12_title_merge", f", x AS ({_X}), l AS (SELECT *, {_LT} AS k FROM t), r AS (SELECT *, {_LT} AS k FROM x) SELECT l.doc_id, r.doc_id AS doc_id_right FROM l LEFT JOIN r USING (k)")
 def j12(spark, sf):
-    t = titled(spark, sf).select("doc_id", "title")
-    return J.by_title(t.where("doc_id % 2 = 0"), t.where("doc_id % 3 = 0")).select("doc_id", "doc_id_right")
+    return J.by_title(titled(spark, sf).select("doc_id", "title"), crossed(spark, sf).select("doc_id", "title")).select("doc_id", "doc_id_right")
 
 
-@tq("j13_side_by_side", "SELECT coalesce(a._row_id, b._row_id) AS _row_id, a.lang AS \"[ONE] lang\", b.n_chars AS \"[TWO] n_chars\" FROM t AS a FULL JOIN (SELECT * FROM t WHERE doc_id % 2 = 0) AS b USING (_row_id)")
+@tq("j13_side_by_side", f", x AS ({_X}) SELECT coalesce(a._row_id, b._row_id) AS _row_id, a.lang AS \"[ONE] lang\", b.n_chars AS \"[TWO] n_chars\" FROM t AS a FULL JOIN x AS b USING (_row_id)")
 def j13(spark, sf):
-    t = titled(spark, sf)
-    return J.side_by_side({"one": t.select("_row_id", "lang"), "two": t.where("doc_id % 2 = 0").select("_row_id", "n_chars")})
+    return J.side_by_side({"one": titled(spark, sf).select("_row_id", "lang"), "two": crossed(spark, sf).select("_row_id", "n_chars")})
 
 
 @tq("j14_unknown_review_join", f", e AS ({_E}) SELECT t.doc_id, t.title, e.truth FROM t LEFT JOIN e ON t.doc_id = e.doc_id WHERE t.label = '0'")
@@ -295,9 +297,8 @@ def x03(spark, sf):
 
 @tq("x04_run_order", "SELECT doc_id, row_number() OVER (ORDER BY lower(trim(coalesce(title, ''))), _row_id) AS place FROM t")
 def x04(spark, sf):
-    from pyspark.sql import Window
-
-    return titled(spark, sf).select("doc_id", F.row_number().over(Window.orderBy(F.lower(cells.text_of("title")), "_row_id")).cast("long").alias("place"))
+    keyed = titled(spark, sf).select("doc_id", F.lower(cells.text_of("title")).alias("key"), "_row_id")
+    return M.numbered(keyed, ["key", "_row_id"]).select("doc_id", F.col("_position").alias("place"))
 
 
 @tq("x06_clean_columns", "SELECT doc_id, trim(coalesce(title, '')) AS title, trim(abstract) AS abstract FROM t")

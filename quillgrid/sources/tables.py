@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import re
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
@@ -219,20 +220,37 @@ def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
     return {n: spark.read.parquet(f"{folder}/{re.sub(r'[^A-Za-z0-9_-]+', '_', n)[:31]}") for n in names}
 
 
-def write_json(path: str, value: Mapping) -> None:
-    """A sidecar beside an output, in place at once."""
-    temp = f"{path}.tmp"
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(temp, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True)
-    os.replace(temp, path)
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def read_json(path: str) -> dict | None:
-    if not os.path.exists(path):
+def write_json(spark: SparkSession, path: str, value: Mapping) -> None:
+    """A sidecar beside an output, on any file system that Spark writes; it appears under its name when it is whole."""
+    final, fs = _path(spark, path)
+    temp, _ = _path(spark, f"{path}.tmp")
+    out = fs.create(temp, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode()))
+    out.close()
+    fs.delete(final, False)
+    fs.rename(temp, final)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
         return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(path).collect()))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; under a temporary folder only where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def run_paths(dataset: str, track: str, tag: str) -> dict[str, str]:

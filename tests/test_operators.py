@@ -202,8 +202,8 @@ def test_headerless_records(spark):
 def test_tables_round_trip(spark, tmp_path):
     S.write_tables({"One table": spark.range(3)}, str(tmp_path))
     assert S.read_tables(spark, str(tmp_path), ["One table"])["One table"].count() == 3
-    S.write_json(str(tmp_path / "m.json"), {"a": 1})
-    assert S.read_json(str(tmp_path / "m.json")) == {"a": 1} and S.read_json(str(tmp_path / "no.json")) is None
+    S.write_json(spark, str(tmp_path / "m.json"), {"a": 1})
+    assert S.read_json(spark, str(tmp_path / "m.json")) == {"a": 1} and S.read_json(spark, str(tmp_path / "no.json")) is None
 
 
 def test_signatures():
