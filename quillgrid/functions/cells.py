@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import strip
+from quillgrid.functions.text import bind, strip
 
 #: Texts that stand for a missing cell, lower-cased (fixed values).
 MISSING = ("", "nan", "none", "null")
@@ -125,15 +125,14 @@ def same_description(a: Column | str, b: Column | str, least: float = 0.6) -> Co
 
 def topic(c: Column | str) -> Column:
     """A topic label as it is written: "" if missing, Unknown in any case, U and N labels in upper case."""
-    t = text_of(c)
-    return F.when(F.lower(t).isin(*MISSING), "").when(F.lower(t) == UNKNOWN.lower(), UNKNOWN).when(F.rlike(t, F.lit("^[UuNn][0-9]+$")), F.upper(t)).otherwise(t)
+    return bind(text_of(c), lambda t: F.when(F.lower(t).isin(*MISSING), "").when(F.lower(t) == UNKNOWN.lower(), UNKNOWN).when(F.rlike(t, F.lit("^[UuNn][0-9]+$")), F.upper(t)).otherwise(t))
 
 
 def family(c: Column | str) -> Column:
     """The family of a topic label: urban, nonurban, unknown, or "" for a missing label."""
-    t = topic(c)
-    known = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))
-    return F.when(t == "", "").otherwise(F.coalesce(F.try_element_at(known, t), F.lit(NEITHER)))
+    known = F.create_map(*(F.lit(x) for kv in {**FAMILIES, UNKNOWN: NEITHER, "": ""}.items() for x in kv))
+    at = lambda t: F.try_element_at(known, t)
+    return F.coalesce(at(col(c).cast("string")), bind(topic(c), lambda t: F.coalesce(at(t), F.lit(NEITHER))))  # most labels are as they should be
 
 
 def family_of_group(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space of Java's \s, and the no-break space.
 _EDGE = r"^[\s ]+|[\s ]+$"
 SEPARATOR = " [SEP] "
+#: Every spelling of "nan".
+_NAN = tuple("".join(x) for x in itertools.product("nN", "aA", "nN"))
 
 
 def _c(c: Column | str) -> Column:
@@ -32,8 +35,7 @@ def strip(c: Column | str) -> Column:
 
 def normalize(c: Column | str) -> Column:
     """Trimmed text; null and "nan" in any case are empty."""
-    t = strip(F.coalesce(_c(c).cast("string"), F.lit("")))
-    return F.when(F.lower(t) == "nan", "").otherwise(t)
+    return bind(strip(F.coalesce(_c(c).cast("string"), F.lit(""))), lambda t: F.when(t.isin(*_NAN), "").otherwise(t))
 
 
 def phrase(c: Column | str) -> Column:
@@ -70,13 +72,18 @@ def domains(first: Column | str, second: Column | str) -> Column:
 
 
 def unigrams(c: Column | str) -> Column:
-    return F.regexp_extract_all(phrase(c), F.lit("[a-z0-9]+"), 0)
+    return F.filter(F.split(phrase(c), "[^a-z0-9]+"), lambda x: x != "")
 
 
 def tokens(c: Column | str) -> Column:
     """Unigrams, then the pairs of neighbours joined by an underscore."""
-    one = unigrams(c)
-    return F.concat(one, pairs(one))
+    return bind(unigrams(c), lambda one: F.concat(one, pairs(one)))
+
+
+def token_count(c: Column | str) -> Column:
+    """The size of ``tokens``: each unigram, and each pair of neighbours."""
+    edges = lambda p: F.size(p) - (p[0] == "").cast("int") - (F.element_at(p, -1) == "").cast("int")
+    return bind(F.split(phrase(c), "[^a-z0-9]+"), lambda p: F.greatest(2 * edges(p) - 1, F.lit(0)))
 
 
 def pairs(one: Column) -> Column:

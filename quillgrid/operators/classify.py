@@ -68,7 +68,7 @@ def confidence(score: Column, margin: Column, p: Column, matched: Column, unknow
 def second_stage(df: DataFrame, p: str | None = None, title: str = "title", abstract: str = "abstract") -> DataFrame:
     """Adds ``local`` from ``topics`` and the odds' probability (0.5 without a model)."""
     prob = F.coalesce(F.col(p), F.lit(0.5)) if p else F.lit(0.5)
-    df = df.withColumns({"_p": prob, "_n": F.size(text.tokens(text.joined([title, abstract])))}).withColumn("_l", text.seal(aligned(F.col("topics"), F.col("_p"))))
+    df = df.withColumns({"_p": prob, "_n": text.token_count(text.joined([title, abstract]))}).withColumn("_l", text.seal(aligned(F.col("topics"), F.col("_p"))))
     best, second = F.col("_l")[0], F.try_element_at("_l", F.lit(2))
     margin = F.round(F.greatest(best["score"] - F.coalesce(second["score"], F.lit(0.0)), F.lit(0.0)), 4)
     unknown = is_unknown(best["label"], best["score"], margin, F.col("_p"))

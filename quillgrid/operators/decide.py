@@ -183,13 +183,19 @@ def within(family: Column, extra_topic: Column | None = None, cfg: Settings = DE
     own = F.coalesce(F.array_max(F.transform(F.filter(rows, lambda x: x["label"] == h["label"]), lambda x: x["score"])), F.lit(0.0))
     rows = F.concat(rows, add(h["label"], own + bonus, (h["label"] != "") & (cells.family(h["label"]) == family)))
     rows = F.filter(rows, lambda x: (x["label"] != UNKNOWN) & (cells.family(x["label"]) == family))
-    labels = F.array_distinct(F.transform(rows, lambda x: x["label"]))
-    best = F.array_sort(F.transform(labels, lambda k: F.struct((-F.array_max(F.transform(F.filter(rows, lambda x: x["label"] == k), lambda x: x["score"]))).alias("minus"), k.alias("label"))))
-    top, second = -F.try_element_at(best, F.lit(1))["minus"], F.coalesce(-F.try_element_at(best, F.lit(2))["minus"], F.lit(0.0))
-    margin = F.round(F.greatest(top - second, F.lit(0.0)), 4)
-    known = family.isin(IN, OUT) & (F.size(best) > 0)
-    label = F.when(known & (top >= 2.8) & (margin >= 1.0), F.try_element_at(best, F.lit(1))["label"]).otherwise(UNKNOWN)
-    return F.struct(label.alias("label"), F.when(known, F.round(top, 4)).otherwise(0.0).alias("score"), F.when(known, margin).otherwise(0.0).alias("margin"))
+
+    def ranked(rows: Column) -> Column:
+        labels = F.array_distinct(F.transform(rows, lambda x: x["label"]))
+        return F.array_sort(F.transform(labels, lambda k: F.struct((-F.array_max(F.transform(F.filter(rows, lambda x: x["label"] == k), lambda x: x["score"]))).alias("minus"), k.alias("label"))))
+
+    def pick(best: Column) -> Column:
+        top, second = -F.try_element_at(best, F.lit(1))["minus"], F.coalesce(-F.try_element_at(best, F.lit(2))["minus"], F.lit(0.0))
+        margin = F.round(F.greatest(top - second, F.lit(0.0)), 4)
+        known = family.isin(IN, OUT) & (F.size(best) > 0)
+        label = F.when(known & (top >= 2.8) & (margin >= 1.0), F.try_element_at(best, F.lit(1))["label"]).otherwise(UNKNOWN)
+        return F.struct(label.alias("label"), F.when(known, F.round(top, 4)).otherwise(0.0).alias("score"), F.when(known, margin).otherwise(0.0).alias("margin"))
+
+    return text.bind(text.bind(rows, ranked), pick)
 
 
 # --- unknown topics ---
@@ -481,11 +487,15 @@ def recall_floor(raw: Column, cfg: Settings = DEFAULT) -> Column:
         )
     )
     say = lambda score, flag, tier, why: F.struct(score.alias("score"), F.lit(flag).alias("flag"), tier.alias("tier"), why.alias("reason"))
-    detail = F.when(topical, s(best["why"], ";urban_sources=", F.array_join(sources, ","))).otherwise(best["why"])
-    return first_match(
-        [(F.lit(not cfg.recall), say(raw, 0, F.lit("none"), F.lit("disabled"))), (blocked.isNotNull(), say(raw, 0, F.lit("blocked"), blocked)), (best.isNull(), say(raw, 0, F.lit("none"), F.lit("no_recall_evidence"))), (best["floor"] <= raw, say(raw, 0, F.lit("none"), F.lit("score_already_above_recall_floor")))],
-        say(best["floor"], 1, best["tier"], detail),
-    )
+
+    def say_best(best: Column) -> Column:
+        detail = F.when(topical, s(best["why"], ";urban_sources=", F.array_join(sources, ","))).otherwise(best["why"])
+        return first_match(
+            [(F.lit(not cfg.recall), say(raw, 0, F.lit("none"), F.lit("disabled"))), (blocked.isNotNull(), say(raw, 0, F.lit("blocked"), blocked)), (best.isNull(), say(raw, 0, F.lit("none"), F.lit("no_recall_evidence"))), (best["floor"] <= raw, say(raw, 0, F.lit("none"), F.lit("score_already_above_recall_floor")))],
+            say(best["floor"], 1, best["tier"], detail),
+        )
+
+    return text.bind(best, say_best)
 
 
 def raw_score(cfg: Settings = DEFAULT) -> Column:
