@@ -110,13 +110,46 @@ def staged(spark, sf):
     return C.second_stage(first(spark, sf))
 
 
-@query("l11_first_stage", None)
+_COMBO = "label = 'U9' AND contains(b, 'que') AND contains(b, 'de')"
+#: The first stage over texts that have none of the phrases it looks for: topics alone decide.
+_FIRST = f"""o AS (SELECT l.doc_id, label, place, score, {_COMBO} AS combo, row_number() OVER (PARTITION BY l.doc_id ORDER BY score DESC, place) AS r FROM l JOIN y ON y.doc_id = l.doc_id),
+f AS (SELECT doc_id, max(label) FILTER (r = 1) AS top, max(label) FILTER (r = 2) AS next, max(score) FILTER (r = 1) AS score, bool_or(combo) FILTER (r = 1) AS combo, round(greatest(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 0), 4) AS margin, string_agg(label || ':' || printf('%.2f', score), '; ' ORDER BY r) FILTER (r <= 3) AS top3 FROM o GROUP BY doc_id),
+g AS (SELECT *, CASE WHEN score <= 0 THEN 'Unknown' ELSE top END AS label, ((score >= 6 AND margin >= 3) OR (score >= 5 AND combo)) AND score >= 4 AND margin >= 2 AS strong, CASE WHEN top[1] <> next[1] THEN 1 ELSE 0 END AS conflict FROM f),
+first AS (SELECT *, {D.family('label')} AS "group", CASE WHEN strong THEN 'rule_topic_' || lower(label) ELSE 'uncertain_pass' END AS reason, CASE WHEN label = 'Unknown' THEN 'rule_unknown' WHEN conflict = 1 THEN 'rule_group_conflict' WHEN margin < 2 THEN 'rule_low_margin' WHEN score < 4 THEN 'rule_low_score' ELSE '' END AS review_reason FROM g)"""
+
+
+@query("l11_first_stage", f"WITH {_X}, {_LONG}, {_FIRST} SELECT doc_id, 'uncertain' AS route, reason, label, \"group\", score, margin, conflict, CASE WHEN review_reason <> '' THEN 1 ELSE 0 END AS review_flag, review_reason, top3, '' AS risk_tags FROM first")
 def l11(spark, sf):
     r = F.col("rule")
     return first(spark, sf).select("doc_id", *(r[c].alias(c) for c in ("route", "reason", "label", "group", "score", "margin", "conflict", "review_flag", "review_reason")), F.array_join(r["top3"], "; ").alias("top3"), F.array_join(r["risk_tags"], "; ").alias("risk_tags"))
 
 
-@query("l15_second_stage", None)
+def _weak() -> str:
+    """When the second stage's best topic is too weak to stand, at an even probability."""
+    own = [f"(top = '{n}' AND (score < {a} OR margin < {b} OR {'0.5 >= ' + str(floor) if floor is not None else f'(0.5 <= {ceiling} AND score < {below})'}))" for n, (a, b, floor, ceiling, below) in P.UNKNOWN_POLICIES.items()]
+    return " OR ".join(["score < 2.4", "margin < 1.1", *own])
+
+
+def _matched() -> str:
+    """Whether anything speaks for or against the best topic."""
+    own = []
+    for t in WORDS.topics:
+        marks = [f"{_has(c, x)}" for x in (*t.seeds, *t.context_terms) for c in ("t", "a")] + [_has("b", x) for x in t.excludes]
+        if t.anchors and t.anchor_penalty:
+            marks.append("NOT (" + " OR ".join(_has("b", x) for x in t.anchors) + ")")
+        own.append(f"(top = '{t.label}' AND ({' OR '.join(marks)}))")
+    return " OR ".join(own)
+
+
+_SECOND = f"""o AS (SELECT l.*, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM l),
+f AS (SELECT doc_id, max(label) FILTER (r = 1) AS top, max(score) FILTER (r = 1) AS score, round(greatest(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 0), 4) AS margin, string_agg(label || ':' || printf('%.2f', score), '; ' ORDER BY r) FILTER (r <= 3) AS top3 FROM o GROUP BY doc_id),
+n AS (SELECT doc_id, greatest(2 * len(regexp_extract_all(lower(concat_ws(' [SEP] ', nullif(trim(coalesce(title, '')), ''), nullif(trim(coalesce(abstract, '')), ''))), '[a-z0-9]+')) - 1, 0) AS n FROM ({_D})),
+w AS (SELECT f.*, {_weak()} AS weak, {_matched()} AS matched FROM f JOIN y USING (doc_id)),
+c AS (SELECT *, 0.16 + 0.36 * least(greatest(score / 8, 0), 1) + 0.22 * least(greatest(margin / 4, 0), 1) + CASE WHEN matched THEN 0.05 ELSE 0 END AS c0 FROM w),
+d AS (SELECT *, CASE WHEN weak THEN least(c0, 0.49) ELSE c0 END AS c1 FROM c JOIN n USING (doc_id))"""
+
+
+@query("l15_second_stage", f"WITH {_X}, {_LONG}, {_SECOND} SELECT doc_id, label, {D.family('label')} AS \"group\", round(least(greatest(CASE WHEN n < 8 THEN least(c1, 0.45) WHEN n < 18 THEN least(c1, 0.68) ELSE c1 END, 0.2), 0.99), 4) AS confidence, margin, 0.5 AS p, top3 FROM (SELECT *, CASE WHEN weak THEN 'Unknown' ELSE top END AS label FROM d)")
 def l15(spark, sf):
     lo = F.col("local")
     return staged(spark, sf).select("doc_id", *(lo[c].alias(c) for c in ("label", "group", "confidence", "margin", "p")), F.array_join(lo["top3"], "; ").alias("top3"))

@@ -7,12 +7,14 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillgrid.functions import cells, text
+from quillgrid.functions import text
 from quillgrid.operators import align as J
 from quillgrid.operators import classify as C
 from quillgrid.operators import crosstab as X
-from quillgrid.operators import errors, gate, refine, report, runs
+from quillgrid.operators import decide as H
+from quillgrid.operators import errors, refine, report, runs
 from quillgrid.operators import metrics as M
+from quillgrid.operators import phrases as P
 from quillgrid.operators import sampling
 from quillgrid.operators import topics as T
 from quillgrid.plans import frames as D
@@ -284,6 +286,59 @@ rows("c17_run_paths", "what string, path string", lambda: list(S.run_paths("d1",
 rows("c18_environment", "minor int, lacks string", lambda: [(m, ";".join(runs.environment((3, m), ("pandas",), ("pandas", "pyarrow"), (3, 13)))) for m in (12, 13, 14)], "SELECT minor, concat_ws(';', CASE WHEN minor > 13 THEN 'too new' END, CASE WHEN minor <> 13 THEN 'other version' END, 'missing pyarrow') AS lacks FROM (VALUES (12), (13), (14)) AS v(minor)")
 rows("x05_checkpoint_interval", "n int, step int", lambda: [(n, sampling.checkpoint_interval(n)) for n in (0, 999, 1000, 4999, 5000, 10**6)], "SELECT n, CASE WHEN n >= 5000 THEN 1000 WHEN n >= 1000 THEN 100 ELSE 10 END AS step FROM (VALUES (0), (999), (1000), (4999), (5000), (1000000)) AS v(n)")
 
+# --- the first stage's parts ---
+
+_STAGE = f"WITH {MQ._X}, {MQ._LONG}, {MQ._FIRST}"
+
+
+def _rule(spark, sf, *names):
+    r = F.col("rule")
+    return MQ.first(spark, sf).select("doc_id", *(r[n].alias(n) for n in names))
+
+
+@query("l08_stage_conflict", f"{_STAGE} SELECT doc_id, conflict FROM first")
+def l08(spark, sf):
+    return _rule(spark, sf, "conflict")
+
+
+@query("l09_review_signal", f"{_STAGE} SELECT doc_id, CASE WHEN review_reason <> '' THEN 1 ELSE 0 END AS review_flag, review_reason FROM first")
+def l09(spark, sf):
+    return _rule(spark, sf, "review_flag", "review_reason")
+
+
+@query("l10_route_reason", f"{_STAGE} SELECT doc_id, 'uncertain' AS route, reason FROM first")
+def l10(spark, sf):
+    return _rule(spark, sf, "route", "reason")
+
+
+# --- guards ---
+
+_TEXT = f"{MQ._Z}, b AS (SELECT *, CASE WHEN greenfield THEN 'risk_tag={P.GREENFIELD_RISK}' WHEN contains(title, 'farmland') THEN 'text=farmland' ELSE '' END AS block, contains(title, 'without renewal') AS negated FROM z)"
+
+
+@query("h23_block_reason", f"{_TEXT} SELECT doc_id, block FROM b")
+def h23(spark, sf):
+    return H.signals(MQ.cases(spark, sf)).select("doc_id", H.block_reason(F.col("a")).alias("block"))
+
+
+def _any(terms) -> str:
+    return "(" + " OR ".join(f"contains(v, '{t.replace('-', ' ')}')" for t in dict.fromkeys(terms)) + ")"
+
+
+_WORDED = f"{MQ._K}, v AS (SELECT *, title || ' ' || abstract AS v FROM c)"
+
+
+@query("h30_anchor_evidence", f"{_WORDED} SELECT doc_id, CASE WHEN {_any(P.CORE_ANCHORS)} AND NOT {_any(P.NEGATIONS)} THEN 0.75 WHEN {_any(P.COMMON_ANCHORS)} AND NOT {_any(P.NEGATIONS)} THEN 0.65 WHEN {_any(P.EXISTING_OBJECTS)} THEN 0.65 WHEN {_any(P.MECHANISMS)} THEN 0.65 WHEN technical AND a = 'N8' THEN 0.45 ELSE 0.5 END AS p FROM v")
+def h30(spark, sf):
+    return H.signals(MQ.cases(spark, sf)).select("doc_id", H.anchor_evidence(F.col("a"))["p"].alias("p"))
+
+
+@query("h48_anchor_signal", f"{_WORDED} SELECT doc_id, {_any(P.CORE_ANCHORS)} AS core, {_any(P.COMMON_ANCHORS)} AS broad, {_any(P.EXISTING_OBJECTS)} AS object, {_any(P.MECHANISMS)} AS mechanism, {_any(P.NEGATIONS)} AS negated FROM v")
+def h48(spark, sf):
+    sg = F.col("sig")
+    return H.signals(MQ.cases(spark, sf)).select("doc_id", (F.size(sg["core"]) > 0).alias("core"), (F.size(sg["broad"]) > 0).alias("broad"), sg["object"].alias("object"), sg["mechanism"].alias("mechanism"), sg["negated"].alias("negated"))
+
+
 # --- tasks ---
 
 _LABEL = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '1' WHEN 6 THEN '0' WHEN 7 THEN '0' WHEN 8 THEN '1' ELSE '0' END"
@@ -471,5 +526,3 @@ def f58(spark, sf):
     filled = m.withColumns({c: F.lit("") for c in S.OPTIONAL if c not in m.columns})
     return S.normalised(filled).select("doc_id", "author_keywords", "research_areas")
 
-
-__all__ = ["cells", "gate"]
