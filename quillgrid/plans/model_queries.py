@@ -134,7 +134,9 @@ def _matched() -> str:
     """Whether anything speaks for or against the best topic."""
     own = []
     for t in WORDS.topics:
-        marks = [f"{_has(c, x)}" for x in (*t.seeds, *t.context_terms) for c in ("t", "a")] + [_has("b", x) for x in t.excludes]
+        near = " OR ".join(_has("b", x) for x in t.context_anchors) or "true"
+        context = " OR ".join(_has(c, x) for x in t.context_terms for c in ("t", "a")) or "false"
+        marks = [_has(c, x) for x in t.seeds for c in ("t", "a")] + [_has("b", x) for x in t.excludes] + [f"(({context}) AND ({near}))"]
         if t.anchors and t.anchor_penalty:
             marks.append("NOT (" + " OR ".join(_has("b", x) for x in t.anchors) + ")")
         own.append(f"(top = '{t.label}' AND ({' OR '.join(marks)}))")
@@ -145,14 +147,14 @@ _SECOND = f"""o AS (SELECT l.*, row_number() OVER (PARTITION BY doc_id ORDER BY
 f AS (SELECT doc_id, max(label) FILTER (r = 1) AS top, max(score) FILTER (r = 1) AS score, round(greatest(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 0), 4) AS margin, string_agg(label || ':' || printf('%.2f', score), '; ' ORDER BY r) FILTER (r <= 3) AS top3 FROM o GROUP BY doc_id),
 n AS (SELECT doc_id, greatest(2 * len(regexp_extract_all(lower(concat_ws(' [SEP] ', nullif(trim(coalesce(title, '')), ''), nullif(trim(coalesce(abstract, '')), ''))), '[a-z0-9]+')) - 1, 0) AS n FROM ({_D})),
 w AS (SELECT f.*, {_weak()} AS weak, {_matched()} AS matched FROM f JOIN y USING (doc_id)),
-c AS (SELECT *, 0.16 + 0.36 * least(greatest(score / 8, 0), 1) + 0.22 * least(greatest(margin / 4, 0), 1) + CASE WHEN matched THEN 0.05 ELSE 0 END AS c0 FROM w),
+c AS (SELECT *, 0.16::DOUBLE + 0.36::DOUBLE * least(greatest(score / 8, 0), 1) + 0.22::DOUBLE * least(greatest(margin / 4, 0), 1) + CASE WHEN matched THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS c0 FROM w),
 d AS (SELECT *, CASE WHEN weak THEN least(c0, 0.49) ELSE c0 END AS c1 FROM c JOIN n USING (doc_id))"""
 
 
-@query("l15_second_stage", f"WITH {_X}, {_LONG}, {_SECOND} SELECT doc_id, label, {D.family('label')} AS \"group\", round(least(greatest(CASE WHEN n < 8 THEN least(c1, 0.45) WHEN n < 18 THEN least(c1, 0.68) ELSE c1 END, 0.2), 0.99), 4) AS confidence, margin, 0.5 AS p, top3 FROM (SELECT *, CASE WHEN weak THEN 'Unknown' ELSE top END AS label FROM d)")
+@query("l15_second_stage", f"WITH {_X}, {_LONG}, {_SECOND} SELECT doc_id, label, {D.family('label')} AS \"group\", round(least(greatest(CASE WHEN n < 8 THEN least(c1, 0.45) WHEN n < 18 THEN least(c1, 0.68) ELSE c1 END, 0.2), 0.99), 3) AS confidence, margin, 0.5::DOUBLE AS p, top3 FROM (SELECT *, CASE WHEN weak THEN 'Unknown' ELSE top END AS label FROM d)")
 def l15(spark, sf):
     lo = F.col("local")
-    return staged(spark, sf).select("doc_id", *(lo[c].alias(c) for c in ("label", "group", "confidence", "margin", "p")), F.array_join(lo["top3"], "; ").alias("top3"))
+    return staged(spark, sf).select("doc_id", *(lo[c].alias(c) for c in ("label", "group", "margin", "p")), F.round(lo["confidence"], 3).alias("confidence"), F.array_join(lo["top3"], "; ").alias("top3"))
 
 
 # --- token odds ---
