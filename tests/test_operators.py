@@ -9,6 +9,7 @@ from quillgrid.operators import crosstab, gate, metrics, refine, report, samplin
 from quillgrid.operators import classify as C
 from quillgrid.operators import decide as H
 from quillgrid.operators import lexicon as L
+from quillgrid.operators import runs as R
 from quillgrid.operators import topics as T
 from quillgrid.sources import manifest as U
 from quillgrid.sources import tables as S
@@ -255,3 +256,34 @@ def test_whole_documents_are_classified(spark, tmp_path):
     assert mapped[0] == 0 and mapped[3] > 0
     names = {r.doc_id: r.cluster_keywords for r in q["m16_enrich_clusters"](spark, str(tmp_path)).collect()}
     assert any("renewal" in str(v) for v in names.values())
+
+
+def test_a_wide_lexicon_is_planned_once(spark):
+    """25 topics of 40 terms: each text is normalised once, and scores are those of the terms that occur."""
+    topics = tuple(L.Topic(f"{'U' if i < 15 else 'N'}{i % 15 + 1}", "", "", tuple(f"seed {i} {k}" for k in range(20)), tuple(f"word{i}x{k}" for k in range(20)), excludes=(f"never {i}",)) for i in range(25))
+    df = spark.createDataFrame([("Seed 3 7", "word3x1 and seed 3 7, word4x2; never 4"), (None, "nothing")], "title string, abstract string")
+    out = L.score_topics(L.fields(df), L.Taxonomy(topics))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 12
+    first, second = out.collect()
+    best = {t["label"]: t["score"] for t in first["topics"]}
+    assert best["U4"] == 3.0 * 2.35 + 1.0 and best["U5"] == 1.0 - 3.0 and all(t["score"] == 0 for t in second["topics"])
+
+
+def test_places_of_many_equal_keys(spark):
+    rows = [("same" if i % 3 else f"k{i:03d}", i) for i in range(300)] + [(None, 300)]
+    df = spark.createDataFrame(rows, "k string, n long").repartition(5)
+    got = [(r.k, r.n) for r in metrics.numbered(df, ["k", "n"]).orderBy("_position").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [r._position for r in metrics.numbered(df, ["k", "n"]).orderBy("_position").collect()] == list(range(1, 302)) and metrics.numbered(df.limit(0), ["k", "n"]).count() == 0
+
+
+def test_runs(spark, tmp_path):
+    df = spark.createDataFrame([(0, "Renewal in Old Harbour", "", '{"Is_Spatial_Research": true, "Specific_Study_Area": "Old Harbour", "Spatial_Scale_Level": "8"}'), (1, "", None, "1"), (2, "x", "y", "")], "_row_id long, title string, abstract string, answer string")
+    where = R.spatial(df).collect()
+    assert [r["_row_id"] for r in where] == [0, 2] and where[0]["is_spatial"] == "1" and where[1]["spatial_level"] == "Not mentioned"
+    with pytest.raises(ValueError):
+        R.run(df, "nothing", R.spatial, R.spatial)
+    R.save_bundle(df, f"file://{tmp_path}/m", {"a": "b"})
+    model, settings = R.load_bundle(spark, f"file://{tmp_path}/m")
+    assert settings == {"a": "b"} and R.fingerprint(model).collect() == R.fingerprint(df.repartition(4)).collect()
