@@ -814,3 +814,43 @@ def test_near_duplicates_of_the_tables(spark):
                 up[max(find(k), find(o))] = min(find(k), find(o))
     rows = near_dup.near_duplicates(spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")).collect()
     assert linked > 10 and {r.doc_id: r.class_id for r in rows} == {i: ids[find(k)] for k, i in enumerate(ids)}
+
+
+def brute_statistics(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in w]
+    ups = [sum("A" <= c <= "Z" for c in x) for x in w]
+    win = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    hit = {k + d for k in range(len(w) - 2) if win[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, c, rows = max(len(w), 1), max(len(t), 1), max(len(lines), 1)
+    count = lambda s: sum(x in s for x in t)
+    letter = lambda x: any(ord(k) >= 128 or k.isascii() and k.isalnum() for k in x)
+    return {
+        "words": len(w), "mean_word_length": sum(map(len, w)) / n, "long_word_share": sum(len(x) >= 12 for x in w) / n, "short_word_share": sum(len(x) <= 2 for x in w) / n, "distinct_word_share": len(set(low)) / n, "repeat_word_share": len(hit) / n,
+        "dup_line_share": (len(lines) - len(set(lines))) / rows, "words_per_line": len(w) / rows, "line_end_stop_share": len(re.findall(r"[.!?](?=\n|\Z)", t)) / rows, "symbol_rate": count("#*$%&|<>") / n, "punctuation_rate": count("!?;:,.()[]{}\"'/\\-_=+@^~`") / n, "bang_rate": count("!") / n,
+        "upper_rate": sum(ups) / c if w else 0.0, "upper_word_share": sum(u >= 2 and 2 * u >= len(x) for u, x in zip(ups, w)) / n, "title_word_share": sum(u == 1 and "A" <= x[0] <= "Z" for u, x in zip(ups, w)) / n, "digit_rate": count("0123456789") / c, "beyond_ascii_rate": sum(ord(x) >= 128 for x in t) / c,
+        "white_rate": count(" \t\n\x0b\x0c\r") / c, "stop_rate": count(".!?") / n, "adjacent_repeat_share": sum(a == b for a, b in zip(low, low[1:])) / n, "lone_mark_share": sum(not letter(x) for x in w) / n,
+    }
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.text(alphabet="aAbB \n\t.!?#é日1'-", max_size=60), min_size=1, max_size=5))
+def test_statistics_equal_brute_force(texts):
+    for part, data, offs in chunk_of(texts):
+        got = textstats.statistics(data, offs)
+        for i, t in enumerate(part.column(0).to_pylist()):
+            want = brute_statistics(t)
+            assert {k: round(float(got[k][i]), 9) for k in got} == {k: round(float(v), 9) for k, v in want.items()}, t
+
+
+def test_scores_are_the_rules_of_the_ensemble(spark):
+    """Every score recomputed from the model's own rules and the statistics above."""
+    docs, labels, _ = quality_frame(spark)
+    model = rule_ensemble.fit(docs, labels)
+    texts = [r.text for r in docs.limit(40).collect()] + AWKWARD
+    rows = {r.doc_id: r.score for r in rule_ensemble.classify(frame(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        s = brute_statistics(t or "")
+        z = model.bias + sum(weight for weight, rule in model.rules if all((s[n] <= bound) == low for n, low, bound in rule))
+        assert abs(rows[i] - 1 / (1 + np.exp(-z))) < 1e-9
