@@ -854,3 +854,32 @@ def test_scores_are_the_rules_of_the_ensemble(spark):
         s = brute_statistics(t or "")
         z = model.bias + sum(weight for weight, rule in model.rules if all((s[n] <= bound) == low for n, low, bound in rule))
         assert abs(rows[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_empty_tables_have_no_tokens(spark):
+    path = bpe.library_path()
+    assert token_count.token_counts(frame(spark, []), path).count() == 0 and packing.pack(frame(spark, []), path).count() == 0
+    odd = frame(spark, ["a b", None], [None, None]).withColumn("doc_id", F.lit("x"))
+    assert [r.doc_id for r in token_count.token_counts(odd, path).collect()] == ["x", "x"] and packing.pack(odd, path).count() == 2
+
+
+@pytest.mark.skipif(not HAVE_DATA, reason="no test tables")
+def test_pipeline_stages_on_awkward_documents(spark):
+    """Null and empty texts, repeats of rows, null ids and an extra column; and an empty table."""
+    import corpus_pipeline as P
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    texts = [*AWKWARD, None, "", "token = abcdefgh and more words to read here"]
+    ids = [None if i == 3 else i for i in range(len(texts))]
+    rows = [(i, t, "en", "s", len(t or ""), "extra") for i, t in zip(ids, texts)]
+    docs = spark.createDataFrame(rows + rows[-1:], columns)
+    one = P.drop_near_duplicates(spark, docs, DATA).collect()
+    assert len(one) == len(rows) and set(one[0].asDict()) == set(docs.columns)  # all texts differ, or have no words
+    assert P.drop_contaminated(spark, docs, DATA).count() == len(rows) + 1
+    masked = {r.doc_id: (r.text, r.n_chars) for r in P.mask_secrets(spark, docs, DATA).collect()}
+    assert masked[1] == (None, None) and masked[ids[-1]][0] == "token = [REDACTED] and more words to read here" and masked[ids[-1]][1] == len(masked[ids[-1]][0])
+    assert {(r.doc_id, r.piece) for r in P.pack_sequences(spark, docs, DATA).collect()} >= {(i, 0) for i in ids}
+    good = P.keep_quality(spark, docs, DATA)
+    assert good.columns == docs.columns and good.count() <= len(rows) + 1
+    none = docs.limit(0)
+    assert all(stage(spark, none, DATA).count() == 0 for _, stage in P.STAGES)
