@@ -13,6 +13,7 @@ from quillgrid.operators import classify as C
 from quillgrid.operators import crosstab as X
 from quillgrid.operators import decide as H
 from quillgrid.operators import errors, refine, report, runs
+from quillgrid.operators import gate as G
 from quillgrid.operators import metrics as M
 from quillgrid.operators import phrases as P
 from quillgrid.operators import sampling
@@ -339,6 +340,34 @@ def h48(spark, sf):
     return H.signals(MQ.cases(spark, sf)).select("doc_id", (F.size(sg["core"]) > 0).alias("core"), (F.size(sg["broad"]) > 0).alias("broad"), sg["object"].alias("object"), sg["mechanism"].alias("mechanism"), sg["negated"].alias("negated"))
 
 
+_INSIDE = f"""{MQ._K}, w AS (SELECT *, CASE WHEN fb = 'urban' THEN lc * 8 END AS x, CASE WHEN fa = 'urban' AND a <> 'Unknown' THEN score END AS v FROM c),
+t AS (SELECT *, greatest(x, v) AS top, CASE WHEN a <> b AND x IS NOT NULL AND v IS NOT NULL THEN least(x, v) ELSE 0 END AS next, CASE WHEN v IS NULL OR (x IS NOT NULL AND (x > v OR (x = v AND b < a))) THEN b ELSE a END AS best FROM w)"""
+
+
+@query("h18_topic_within_family", f"{_INSIDE} SELECT doc_id, CASE WHEN top >= 2.8 AND round(greatest(top - next, 0), 4) >= 1 THEN best ELSE 'Unknown' END AS label, coalesce(round(top, 4), 0) AS score, CASE WHEN top IS NULL THEN 0 ELSE round(greatest(top - next, 0), 4) END AS margin FROM t")
+def h18(spark, sf):
+    w = F.col("within_in")
+    return H.signals(MQ.cases(spark, sf)).select("doc_id", w["label"].alias("label"), w["score"].alias("score"), w["margin"].alias("margin"))
+
+
+@query("h09_offline_resolution", None)
+def h09(spark, sf):
+    r = F.col("r")
+    return H.fuse(H.signals(MQ.cases(spark, sf))).select("doc_id", H.offline().alias("r")).select("doc_id", r["topic"].alias("topic"), r["path"].alias("path"), r["confidence"].alias("confidence"))
+
+
+@query("h13_hinted_resolution", None)
+def h13(spark, sf):
+    r = F.col("r")
+    return H.fuse(H.signals(MQ.cases(spark, sf))).select("doc_id", H.hinted().alias("r")).select("doc_id", r["topic"].alias("topic"), r["path"].alias("path"), r["confidence"].alias("confidence"))
+
+
+@query("h19_family_gate", None)
+def h19(spark, sf):
+    df = G.gate(G.features(H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))))
+    return H.apply_gate(df).select("doc_id", F.col("recovery.path").alias("path"), F.col("inner.label").alias("within"), F.col("decision.source").alias("source"))
+
+
 # --- tasks ---
 
 _LABEL = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '1' WHEN 6 THEN '0' WHEN 7 THEN '0' WHEN 8 THEN '1' ELSE '0' END"
