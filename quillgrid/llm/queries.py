@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import bpe
 from quillgrid.llm import decontaminate as clean
-from quillgrid.llm import licenses, quality_rules, rule_ensemble, secrets, spelling, warc
+from quillgrid.llm import licenses, quality_rules, repair, rule_ensemble, secrets, spelling, warc
 from quillgrid.llm.near_dup import near_duplicates
 from quillgrid.llm.packing import pack
 from quillgrid.llm.token_count import token_counts
@@ -61,12 +61,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), least=5, typos=97), least=3, ratio=2)
 
 
 def queries() -> dict:
-    return {"op13_spelling_variants": op13_spelling_variants, "op10_license_scan": op10_license_scan, "op7_secret_scan": op7_secret_scan, "op3_warc_salvage": op3_warc_salvage, "op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
+    return {"op12_conversation_repair": op12_conversation_repair, "op13_spelling_variants": op13_spelling_variants, "op10_license_scan": op10_license_scan, "op7_secret_scan": op7_secret_scan, "op3_warc_salvage": op3_warc_salvage, "op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
