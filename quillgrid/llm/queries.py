@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgrid.llm import bpe
 from quillgrid.llm import decontaminate as clean
-from quillgrid.llm import licenses, quality_rules, repair, rule_ensemble, secrets, spelling, warc
+from quillgrid.llm import html_text, licenses, quality_rules, repair, rule_ensemble, secrets, spelling, warc
 from quillgrid.llm.near_dup import near_duplicates
 from quillgrid.llm.packing import pack
 from quillgrid.llm.token_count import token_counts
@@ -61,6 +62,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -70,7 +76,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op12_conversation_repair": op12_conversation_repair, "op13_spelling_variants": op13_spelling_variants, "op10_license_scan": op10_license_scan, "op7_secret_scan": op7_secret_scan, "op3_warc_salvage": op3_warc_salvage, "op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
+    return {"op11_main_text": op11_main_text, "op12_conversation_repair": op12_conversation_repair, "op13_spelling_variants": op13_spelling_variants, "op10_license_scan": op10_license_scan, "op7_secret_scan": op7_secret_scan, "op3_warc_salvage": op3_warc_salvage, "op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier, "op2_decontamination": op2_decontamination, "op1_near_duplicates": op1_near_duplicates, "op5_best_fit_packing": op5_best_fit_packing, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
