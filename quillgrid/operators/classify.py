@@ -58,11 +58,17 @@ def is_unknown(label: Column, score: Column, margin: Column, p: Column) -> Colum
 
 
 def confidence(score: Column, margin: Column, p: Column, matched: Column, unknown: Column, tokens: Column) -> Column:
-    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    c = 0.16 + 0.36 * unit(score / 8) + 0.22 * unit(margin / 4) + 0.16 * unit(F.abs(p - 0.5) * 2) + F.when(matched, 0.05).otherwise(0.0)
-    c = F.when(unknown, F.least(c, F.lit(0.49))).otherwise(c)
-    c = F.when(tokens < 8, F.least(c, F.lit(0.45))).when(tokens < 18, F.least(c, F.lit(0.68))).otherwise(c)
-    return F.round(F.least(F.greatest(c, F.lit(0.2)), F.lit(0.99)), 4)
+    """How sure the second stage is, to four digits.
+
+    Summed in decimals, so that a value half way between two results is rounded
+    up wherever it is computed.
+    """
+    exact = lambda x: F.lit(x).cast("decimal(4,3)")
+    part = lambda x, each, most: F.least(F.greatest(x.cast("decimal(14,6)") * exact(each), F.lit(0)), exact(most))
+    c = exact("0.16") + part(score, "0.045", "0.36") + part(margin, "0.055", "0.22") + part(F.abs(p.cast("decimal(14,6)") - exact("0.5")), "0.32", "0.16") + F.when(matched, exact("0.05")).otherwise(exact("0"))
+    c = F.when(unknown, F.least(c, exact("0.49"))).otherwise(c)
+    c = F.when(tokens < 8, F.least(c, exact("0.45"))).when(tokens < 18, F.least(c, exact("0.68"))).otherwise(c)
+    return F.round(F.least(F.greatest(c, exact("0.2")), exact("0.99")), 4).cast("double")
 
 
 def second_stage(df: DataFrame, p: str | None = None, title: str = "title", abstract: str = "abstract") -> DataFrame:

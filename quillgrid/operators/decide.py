@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import cells, text
 from quillgrid.operators import gate as G
 from quillgrid.operators import phrases as P
-from quillgrid.operators.lexicon import any_hit, hits
+from quillgrid.operators.lexicon import SIGNAL_LISTS, any_of, hits_among, looked_up
 
 UNKNOWN, IN, OUT = cells.UNKNOWN, cells.IN, cells.OUT
 PROMOTIONS = ("anchor_guard_promotion", "uncertain_nonurban_promotion", "family_gate_recovery")
@@ -117,17 +117,21 @@ def signals(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     both = text.plain(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     raw = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     df = G.with_defaults(df).withColumns({"_x": both, "_y": text.plain("title"), "_raw": text.seal(raw)})
-    x, y = F.col("_x"), F.col("_y")
+    terms = [t.replace("-", " ") for x in SIGNAL_LISTS for t in x]
+    df = df.withColumn("_fx", text.seal(looked_up(df, F.col("_x"), terms)))
+    # the title begins the whole text, so it has no term that the text hasn't
+    df = df.withColumn("_fy", text.seal(text.bind(F.col("_y"), lambda v: F.filter("_fx", lambda t: F.contains(v, t)))))
+    x, y = F.col("_fx"), F.col("_fy")
     quality = hint_quality(cfg=cfg)
     good = quality.isin("high", "medium")
     first = lambda terms: F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains("_raw", t))
     block = F.coalesce(s("text=", F.try_element_at(first(P.PROMOTION_BLOCKS), F.lit(1))), F.when(F.contains("_raw", F.lit("brownfield")), s("brownfield_nonurban=", F.try_element_at(first(P.BROWNFIELD_BLOCKS), F.lit(1)))), F.lit(""))
     sig = F.struct(
-        hits(x, P.CORE_ANCHORS).alias("core"), hits(x, P.COMMON_ANCHORS).alias("broad"), hits(y, P.CORE_ANCHORS).alias("title_core"), any_hit(x, P.EXISTING_OBJECTS).alias("object"), any_hit(x, P.MECHANISMS).alias("mechanism"), any_hit(x, P.CONTEXT).alias("context"), any_hit(x, P.NEGATIONS).alias("negated"),
-        hits(x, P.ACTIONS).alias("actions"), hits(x, P.BUILT).alias("built"), hits(x, P.POLICY).alias("policy"), any_hit(y, P.ACTIONS).alias("title_action"), any_hit(y, P.BUILT).alias("title_built"), block.alias("text_block"), F.coalesce(s("text=", F.try_element_at(first(P.RECOVERY_BLOCKS), F.lit(1))), F.lit("")).alias("recovery_block"),
+        hits_among(x, P.CORE_ANCHORS).alias("core"), hits_among(x, P.COMMON_ANCHORS).alias("broad"), hits_among(y, P.CORE_ANCHORS).alias("title_core"), any_of(x, P.EXISTING_OBJECTS).alias("object"), any_of(x, P.MECHANISMS).alias("mechanism"), any_of(x, P.CONTEXT).alias("context"), any_of(x, P.NEGATIONS).alias("negated"),
+        hits_among(x, P.ACTIONS).alias("actions"), hits_among(x, P.BUILT).alias("built"), hits_among(x, P.POLICY).alias("policy"), any_of(y, P.ACTIONS).alias("title_action"), any_of(y, P.BUILT).alias("title_built"), block.alias("text_block"), F.coalesce(s("text=", F.try_element_at(first(P.RECOVERY_BLOCKS), F.lit(1))), F.lit("")).alias("recovery_block"),
         rule_confidence().alias("rule_confidence"), quality.alias("quality"), ((F.col("hint.group") == IN) & good).alias("hint_in"), ((F.col("hint.group") == OUT) & good).alias("hint_out"), G.llm_hint("llm").alias("llm"),
     )
-    df = df.withColumn("sig", text.seal(sig)).drop("_x", "_y", "_raw")
+    df = df.withColumn("sig", text.seal(sig)).drop("_x", "_y", "_raw", "_fx", "_fy")
     return df.withColumns({"within_in": text.seal(within(F.lit(IN), None, cfg)), "within_out": text.seal(within(F.lit(OUT), None, cfg))})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import cells, text
 from quillgrid.operators import phrases as P
-from quillgrid.operators.lexicon import hits
+from quillgrid.operators.lexicon import looked_up
 
 FEATURES = (
     "rule_is_urban", "rule_is_nonurban", "rule_score", "rule_margin", "local_is_urban", "local_is_nonurban", "local_confidence", "local_margin", "topic_binary_probability", "hint_is_urban", "hint_is_nonurban", "hint_probability", "hint_label_purity", "hint_mapped_label_share", "hint_count", "risk_tag_count",
@@ -39,12 +39,14 @@ def features(df: DataFrame) -> DataFrame:
     r, lo, h = F.col("rule"), F.col("local"), F.col("hint")
     rf, lf, hf = (cells.family_of_group(x["group"]) for x in (r, lo, h))
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    count = lambda terms: F.size(F.array_distinct(F.transform(hits(F.col("_sep"), terms), lambda t: F.replace(t, F.lit("-"), F.lit(" "))))).cast("double")
+    plains = lambda terms: list(dict.fromkeys(t.replace("-", " ") for t in terms))
+    df = df.withColumn("_fg", text.seal(looked_up(df, F.col("_sep"), [t for x in (P.COMMON_ANCHORS, P.EXISTING_OBJECTS, P.MECHANISMS) for t in plains(x)])))
+    count = lambda terms: F.size(F.array_intersect(F.array(*map(F.lit, plains(terms))), F.col("_fg"))).cast("double")
     v = (
         one(rf == cells.IN), one(rf == cells.OUT), r["score"], r["margin"], one(lf == cells.IN), one(lf == cells.OUT), lo["confidence"], lo["margin"], lo["p"], one(hf == cells.IN), one(hf == cells.OUT), h["probability"], h["purity"], h["share"], h["count"].cast("double"), F.size(r["risk_tags"]).cast("double"),
         count(P.COMMON_ANCHORS), count(P.EXISTING_OBJECTS), count(P.MECHANISMS), F.size(F.filter(F.split("_sep", " "), lambda w: w != "")).cast("double"), one(rf.isin(cells.IN, cells.OUT) & lf.isin(cells.IN, cells.OUT) & (rf != lf)), r["conflict"].cast("double"), one(llm_hint("llm") == "1"), one(llm_hint("llm") == "0"),
     )
-    return df.withColumn("features", text.seal(F.struct(*(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in zip(FEATURES, v)))))
+    return df.withColumn("features", text.seal(F.struct(*(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in zip(FEATURES, v))))).drop("_fg")
 
 
 def heuristic(f: Column) -> Column:

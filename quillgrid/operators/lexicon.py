@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import cells, text
 from quillgrid.operators import phrases as P
+from quillgrid.operators import qgrams
 
 TITLE_WEIGHT, SEED, CONTEXT, COMBO, EXCLUDE = 1.35, 3.0, 1.0, 4.0, 3.0
 
@@ -77,6 +78,30 @@ def any_hit(text_: Column, terms: Sequence[str]) -> Column:
     return text.contains_any(text_, [_plain(t) for t in terms])
 
 
+def everything(taxonomy: Taxonomy) -> qgrams.Index:
+    """One index of all terms that the stages look for: the taxonomy's and the rules' own lists."""
+    return qgrams.Index([*_in_fields(taxonomy), *_in_both(taxonomy), *(p for x in RULE_LISTS for p in _plains(x))])
+
+
+def looked_up(df: DataFrame, text_: Column, terms: Sequence[str]) -> Column:
+    """Which of the plain terms a text contains; from the row's candidates (``fields`` with an index) more terms may come along."""
+    return text.bind(text_, lambda v: F.filter("_cand", lambda t: F.contains(v, t))) if "_cand" in df.columns else text.contained(text_, list(dict.fromkeys(terms)))
+
+
+def hits_among(found: Column, terms: Sequence[str]) -> Column:
+    """``hits`` from the plain terms found in a text."""
+    pairs = [(t, t.replace("-", " ")) for t in terms if t]
+    if not pairs:
+        return F.array().cast("array<string>")
+    table = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("plain")) for t, p in pairs))
+    return F.transform(F.filter(table, lambda r: F.array_contains(found, r["plain"])), lambda r: r["term"])
+
+
+def any_of(found: Column, terms: Sequence[str]) -> Column:
+    """``any_hit`` from the plain terms found in a text."""
+    return _any_among(_plains(terms), found)
+
+
 def weighted(title: Column, abstract: Column, terms: Sequence[str], base: float) -> tuple[Column, Column]:
     """(score, matches ``field:term``) of terms in either field; the title weighs more."""
     terms = [" ".join(t.lower().split()) for t in terms if t.strip()]
@@ -141,10 +166,29 @@ def topic_score(t: Topic, found: Column, place: int) -> Column:
     return text.bind(F.round(total, 4), lambda score: F.struct((-score).alias("minus"), F.lit(place).alias("place"), F.lit(t.label).alias("label"), score.alias("score"), F.array_distinct(F.concat(*marks)).alias("matches"), combo.alias("combos")))
 
 
-def fields(df: DataFrame, title: str = "title", abstract: str = "abstract") -> DataFrame:
-    """Adds the plain texts that the stages look up in: _t, _a, _both (title and abstract, empty ones left out), _sep."""
+def fields(df: DataFrame, title: str = "title", abstract: str = "abstract", index: qgrams.Index | None = None) -> DataFrame:
+    """Adds the plain texts that the stages look up in: _t, _a, _both (title and abstract, empty ones left out), _sep.
+
+    With an ``index`` (``everything``), _cand too: the terms that the whole text may
+    contain, which all stages then verify instead of looking for every term.
+    """
     out = df.withColumns({"_t": text.plain(title), "_a": text.plain(abstract)})
-    return out.withColumns({"_both": F.concat_ws(" ", F.when(F.col("_t") != "", F.col("_t")), F.when(F.col("_a") != "", F.col("_a"))), "_sep": F.replace(text.phrase(text.joined([title, abstract])), F.lit("-"), F.lit(" "))})
+    out = out.withColumns({"_both": F.concat_ws(" ", F.when(F.col("_t") != "", F.col("_t")), F.when(F.col("_a") != "", F.col("_a"))), "_sep": F.replace(text.phrase(text.joined([title, abstract])), F.lit("-"), F.lit(" "))})
+    if index is None:
+        return out
+    whole = text.plain(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
+    return out.withColumn("_cand", text.seal(index.candidates(F.concat_ws("\n", "_both", F.when(whole != F.col("_both"), whole)))))
+
+
+def _in_fields(taxonomy: Taxonomy) -> list[str]:
+    return _listed([x for t in taxonomy.topics for x in (*t.seeds, *t.context_terms)])
+
+
+def _in_both(taxonomy: Taxonomy) -> list[str]:
+    return _plains([x for t in taxonomy.topics for x in (*t.context_anchors, *(y for c in t.combos for y in c), *t.excludes, *t.anchors)])
+
+
+_RENEWAL = (P.COMMON_ANCHORS, P.EXISTING_OBJECTS, P.PENALTY_MECHANISMS)
 
 
 def score_topics(df: DataFrame, taxonomy: Taxonomy, column: str = "topics") -> DataFrame:
@@ -155,14 +199,20 @@ def score_topics(df: DataFrame, taxonomy: Taxonomy, column: str = "topics") -> D
     each normalised text once and grows with the lexicon only by its literals.
     """
     topics = taxonomy.topics
-    in_fields = _listed([x for t in topics for x in (*t.seeds, *t.context_terms)])
-    in_both = _plains([x for t in topics for x in (*t.context_anchors, *(y for c in t.combos for y in c), *t.excludes, *t.anchors)])
-    renewal = F.lit(False)
-    if any(t.renewal_penalty is not None for t in topics):
-        renewal = any_hit(F.col("_both"), P.COMMON_ANCHORS) & (any_hit(F.col("_both"), P.EXISTING_OBJECTS) | any_hit(F.col("_both"), P.PENALTY_MECHANISMS))
-    found = F.struct(text.contained(F.col("_t"), in_fields).alias("title"), text.contained(F.col("_a"), in_fields).alias("abstract"), text.contained(F.col("_both"), in_both).alias("both"), renewal.alias("renewal"))
+    in_fields, in_both = _in_fields(taxonomy), _in_both(taxonomy)
+    penal = any(t.renewal_penalty is not None for t in topics)
+    both = looked_up(df, F.col("_both"), [*in_both, *(p for x in _RENEWAL for p in _plains(x))] if penal else in_both)
+    df = df.withColumn("_in_both", text.seal(both))
+    renewal = any_of(F.col("_in_both"), P.COMMON_ANCHORS) & (any_of(F.col("_in_both"), P.EXISTING_OBJECTS) | any_of(F.col("_in_both"), P.PENALTY_MECHANISMS)) if penal else F.lit(False)
+    found = F.struct(looked_up(df, F.col("_t"), in_fields).alias("title"), looked_up(df, F.col("_a"), in_fields).alias("abstract"), F.col("_in_both").alias("both"), renewal.alias("renewal"))
     df = df.withColumn("_found", text.seal(found))
-    return df.withColumn(column, F.array_sort(F.array(*(topic_score(t, F.col("_found"), i) for i, t in enumerate(topics))))).drop("_found")
+    return df.withColumn(column, F.array_sort(F.array(*(topic_score(t, F.col("_found"), i) for i, t in enumerate(topics))))).drop("_found", "_in_both")
+
+
+#: Lists that the first stage looks for, and all that the rules do.
+STAGE_LISTS = (P.BACKGROUND, P.MEDIA, P.GREENFIELD, P.METHOD, P.MATERIALS, P.WORDING, P.GENERAL_METHOD, P.GOVERNANCE, P.RURAL, P.MISUSE_MATH, P.MISUSE_TRIGGER, P.EXISTING_OBJECTS, P.MECHANISMS)
+SIGNAL_LISTS = (P.CORE_ANCHORS, P.COMMON_ANCHORS, P.EXISTING_OBJECTS, P.MECHANISMS, P.CONTEXT, P.NEGATIONS, P.ACTIONS, P.BUILT, P.POLICY)
+RULE_LISTS = (*STAGE_LISTS, *SIGNAL_LISTS, *_RENEWAL)
 
 
 def ranked(label: Column, score: Column) -> Column:
@@ -176,10 +226,11 @@ def first_stage(df: DataFrame) -> DataFrame:
     Explicit wording about another object overrides the topic; else the best
     topic counts, with its margin to the next.
     """
-    t = F.col("_sep")
-    found = {n: hits(t, getattr(P, n.upper())) for n in ("background", "media", "greenfield", "method", "materials", "wording", "general_method", "governance", "rural", "misuse_math", "misuse_trigger")}
+    df = df.withColumn("_fs", text.seal(looked_up(df, F.col("_sep"), [p for x in STAGE_LISTS for p in _plains(x)])))
+    t = F.col("_fs")
+    found = {n: hits_among(t, getattr(P, n.upper())) for n in ("background", "media", "greenfield", "method", "materials", "wording", "general_method", "governance", "rural", "misuse_math", "misuse_trigger")}
     some = {n: F.size(F.col(f"_h.{n}")) > 0 for n in found}
-    df = df.withColumn("_h", text.seal(F.struct(*(c.alias(n) for n, c in found.items())))).withColumn("_obj", any_hit(t, P.EXISTING_OBJECTS) | any_hit(t, P.MECHANISMS))
+    df = df.withColumn("_h", text.seal(F.struct(*(c.alias(n) for n, c in found.items())))).withColumn("_obj", any_of(t, P.EXISTING_OBJECTS) | any_of(t, P.MECHANISMS)).drop("_fs")
     best, second = F.col("topics")[0], F.try_element_at("topics", F.lit(2))
     margin = F.round(F.greatest(best["score"] - F.coalesce(second["score"], F.lit(0.0)), F.lit(0.0)), 4)
     other = some["wording"] & ~F.col("_obj") & (some["background"] | some["media"])

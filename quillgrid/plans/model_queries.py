@@ -62,7 +62,7 @@ def docs(spark, sf):
 
 
 def scored(spark, sf):
-    return L.score_topics(L.fields(docs(spark, sf)), WORDS)
+    return L.score_topics(L.fields(docs(spark, sf), index=L.everything(WORDS)), WORDS)
 
 
 @query("l01_match_phrases", f"WITH {_X} SELECT doc_id, array_to_string(list_filter(['the', 'que', 'und', 'tion of'], lambda p: contains(b, p)), '|') AS hits FROM y")
@@ -103,7 +103,7 @@ def l07(spark, sf):
 
 
 def first(spark, sf):
-    return L.first_stage(L.score_topics(L.fields(docs(spark, sf)), WORDS))
+    return L.first_stage(scored(spark, sf))
 
 
 def staged(spark, sf):
@@ -124,6 +124,16 @@ def l11(spark, sf):
     return first(spark, sf).select("doc_id", *(r[c].alias(c) for c in ("route", "reason", "label", "group", "score", "margin", "conflict", "review_flag", "review_reason")), F.array_join(r["top3"], "; ").alias("top3"), F.array_join(r["risk_tags"], "; ").alias("risk_tags"))
 
 
+def _exact(score: str, margin: str, p: str, matched: str, unknown: str, tokens: str) -> str:
+    """The second stage's confidence in SQL, in decimals throughout."""
+    d = lambda x: f"CAST({x} AS DECIMAL(4,3))"
+    part = lambda x, each, most: f"least(greatest(CAST({x} AS DECIMAL(14,6)) * {d(each)}, 0), {d(most)})"
+    c = f"({d('0.16')} + {part(score, '0.045', '0.36')} + {part(margin, '0.055', '0.22')} + {part(f'abs(CAST({p} AS DECIMAL(14,6)) - {d(0.5)})', '0.32', '0.16')} + CASE WHEN {matched} THEN {d('0.05')} ELSE {d('0')} END)"
+    c = f"CASE WHEN {unknown} THEN least({c}, {d('0.49')}) ELSE {c} END"
+    c = f"CASE WHEN {tokens} < 8 THEN least({c}, {d('0.45')}) WHEN {tokens} < 18 THEN least({c}, {d('0.68')}) ELSE {c} END"
+    return f"CAST(round(least(greatest({c}, {d('0.2')}), {d('0.99')}), 4) AS DOUBLE)"
+
+
 def _weak() -> str:
     """When the second stage's best topic is too weak to stand, at an even probability."""
     own = [f"(top = '{n}' AND (score < {a} OR margin < {b} OR {'0.5 >= ' + str(floor) if floor is not None else f'(0.5 <= {ceiling} AND score < {below})'}))" for n, (a, b, floor, ceiling, below) in P.UNKNOWN_POLICIES.items()]
@@ -147,14 +157,13 @@ _SECOND = f"""o AS (SELECT l.*, row_number() OVER (PARTITION BY doc_id ORDER BY
 f AS (SELECT doc_id, max(label) FILTER (r = 1) AS top, max(score) FILTER (r = 1) AS score, round(greatest(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 0), 4) AS margin, string_agg(label || ':' || printf('%.2f', score), '; ' ORDER BY r) FILTER (r <= 3) AS top3 FROM o GROUP BY doc_id),
 n AS (SELECT doc_id, greatest(2 * len(regexp_extract_all(lower(concat_ws(' [SEP] ', nullif(trim(coalesce(title, '')), ''), nullif(trim(coalesce(abstract, '')), ''))), '[a-z0-9]+')) - 1, 0) AS n FROM ({_D})),
 w AS (SELECT f.*, {_weak()} AS weak, {_matched()} AS matched FROM f JOIN y USING (doc_id)),
-c AS (SELECT *, 0.16::DOUBLE + 0.36::DOUBLE * least(greatest(score / 8, 0), 1) + 0.22::DOUBLE * least(greatest(margin / 4, 0), 1) + CASE WHEN matched THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS c0 FROM w),
-d AS (SELECT *, CASE WHEN weak THEN least(c0, 0.49) ELSE c0 END AS c1 FROM c JOIN n USING (doc_id))"""
+c AS (SELECT * FROM w JOIN n USING (doc_id))"""
 
 
-@query("l15_second_stage", f"WITH {_X}, {_LONG}, {_SECOND} SELECT doc_id, label, {D.family('label')} AS \"group\", round(least(greatest(CASE WHEN n < 8 THEN least(c1, 0.45) WHEN n < 18 THEN least(c1, 0.68) ELSE c1 END, 0.2), 0.99), 3) AS confidence, margin, 0.5::DOUBLE AS p, top3 FROM (SELECT *, CASE WHEN weak THEN 'Unknown' ELSE top END AS label FROM d)")
+@query("l15_second_stage", f"WITH {_X}, {_LONG}, {_SECOND} SELECT doc_id, label, {D.family('label')} AS \"group\", {_exact('score', 'margin', '0.5', 'matched', 'weak', 'n')} AS confidence, margin, 0.5::DOUBLE AS p, top3 FROM (SELECT *, CASE WHEN weak THEN 'Unknown' ELSE top END AS label FROM c)")
 def l15(spark, sf):
     lo = F.col("local")
-    return staged(spark, sf).select("doc_id", *(lo[c].alias(c) for c in ("label", "group", "margin", "p")), F.round(lo["confidence"], 3).alias("confidence"), F.array_join(lo["top3"], "; ").alias("top3"))
+    return staged(spark, sf).select("doc_id", *(lo[c].alias(c) for c in ("label", "group", "margin", "p")), lo["confidence"].alias("confidence"), F.array_join(lo["top3"], "; ").alias("top3"))
 
 
 # --- token odds ---
@@ -289,7 +298,7 @@ def l13(spark, sf):
     return cases(spark, sf).select("doc_id", C.is_unknown(F.col("b"), F.col("score"), F.col("lm"), F.col("p")).alias("unknown"))
 
 
-@query("l14_local_confidence", f"{_K}, q AS (SELECT *, 0.16 + 0.36 * least(greatest(score / 8, 0), 1) + 0.22 * least(greatest(lm / 4, 0), 1) + 0.16 * least(abs(p - 0.5) * 2, 1) + CASE WHEN strong THEN 0.05 ELSE 0 END AS q0 FROM c), r AS (SELECT *, CASE WHEN b = 'Unknown' THEN least(q0, 0.49) ELSE q0 END AS q1 FROM q) SELECT doc_id, round(least(greatest(CASE WHEN doc_id % 30 < 8 THEN least(q1, 0.45) WHEN doc_id % 30 < 18 THEN least(q1, 0.68) ELSE q1 END, 0.2), 0.99), 4) AS confidence FROM r")
+@query("l14_local_confidence", f"{_K} SELECT doc_id, {_exact('score', 'lm', 'p', 'strong', chr(40) + 'b = ' + repr('Unknown') + chr(41), '(doc_id % 30)')} AS confidence FROM c")
 def l14(spark, sf):
     return cases(spark, sf).select("doc_id", C.confidence(F.col("score"), F.col("lm"), F.col("p"), F.col("strong"), F.col("b") == "Unknown", F.col("doc_id") % 30).alias("confidence"))
 

@@ -58,7 +58,6 @@ _TAB = f"CASE WHEN len({_PARTS}) >= 4 THEN ({_PARTS})[3] || '/' || ({_PARTS})[4]
 _SENT = "concat_ws(' [SEP] ', nullif({a}, ''), nullif({b}, ''))"
 _SIMPLE = f"coalesce({_LONE}, CASE WHEN {_YES} THEN '1' ELSE '0' END)"
 NAMES = {"U3": "third", "N10": "tenth", "N2": "second"}
-_PAIRS = f"list_transform(generate_series(1, len({UNI}) - 1), lambda i: ({UNI})[i] || '_' || ({UNI})[i + 1])"
 _DESC = f"regexp_replace(regexp_replace(lower({tr('coalesce(kw1, ' + repr('nan') + ')')}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
 
 #: name: (what Spark computes, the same in DuckDB); arrays are joined by "|".
@@ -68,7 +67,6 @@ ITEMS = {
     "f03_normalize_phrase": (lambda: text.phrase("t"), phrase("t")),
     "f04_unique_phrases": (lambda: F.array_join(text.phrases(text.multi("kw1")), "|"), lst(phr(multi("kw1")))),
     "f05_build_keywords": (lambda: text.keywords("kw1", "kw2"), f"array_to_string({phr(f'list_concat({multi(chr(107) + chr(119) + chr(49))}, {multi(chr(107) + chr(119) + chr(50))})')}, '; ')"),
-    "f06_tokenize": (lambda: F.array_join(text.tokens("t"), "|"), lst(f"list_concat({UNI}, {_PAIRS})")),
     "f08_title_abstract_text": (lambda: text.joined(["t", "kw1"]), _SENT.replace("{a}", norm("t")).replace("{b}", norm("kw1"))),
     "f09_weighted_text": (lambda: text.weighted("kw1", "kw2"), f"array_to_string(list_filter([{norm('kw1')}, {norm('kw1')}, {norm('kw2')}, {norm('kw2')}, {norm('kw2')}], lambda x: x <> ''), ' ')"),
     "f10_combined_text": (lambda: text.joined(["t", "kw1", "kw2", "lang", "source"]), f"concat_ws(' [SEP] ', nullif({norm('t')}, ''), nullif({norm('kw1')}, ''), nullif({norm('kw2')}, ''), nullif({norm('lang')}, ''), nullif({norm('source')}, ''))"),
@@ -124,3 +122,8 @@ for _n, (_f, _s) in ITEMS.items():
     _register(_n, _f, _s)
 
 
+@query("f06_tokenize", f"WITH m AS ({_M}), u AS (SELECT doc_id, {UNI} AS u FROM m), p AS (SELECT doc_id, u, list_transform(list_zip(u[1:len(u) - 1], u[2:]), lambda x: x[1] || '_' || x[2]) AS p FROM u) SELECT doc_id, array_to_string(list_concat(u, p), '|') AS value FROM p")
+def f06(spark, sf):
+    return D.spark_frame(spark, sf, D.MESSY).select("doc_id", F.array_join(text.tokens("t"), "|").alias("value"))
+
+
