@@ -209,6 +209,48 @@ def score_topics(df: DataFrame, taxonomy: Taxonomy, column: str = "topics") -> D
     return df.withColumn(column, F.array_sort(F.array(*(topic_score(t, F.col("_found"), i) for i, t in enumerate(topics))))).drop("_found", "_in_both")
 
 
+KINDS = ("seed", "context", "anchor", "exclude")
+
+
+def table_hits(df: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+    """(key, term, in_title, in_abstract) of a lexicon table's terms in each text. Needs ``fields``.
+
+    A term may also lie across the border of title and abstract, and then is in neither.
+    """
+    found = qgrams.join_terms(df, key, "_both", lexicon, also=("_t", "_a"))
+    one = lambda t: F.struct(t.alias("term"), F.contains("_t", t).alias("in_title"), F.contains("_a", t).alias("in_abstract"))
+    return found.select(key, F.explode(F.transform("terms", one)).alias("_x")).select(key, "_x.*")
+
+
+def table_scores(hits_: DataFrame, key: str, lexicon: DataFrame, bonus: float = 1.5, most: int = 1 << 20) -> DataFrame:
+    """(key, topic, score) of the topics that a text has terms of, by a lexicon table (topic, kind, term).
+
+    The same weights as ``score_topics``: context terms count if the topic has no
+    anchors, or one occurs, which adds ``bonus``. Counts are combined by text and
+    topic before they are shuffled. The lexicon is sent to all tasks only if it
+    has been counted and has ``most`` rows at most.
+    """
+    anchored = lexicon.where("kind = 'anchor'").select("topic").distinct().withColumn("has_anchors", F.lit(True))
+    terms = lexicon.select("topic", "kind", "term").distinct().join(anchored, "topic", "left")
+    if terms.limit(most + 1).count() <= most:
+        terms = F.broadcast(terms)
+    joined = hits_.join(terms, "term")
+    n = lambda kind, place: F.count_if((F.col("kind") == kind) & F.col(place))
+    some = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = joined.groupBy(key, "topic").agg(*(n(k, p).alias(f"{k}_{p}") for k in ("seed", "context") for p in ("in_title", "in_abstract")), some("anchor").alias("anchors"), some("exclude").alias("excludes"), F.max("has_anchors").alias("has_anchors"))
+    weigh = lambda k, base: base * (TITLE_WEIGHT * F.col(f"{k}_in_title") + F.col(f"{k}_in_abstract"))
+    any_context = F.col("context_in_title") + F.col("context_in_abstract") > 0
+    context = F.when(any_context & F.col("has_anchors").isNull(), weigh("context", CONTEXT)).when(any_context & (F.col("anchors") > 0), weigh("context", CONTEXT) + bonus).otherwise(0.0)
+    return counts.select(key, "topic", F.round(weigh("seed", SEED) + context - EXCLUDE * F.col("excludes"), 4).alias("score"))
+
+
+def table_best(scores: DataFrame, key: str) -> DataFrame:
+    """(key, topic, score, margin): the best topic of each text with a positive score, and its lead over the next one (ties: by name)."""
+    two = scores.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "topic")).alias("b"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    second = F.greatest(F.coalesce(F.try_element_at("s", F.lit(2)), F.lit(0.0)), F.lit(0.0))
+    return two.where("b.minus < 0").select(key, F.col("b.topic").alias("topic"), (-F.col("b.minus")).alias("score"), F.round(-F.col("b.minus") - second, 4).alias("margin"))
+
+
 #: Lists that the first stage looks for, and all that the rules do.
 STAGE_LISTS = (P.BACKGROUND, P.MEDIA, P.GREENFIELD, P.METHOD, P.MATERIALS, P.WORDING, P.GENERAL_METHOD, P.GOVERNANCE, P.RURAL, P.MISUSE_MATH, P.MISUSE_TRIGGER, P.EXISTING_OBJECTS, P.MECHANISMS)
 SIGNAL_LISTS = (P.CORE_ANCHORS, P.COMMON_ANCHORS, P.EXISTING_OBJECTS, P.MECHANISMS, P.CONTEXT, P.NEGATIONS, P.ACTIONS, P.BUILT, P.POLICY)

@@ -22,6 +22,12 @@ OPTIONAL = RECORD[2:]
 POSITIONAL = ("title", "abstract", "is_target", "is_spatial", "spatial_level", "spatial_desc")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores if they come in fewer tasks than there are cores, as those of one small file do; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     """Adds ``_row_id``: a natural key as it is, else the row's place by file and by place within the file.
 
