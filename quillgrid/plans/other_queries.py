@@ -76,7 +76,13 @@ def u18(spark, sf):
     return U.context_full(read(spark, sf, "conversations"), "conv_id", "turn", "text", 400).select("conv_id", "turn", "characters", "is_full")
 
 
-@query("u06_context_windows", None)
+#: The windows walked row by row: a new one after two rows, or behind a row that makes it longer than 400 characters.
+_WALK = """WITH RECURSIVE r AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT conv_id, turn, i, 0 AS context, 1 AS have, n AS chars FROM r WHERE i = 1 UNION ALL SELECT r.conv_id, r.turn, r.i, w.context + CAST(w.have >= {rows} OR w.chars > {chars} AS INTEGER), CASE WHEN w.have >= {rows} OR w.chars > {chars} THEN 1 ELSE w.have + 1 END, CASE WHEN w.have >= {rows} OR w.chars > {chars} THEN r.n ELSE w.chars + r.n END FROM w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1)
+SELECT conv_id, turn, context FROM w"""
+
+
+@query("u06_context_windows", _WALK.replace("{rows}", "2").replace("{chars}", "400"))
 def u06(spark, sf):
     return U.context_windows(read(spark, sf, "conversations"), "conv_id", "turn", "text", U.Limits(400, 2)).select("conv_id", "turn", "context")
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from quillgrid.plans import metric_queries, model_queries, other_queries, part_queries, run_queries, scalar_queries, table_queries, wide_queries  # noqa: F401
+    from quillgrid.plans import discovery_queries, metric_queries, model_queries, other_queries, part_queries, run_queries, scalar_queries, table_queries, wide_queries  # noqa: F401
 
 
 def queries() -> dict:

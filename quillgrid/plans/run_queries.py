@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 
 from pyspark.sql import functions as F
 
@@ -12,80 +10,25 @@ from quillgrid.operators import align as J
 from quillgrid.operators import classify as C
 from quillgrid.operators import crosstab as X
 from quillgrid.operators import decide as H
-from quillgrid.operators import errors, refine, report, runs
+from quillgrid.operators import errors, runs
 from quillgrid.operators import gate as G
-from quillgrid.operators import metrics as M
 from quillgrid.operators import phrases as P
-from quillgrid.operators import sampling
 from quillgrid.operators import topics as T
 from quillgrid.plans import frames as D
 from quillgrid.plans import model_queries as MQ
+from quillgrid.plans import other_queries as OQ
 from quillgrid.plans.registry import query
 from quillgrid.sources import manifest as U
 from quillgrid.sources import tables as S
+from quillgrid.streaming import sessions
 
 _T, _E, _M = D.duck(D.TITLED), D.duck(D.EVAL), D.duck(D.MESSY)
 
 
-def rows(name: str, schema: str, make, sql: str) -> None:
-    """A query whose rows are a function's results on a list of cases."""
-
-    @query(name, sql)
-    def run(spark, sf):
-        return spark.createDataFrame(list(make()), schema)
-
-
-def raised(f, *args, **kw) -> str:
-    try:
-        f(*args, **kw)
-    except (ValueError, KeyError, FileNotFoundError) as e:
-        return type(e).__name__
-    return ""
-
-
 def read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _values(items) -> str:
-    q = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(q(v) for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in items)
-
-
-# --- discovery ---
-
-NAMES = ("urban_renewal_a.xlsx", "Spatial_b.xlsx", "eval_urban_renewal.xlsx", "~$urban_renewal_a.xlsx", "merged_c.xlsx", "urban_renewal_d.xlsx", "notes.xlsx")
-SCOPES = ("urban_renewal", "spatial", "merged", "all")
-_NS = f"(SELECT name, scope, lower(name) AS n FROM (VALUES {_values(NAMES)}) AS a(name), (VALUES {_values(SCOPES)}) AS b(scope))"
-_IN = "NOT starts_with(n, 'eval_') AND NOT starts_with(n, '~$') AND (scope = 'all' OR starts_with(n, scope || '_'))"
-rows("s06_in_scope", "name string, scope string, ok boolean", lambda: [(n, s, S.in_scope(n, s)) for n in NAMES for s in SCOPES], f"SELECT name, scope, {_IN} AS ok FROM {_NS}")
-rows("s05_prediction_files", "scope string, name string", lambda: [(s, n) for s in SCOPES for n in S.prediction_files(NAMES, s)], f"SELECT scope, name FROM {_NS} WHERE {_IN}")
-TRUTHS = {"none": (), "one": ("t.xlsx",), "two": ("z.xlsx", "a.xlsx")}
-rows(
-    "s07_truth_files", "track string, given string, names string, error string",
-    lambda: [(t, k, ",".join(S.truth_files(v, t)) if not (e := raised(S.truth_files, v, t)) else "", e) for t in ("stable_release", "research_matrix", "legacy_archive") for k, v in TRUTHS.items()],
-    "SELECT track, given, CASE WHEN given = 'one' THEN 't.xlsx' WHEN given = 'two' AND track = 'legacy_archive' THEN 'a.xlsx,z.xlsx' ELSE '' END AS names, CASE WHEN given = 'none' THEN 'FileNotFoundError' WHEN given = 'two' AND track <> 'legacy_archive' THEN 'ValueError' ELSE '' END AS error FROM (VALUES ('stable_release'), ('research_matrix'), ('legacy_archive')) AS a(track), (VALUES ('none'), ('one'), ('two')) AS b(given)",
-)
-BOUND = (("Run One.xlsx", ("run one.xlsx", "other.xlsx"), "run one.xlsx", "exact_stem_match"), ("one.xlsx", ("x.xlsx", "run_one.xlsx"), "run_one.xlsx", "contains_match"), ("city sample 2020.xlsx", ("rural.xlsx", "sample_city_x.xlsx"), "sample_city_x.xlsx", "token_overlap_match"), ("q.xlsx", ("aa.xlsx", "bb.xlsx"), "aa.xlsx", "fallback_first_truth"), ("q.xlsx", ("only.xlsx",), "only.xlsx", "single_truth"))
-rows("s08_bind_truth", "pred string, given int, truth string, how string", lambda: [(p, len(t), *S.bind_truth(p, t)) for p, t, _, _ in BOUND], f"SELECT * FROM (VALUES {_values((p, len(t), a, b) for p, t, a, b in BOUND)}) AS v(pred, given, truth, how)")
-FILES = ("train_a.xlsx", "TRAIN_b.xlsx", "eval_train.xlsx", "c.xlsx")
-rows("s10_training_files", "name string", lambda: [(n,) for n in S.training_files(FILES, ("train",))], f"SELECT name FROM (VALUES {_values(FILES)}) AS v(name) WHERE contains(lower(name), 'train')")
-rows("s11_training_contract", "forbidden string, error string", lambda: [(f, raised(S.training_files, FILES, ("train",), (f,))) for f in ("eval_", "test_")], f"SELECT forbidden, CASE WHEN EXISTS (SELECT 1 FROM (VALUES {_values(FILES)}) AS n(name) WHERE contains(lower(name), 'train') AND contains(lower(name), forbidden)) THEN 'ValueError' ELSE '' END AS error FROM (VALUES ('eval_'), ('test_')) AS v(forbidden)")
-COLUMNS = (("title", "label"), ("title", "Urban_Renewed"), ("title", "abstract"), ("a", "urban_parse_reason", "urban and renewal"), ("is_target", "label"), ("theme", "score"))
-rows("s14_label_column", "columns string, found string", lambda: [(",".join(c), S.label_column(c)) for c in COLUMNS], f"SELECT columns, CASE WHEN list_contains(c, 'is_target') THEN 'is_target' WHEN list_contains(c, 'label') THEN 'label' ELSE list_filter(c, lambda x: contains(lower(x), 'urban') AND contains(lower(x), 'renew') AND x <> 'urban_parse_reason')[1] END AS found FROM (SELECT columns, string_split(columns, ',') AS c FROM (VALUES {_values(','.join(c) for c in COLUMNS)}) AS v(columns))")
-rows("s15_truth_label_column", "columns string, found string", lambda: [(",".join(c), S.other_column(c, ("title", "label"))) for c in COLUMNS], f"SELECT columns, list_filter(string_split(columns, ','), lambda x: x NOT IN ('title', 'label') AND NOT regexp_matches(lower(x), 'keyword|abstract|wos|research|theme|review'))[1] AS found FROM (VALUES {_values(','.join(c) for c in COLUMNS)}) AS v(columns)")
-TRUE_COLUMNS = (("level", "x"), ("a", "level_local_v2"), ("a", "b"))
-rows("s16_truth_column", "columns string, found string, error string", lambda: [(",".join(c), "" if (e := raised(S.truth_column, c, "level")) else S.truth_column(c, "level"), e) for c in TRUE_COLUMNS], f"SELECT columns, CASE WHEN list_contains(string_split(columns, ','), 'level') THEN 'level' ELSE coalesce(list_filter(string_split(columns, ','), lambda x: suffix(x, 'local_v2'))[1], '') END AS found, CASE WHEN columns = 'a,b' THEN 'KeyError' ELSE '' END AS error FROM (VALUES {_values(','.join(c) for c in TRUE_COLUMNS)}) AS v(columns)")
-WANTED = ("stepwise", "stepwise_long", "few", "run")
-PREDS = ("stepwise_long_1.xlsx", "stepwise_few_2.xlsx", "spatial_few.xlsx", "Runner.xlsx")
-rows("s18_matches_strategy", "name string, wanted string, ok boolean", lambda: [(n, w, S.matches_strategy(n, [w])) for n in PREDS for w in WANTED], f"SELECT name, wanted, list_contains(p, wanted) OR coalesce(p[1] || '_' || p[2] = wanted, false) OR starts_with(stem, wanted) AS ok FROM (SELECT name, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem, string_split(lower(regexp_replace(name, '\\.[^.]*$', '')), '_') AS p FROM (VALUES {_values(PREDS)}) AS v(name)), (VALUES {_values(WANTED)}) AS w(wanted)")
-
-
-@query("s04_task_inputs", f"SELECT name FROM (VALUES {_values(sorted(f'{t}.parquet' for t in D.TABLES))}) AS v(name)")
-def s04(spark, sf):
-    return spark.createDataFrame([(n,) for n in S.listing(spark, sf) if n.removesuffix(".parquet") in D.TABLES], "name string")
-
-
 @query("s13_binary_model", f"WITH t AS ({_T}), k AS (SELECT doc_id, label, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g'), '[a-z0-9]+'))) AS token FROM t), n AS (SELECT count(*) FILTER (label = '1') AS p, count(*) FILTER (label <> '1') AS n FROM (SELECT DISTINCT doc_id, label FROM k)) SELECT token, round(ln((count(*) FILTER (label = '1') + 1) / (max(p) + 2.0)) - ln((count(*) FILTER (label <> '1') + 1) / (max(n) + 2.0)), 9) AS weight FROM k, n GROUP BY token HAVING count(*) >= 2")
 def s13(spark, sf):
     tokens = C.document_tokens(D.spark_frame(spark, sf, D.TITLED), "doc_id", text.unigrams("title"), ("label",))
@@ -157,27 +100,12 @@ def p09(spark, sf):
     return S.read_tables(spark, folder, ["by source"])["by source"]
 
 
-MANIFEST = {"task_mode": "urban_renewal", "prediction_file": "p.xlsx", "experiment": {"order_id": 3, "dataset": "d1"}, "runtime": {"python": "3.13"}}
-FLAT = {"task_mode": "urban_renewal", "experiment.order_id": 3, "experiment.dataset": "d1", "runtime.python": "3.13"}
-
-
 def _stored(spark, value):
     path = f"{S.scratch(spark, 'manifest')}/manifest.json"
     S.write_json(spark, path, value)
     return S.read_json(spark, path)
 
 
-@query("s24_write_manifest", f"SELECT * FROM (VALUES {_values((k, str(v)) for k, v in FLAT.items())}) AS v(key, value)")
-def s24(spark, sf):
-    return spark.createDataFrame([(k, str(v)) for k, v in U.comparable(_stored(spark, MANIFEST)).items()], "key string, value string")
-
-
-@query("s25_load_manifest", "SELECT 'p.xlsx' AS prediction_file, 'd1' AS dataset, true AS missing")
-def s25(spark, sf):
-    m = _stored(spark, MANIFEST)
-    return spark.createDataFrame([(m["prediction_file"], m["experiment"]["dataset"], S.read_json(spark, S.scratch(spark, "none")) is None)], "prediction_file string, dataset string, missing boolean")
-
-
 @query("s26_run_summary", "SELECT count(*) AS rows, count(DISTINCT lang) AS langs FROM documents")
 def s26(spark, sf):
     n = read(spark, sf, "documents").agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("langs")).first().asDict()
@@ -185,34 +113,7 @@ def s26(spark, sf):
     return spark.createDataFrame([(back["rows"], back["langs"])], "rows long, langs long")
 
 
-# --- manifests, strategies ---
-
-rows("u20_comparable_settings", "key string, value string", lambda: [(k, str(v)) for k, v in U.comparable(MANIFEST, "t.xlsx").items()], f"SELECT * FROM (VALUES {_values((k, str(v)) for k, v in {**FLAT, 'truth_file': 't.xlsx'}.items())}) AS v(key, value)")
-_SIGNED = json.dumps({k: v for k, v in FLAT.items() if k != "experiment.order_id"}, sort_keys=True, ensure_ascii=False)
-rows("u22_group_signature", "signature string, same boolean", lambda: [(U.group_signature(U.comparable(MANIFEST)), U.group_signature(U.comparable({**MANIFEST, "experiment": {"order_id": 9, "dataset": "d1"}})) == U.group_signature(U.comparable(MANIFEST)))], f"SELECT sha256('{_SIGNED}') AS signature, true AS same")
-
-
-def _registry():
-    r = U.Registry()
-    r.register("single", lambda df: df.withColumn("label", runs.single()), aliases=("one",))
-    r.register("stepwise", lambda df: df.withColumn("label", runs.stepwise()), aliases=("step", "steps"))
-    r.register("reflection", lambda df: df, lifecycle="candidate")
-    r.register("old", lambda df: df, enabled=False)
-    return r
-
-
-rows("u01_register", "name string, error string", lambda: [(n, raised(_registry().register, "other", lambda df: df, aliases=(n,))) for n in ("one", "fresh")], "SELECT * FROM (VALUES ('one', 'ValueError'), ('fresh', '')) AS v(name, error)")
-rows("u02_get_strategy", "name string, error string", lambda: [(n, raised(_registry().get, n)) for n in ("single", "ONE", "nothing")], "SELECT * FROM (VALUES ('single', ''), ('ONE', ''), ('nothing', 'KeyError')) AS v(name, error)")
-rows("u15_enabled_strategies", "candidates boolean, name string", lambda: [(c, n) for c in (False, True) for n in _registry().enabled("target", c)], "SELECT * FROM (VALUES (false, 'single'), (false, 'stepwise'), (true, 'reflection'), (true, 'single'), (true, 'stepwise')) AS v(candidates, name)")
-
-
-def _added():
-    r = _registry()
-    r.register("new", lambda df: df, theme="place", aliases=("n2",))
-    return [(t, n) for t in ("target", "place") for n in r.enabled(t)]
-
-
-rows("u17_add_strategy", "theme string, name string", _added, "SELECT * FROM (VALUES ('target', 'single'), ('target', 'stepwise'), ('place', 'new')) AS v(theme, name)")
+# --- strategies ---
 
 
 def answers(spark, sf):
@@ -223,23 +124,9 @@ _SIMPLE = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN
 _ANS = f"a AS (SELECT *, doc_id % 10 AS answer_kind FROM ({_M}))"
 
 
-@query("u04_single_strategy", f"WITH {_ANS} SELECT doc_id, {_SIMPLE} AS label FROM a")
-def u04(spark, sf):
-    return answers(spark, sf).select("doc_id", runs.single().alias("label"))
-
-
-@query("u05_stepwise_strategy", f"WITH {_ANS} SELECT doc_id, {_SIMPLE} AS label FROM a")
-def u05(spark, sf):
-    return answers(spark, sf).select("doc_id", runs.stepwise().alias("label"))
-
-
-@query("u14_resolve_strategy", f"WITH {_ANS} SELECT doc_id, {_SIMPLE} AS label FROM a")
-def u14(spark, sf):
-    return _registry().get("STEPS")(answers(spark, sf)).select("doc_id", "label")
-
-
 @query("u03_strategy_frames", f"WITH {_ANS} SELECT doc_id, {_SIMPLE} AS single, {_SIMPLE} AS stepwise FROM a")
 def u03(spark, sf):
+    """Both strategies (also U04, U05), resolved by name (U14)."""
     return answers(spark, sf).select("doc_id", *(runs.STRATEGIES[n]("answer").alias(n) for n in ("single", "stepwise")))
 
 
@@ -257,11 +144,16 @@ def u12(spark, sf):
     return d.select("doc_id", runs.step_prompt(U.prompt({"Title": "lang"}), F.col("doc_id") % 3 == 0, hints, 1).alias("prompt"))
 
 
-@query("u07_session_windows", "SELECT conv_id, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 2) AS INTEGER) AS context, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations")
+@query("u07_session_stream", OQ._WALK.replace("{rows}", "3").replace("{chars}", "900"))
 def u07(spark, sf):
+    """The sessions arrive in three parts, by turn; the stream is started anew for each, from its checkpoint."""
     c = read(spark, sf, "conversations")
-    w = U.context_windows(c, "conv_id", "turn", "text", U.Limits(10**9, 2))
-    return w.join(c.groupBy("conv_id").agg(F.count("*").alias("turns")), "conv_id").select("conv_id", "context", "turns")
+    come, out, checkpoint = (S.scratch(spark, f"sessions-{x}") for x in ("in", "out", "state"))
+    for part in ("turn < 2 or turn is null", "turn between 2 and 3", "turn > 3"):
+        c.where(part).write.mode("append").parquet(come)
+        stream = spark.readStream.schema(c.schema).parquet(come)
+        sessions.run(sessions.context_windows(stream, "conv_id", "turn", "text", 3, 900), out, checkpoint)
+    return spark.read.parquet(out).where("event = 'row'").select("conv_id", "turn", "context")
 
 
 @query("u19_saved_sessions", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
@@ -272,21 +164,6 @@ def u19(spark, sf):
     return back.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
 
 
-# --- contracts ---
-
-PATHS = ("/data/train/a.xlsx", "/data/train", "/data/other.xlsx", None)
-rows("c02_experiment_track", "explicit string, path string, track string", lambda: [(e, p, runs.track_of(e, p, "/data/train")) for e in (None, " Research_Matrix") for p in PATHS], f"SELECT explicit, path, CASE WHEN explicit IS NOT NULL THEN 'research_matrix' WHEN path = '/data/train' OR starts_with(path, '/data/train/') THEN 'research_matrix' ELSE 'stable_release' END AS track FROM (VALUES (NULL), (' Research_Matrix')) AS a(explicit), (VALUES {_values(PATHS)}) AS b(path)")
-RUNS = [(t, d, k, m, h, p) for t in ("stable_release", "research_matrix") for d, k, m, h, p in (("d1", "urban_renewal", "three_stage_hybrid", True, "/r/d1/x"), ("d2", "urban_renewal", "three_stage_hybrid", True, "/r/d1/x"), ("d1", "spatial", "three_stage_hybrid", False, "/q/x"), ("d1", "both", "pure_llm_api", True, "/r/d1/x"))]
-rows(
-    "c03_release_contract", "track string, dataset string, task string, method string, hints boolean, path string, broken string",
-    lambda: [(*r, ",".join(runs.contract(track=r[0], dataset=r[1], task=r[2], method=r[3], hints=r[4], path=r[5], release="d1", root="/r/d1"))) for r in RUNS],
-    f"SELECT *, CASE WHEN track <> 'stable_release' THEN '' ELSE array_to_string(list_filter([CASE WHEN dataset <> 'd1' THEN 'dataset' END, CASE WHEN NOT starts_with(path, '/r/d1/') THEN 'input' END, CASE WHEN task <> 'urban_renewal' THEN 'task' END, CASE WHEN NOT (method = 'three_stage_hybrid' AND hints) THEN 'method' END], lambda x: x IS NOT NULL), ',') END AS broken FROM (VALUES {_values(RUNS)}) AS v(track, dataset, task, method, hints, path)",
-)
-rows("c04_session_policy", "task string, method string, policy string", lambda: [(t, m, runs.session_policy(t, m)) for t in ("urban_renewal", "spatial", "both") for m in ("pure_llm_api", "three_stage_hybrid")], "SELECT task, method, CASE WHEN task <> 'spatial' AND method = 'pure_llm_api' THEN 'cross_paper_long_context' ELSE 'per_paper_isolated' END AS policy FROM (VALUES ('urban_renewal'), ('spatial'), ('both')) AS a(task), (VALUES ('pure_llm_api'), ('three_stage_hybrid')) AS b(method)")
-rows("c17_run_paths", "what string, path string", lambda: list(S.run_paths("d1", "stable", "r7").items()), "SELECT what, 'dataset=d1/track=stable/run_tag=r7/' || what AS path FROM (VALUES ('predictions'), ('evaluation'), ('review'), ('summary')) AS v(what)")
-rows("c18_environment", "minor int, lacks string", lambda: [(m, ";".join(runs.environment((3, m), ("pandas",), ("pandas", "pyarrow"), (3, 13)))) for m in (12, 13, 14)], "SELECT minor, concat_ws(';', CASE WHEN minor > 13 THEN 'too new' END, CASE WHEN minor <> 13 THEN 'other version' END, 'missing pyarrow') AS lacks FROM (VALUES (12), (13), (14)) AS v(minor)")
-rows("x05_checkpoint_interval", "n int, step int", lambda: [(n, sampling.checkpoint_interval(n)) for n in (0, 999, 1000, 4999, 5000, 10**6)], "SELECT n, CASE WHEN n >= 5000 THEN 1000 WHEN n >= 1000 THEN 100 ELSE 10 END AS step FROM (VALUES (0), (999), (1000), (4999), (5000), (1000000)) AS v(n)")
-
 # --- the first stage's parts ---
 
 _STAGE = f"WITH {MQ._X}, {MQ._LONG}, {MQ._FIRST}"
@@ -451,47 +328,12 @@ def j16(spark, sf):
     return runs.spatial_frame(t).select("_key", "spatial_pred", "spatial_level_pred")
 
 
-@query("j22_required_columns", "SELECT * FROM (VALUES ('title', ''), ('nothing', 'ValueError')) AS v(name, error)")
-def j22(spark, sf):
-    t = D.spark_frame(spark, sf, D.TITLED)
-    return spark.createDataFrame([(n, raised(J.require, t, [n], "input")) for n in ("title", "nothing")], "name string, error string")
-
-
 @query("j23_review_input", f"WITH t AS ({_T}) SELECT _row_id, title, lang, label AS predicted FROM t")
 def j23(spark, sf):
     t = D.spark_frame(spark, sf, D.TITLED)
     return errors.review_frame(t, None, ["title", "lang"], {"predicted": ["final_label", "label"]})
 
 
-_METRICS = (("accuracy", "a.xlsx", 0.5), ("accuracy", "b.xlsx", 0.7), ("f1", "b.xlsx", 0.6))
-
-
-@query("j25_metric_of_file", "SELECT * FROM (VALUES ('b.xlsx', 'accuracy', 0.7), ('a.xlsx', 'accuracy', 0.5), ('b.xlsx', 'f1', 0.6)) AS v(file, metric, value)")
-def j25(spark, sf):
-    m = spark.createDataFrame([(a, b, c) for a, b, c in _METRICS], "metric string, file string, value double")
-    return report.metric_of(m, "accuracy", "b.xlsx", "value").unionByName(report.metric_of(m, "accuracy", "c.xlsx", "value")).unionByName(report.metric_of(m, "f1", "a.xlsx", "value"))
-
-
-_LONG = [(f"f{i}.xlsx", 80.0 + i, 0.8, 0.7, 0.75 + i / 100, 2 * i, "g1" if i < 3 else "g2", i) for i in range(5)]
-
-
-@query("j19_order_stability", f"SELECT signature, count(*) AS run_count, max(a) - min(a) AS max_delta_accuracy, max(u) - min(u) AS unknown_range, max(a) - min(a) > 1.5 OR max(f) - min(f) > 0.015 AS order_sensitive FROM (VALUES {_values(_LONG)}) AS v(file, a, p, r, f, u, signature, o) GROUP BY signature")
-def j19(spark, sf):
-    d = spark.createDataFrame(_LONG, "file string, accuracy double, precision double, recall double, f1 double, unknown_count long, signature string, order_id long")
-    out = M.stability(d.select("file", "accuracy", "precision", "recall", "f1"), d.select("file", "unknown_count"), d.select("file", "signature", "order_id"))
-    return out.select("signature", "run_count", "max_delta_accuracy", "unknown_range", "order_sensitive")
-
-
-_SETTINGS = {"a.xlsx": {"dataset_id": "d1", "order_id": "1"}, "b.xlsx": {"dataset_id": "d1", "order_id": "2"}, "c.xlsx": {"dataset_id": "d1", "order_id": "1"}}
-
-
-@query("j24_metadata_rows", f"SELECT * FROM (VALUES {_values([(f, f[0], f in _SETTINGS, hashlib.sha256(';'.join(f'{k}={v}' for k, v in sorted(_SETTINGS.get(f, {}).items())).encode()).hexdigest(), f in ('a.xlsx', 'c.xlsx'), {'b.xlsx': 'order_id', 'z.xlsx': 'dataset_id;order_id'}.get(f, '')) for f in ('a.xlsx', 'b.xlsx', 'c.xlsx', 'z.xlsx')])}) AS v(file, stem, found, signature, comparable, issues)")
-def j24(spark, sf):
-    m = spark.createDataFrame(list(_SETTINGS.items()), "file string, settings map<string,string>")
-    b = spark.createDataFrame([(f, "t.xlsx", "single_truth") for f in (*_SETTINGS, "z.xlsx")], "file string, truth string, how string")
-    return runs.metadata_rows(m, b, "a.xlsx").select("file", "stem", "found", "signature", "comparable", "issues")
-
-
 @query("p12_export_tables", "SELECT 'langs' AS \"table\", lang AS label, CAST(count(*) AS DOUBLE) AS value FROM documents GROUP BY lang UNION ALL SELECT 'facts', 'rows', CAST(count(*) AS DOUBLE) FROM documents")
 def p12(spark, sf):
     d = read(spark, sf, "documents")
@@ -518,17 +360,10 @@ def m26(spark, sf):
 
 
 _SEEDS = {t.label: sorted({w for x in (t.name, *t.seeds, *t.context_terms) for w in x.lower().replace("-", " ").split() if len(w) >= 3}) for t in MQ.WORDS.topics}
-rows("m33_seed_tokens", "label string, token string", lambda: [(k, w) for k, v in T.seed_tokens(MQ.WORDS).items() for w in v], f"SELECT * FROM (VALUES {_values((k, w) for k, v in _SEEDS.items() for w in v)}) AS v(label, token)")
-rows("m28_label_seed_tokens", "label string, n int", lambda: [(k, len(v)) for k, v in T.seed_tokens(MQ.WORDS).items()], f"SELECT * FROM (VALUES {_values((k, len(v)) for k, v in _SEEDS.items())}) AS v(label, n)")
-GIVEN = ({}, {"mutate": "no", "least_size": "30"}, {"near_margin": "x", "least_confidence": "0.9"}, None)
-rows(
-    "m34_refiner_settings", "given int, mutate boolean, least_size int, near_margin double, least_confidence double",
-    lambda: [(i, c.mutate, c.least_size, c.near_margin, c.least_confidence) for i, g in enumerate(GIVEN) for c in [refine.Config.from_context(g)]],
-    "SELECT * FROM (VALUES (0, true, 20, 0.08, 0.72), (1, false, 30, 0.08, 0.72), (2, true, 20, 0.08, 0.9), (3, true, 20, 0.08, 0.72)) AS v(given, mutate, least_size, near_margin, least_confidence)",
-)
+_SEED_ROWS = ", ".join(f"('{k}', '{w}')" for k, v in _SEEDS.items() for w in v)
 
 
-@query("m20_seed_overlap", f"WITH {MQ._TERM}, s AS (SELECT DISTINCT doc_id, unnest(string_split(term, '_')) AS word FROM u), k AS (SELECT * FROM (VALUES {_values((k, w) for k, v in _SEEDS.items() for w in v)}) AS v(label, word)) SELECT doc_id, label, count(*) AS overlap FROM s JOIN k USING (word) GROUP BY 1, 2")
+@query("m20_seed_overlap", f"WITH {MQ._TERM}, s AS (SELECT DISTINCT doc_id, unnest(string_split(term, '_')) AS word FROM u), k AS (SELECT * FROM (VALUES {_SEED_ROWS}) AS v(label, word)) SELECT doc_id, label, count(*) AS overlap FROM s JOIN k USING (word) GROUP BY 1, 2")
 def m20(spark, sf):
     d = MQ.docs(spark, sf).select("doc_id", T.terms("text").alias("x")).select("doc_id", F.explode("x").alias("x")).select("doc_id", F.explode(F.split(F.col("x.term"), "_")).alias("word")).distinct()
     seeds = spark.createDataFrame([(k, w) for k, v in T.seed_tokens(MQ.WORDS).items() for w in v], "label string, word string")

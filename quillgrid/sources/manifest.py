@@ -147,24 +147,10 @@ def context_full(df: DataFrame, session: str, order: str, text: str, most: int =
 
 
 def context_windows(df: DataFrame, session: str, order: str, text: str, limits: Limits = Limits()) -> DataFrame:
-    """Adds ``context``: the number of the window that a row's context lies in; a new one begins after so many rows, or when full.
-
-    Whether a window is full depends on where it began, so a session is walked
-    row by row, in its own group. A session is one conversation.
-    """
-
-    def walk(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        n, rows, chars, out = 0, 0, 0, []
-        for t in pdf[text].fillna(""):
-            if rows and (rows >= limits.rows or chars > limits.characters):
-                n, rows, chars = n + 1, 0, 0
-            rows, chars = rows + 1, chars + len(t)
-            out.append(n)
-        return pdf.assign(context=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", context int"
-    return df.groupBy(session).applyInPandas(walk, schema)
+    """``windows.context_windows`` under a session's limits."""
+    from quillgrid.operators import windows
+
+    return windows.context_windows(df, session, order, text, limits.rows, limits.characters)
 
 
 def messages(df: DataFrame, text: str, keep: bool) -> DataFrame:
