@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text
@@ -10,6 +12,7 @@ from quillgrid.operators import align as J
 from quillgrid.operators import classify as C
 from quillgrid.operators import crosstab as X
 from quillgrid.operators import decide as H
+from quillgrid.operators import lexicon as L
 from quillgrid.operators import errors, runs
 from quillgrid.operators import gate as G
 from quillgrid.operators import phrases as P
@@ -18,9 +21,10 @@ from quillgrid.plans import frames as D
 from quillgrid.plans import model_queries as MQ
 from quillgrid.plans import other_queries as OQ
 from quillgrid.plans.registry import query
+from quillgrid.sources import bundle, workbooks
 from quillgrid.sources import manifest as U
 from quillgrid.sources import tables as S
-from quillgrid.streaming import sessions
+from quillgrid.streaming import resumable, sessions
 
 _T, _E, _M = D.duck(D.TITLED), D.duck(D.EVAL), D.duck(D.MESSY)
 
@@ -67,15 +71,40 @@ def s21(spark, sf):
 
 @query("s20_summary_tables", f"WITH e AS ({_E}) SELECT 'metrics' AS name, 3 AS n UNION ALL SELECT 'unknown', 3 UNION ALL SELECT 'sources', 3 * count(DISTINCT {D.text('decision_source')}) FROM e")
 def s20(spark, sf):
+    """All tables of an evaluation in one commit, read back."""
     folder = S.scratch(spark, "summary")
-    tables = evaluated(spark, sf)
-    S.write_tables(tables, folder)
-    back = S.read_tables(spark, folder, list(tables))
-    out = None
-    for name, df in back.items():
-        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    bundle.write(evaluated(spark, sf), folder)
+    return reduce(lambda a, b: a.union(b), [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n") for name, df in bundle.read(spark, folder).items()])
+
+
+_BOOK = "SELECT doc_id, nullif(text, '') AS text, lang, n_chars FROM documents"
+
+
+@query("s01_workbook_rows", _BOOK)
+def s01(spark, sf):
+    """Documents as workbooks of several sheets, one for each task, read back sheet by sheet."""
+    folder = S.scratch(spark, "workbooks")
+    workbooks.write(S.spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")), folder, sheet_rows=500)
+    return workbooks.read(spark, folder).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+@query("s03_workbook_without_header", "SELECT doc_id, lang FROM documents")
+def s03(spark, sf):
+    folder = S.scratch(spark, "workbooks")
+    workbooks.write(read(spark, sf, "documents").select("doc_id", "lang"), folder, header=False, sheet_rows=700)
+    return workbooks.read(spark, folder, header=False).select(F.col("c1").cast("long").alias("doc_id"), F.col("c2").alias("lang"))
+
+
+@query("x05_resumable_run", f"WITH {MQ._X}, {MQ._LONG}, {MQ._BEST} SELECT doc_id, CASE WHEN score <= 0 THEN 'Unknown' ELSE label END AS label FROM b2")
+def x05(spark, sf):
+    """Documents classified in batches; a second run finds them all entered. Tests stop it between batches."""
+    docs = MQ.docs(spark, sf).select("doc_id", "title", "abstract")
+    source, folder = S.scratch(spark, "input"), S.scratch(spark, "run")
+    resumable.stage(docs, source, max(resumable.interval(docs.count()), 1000))
+    best = lambda batch: L.score_topics(L.fields(batch), MQ.WORDS).select("doc_id", F.when(F.col("topics")[0]["score"] <= 0, "Unknown").otherwise(F.col("topics")[0]["label"]).alias("label"))
+    for _ in range(2):
+        resumable.run(spark, source, docs.schema, best, folder, files=8)
+    return resumable.result(spark, folder)
 
 
 @query("s22_review_tables", f"WITH r AS ({D.duck(D.REVIEW)}) SELECT topic, count(*) AS n FROM r WHERE trim(coalesce(topic, '')) <> '' GROUP BY topic")
@@ -338,6 +367,9 @@ def j23(spark, sf):
 def p12(spark, sf):
     d = read(spark, sf, "documents")
     out = runs.export_tables(d.agg(F.count("*").alias("rows")), {"langs": d.groupBy("lang").agg(F.count("*").alias("n"))}, {"langs": "n"})
+    folder = S.scratch(spark, "exports")
+    bundle.write(out, folder)
+    out = bundle.read(spark, folder)
     return out["langs"].unionByName(out["facts"].select(F.lit("facts").alias("table"), F.col("fact").alias("label"), F.col("value").cast("double").alias("value")))
 
 

@@ -62,19 +62,23 @@ def context_windows(stream: DataFrame, session: str, order: str, text: str, rows
     light = stream.select(session, order, F.length(F.coalesce(text, F.lit(""))).alias("size"))
     kinds = {f.name: f.dataType for f in light.schema}
     schema = StructType([StructField(session, kinds[session]), StructField(order, kinds[order]), StructField("context", IntegerType()), StructField("event", StringType())])
-    return light.groupBy(session).transformWithStateInPandas(statefulProcessor=Windows(session, order, rows, characters, idle), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    return light.groupBy(session).transformWithStateInPandas(statefulProcessor=Windows(session, order, rows, characters, idle), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if idle else "None")
 
 
 #: The state store that the processor needs.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def run(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all that is there as Parquet, exactly once, and stop; the checkpoint lets the next call go on."""
+def run(stream: DataFrame, path: str, checkpoint: str, timers: bool = False) -> None:
+    """Process all that is there as Parquet, exactly once, and stop; the checkpoint lets the next call go on.
+
+    With ``timers`` (sessions that expire) it is one batch: processing time never
+    stops, so a run until nothing is left to do would not end.
+    """
     conf = stream.sparkSession.conf
     before = conf.get(STORE[0], None)
     conf.set(*STORE)
     try:
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**({"once": True} if timers else {"availableNow": True})).start().awaitTermination()
     finally:
         conf.set(STORE[0], before) if before else conf.unset(STORE[0])
