@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import cells, text
 from quillgrid.operators import phrases as P
 from quillgrid.operators.metrics import token_documents
+from quillgrid.sources import tables as S
 
 
 def document_tokens(df: DataFrame, key: str, tokens: Column, also: tuple[str, ...] = ()) -> DataFrame:
@@ -26,8 +27,15 @@ def fit_odds(tokens: DataFrame, key: str, label: str, least: int = 2) -> tuple[D
     return w, docs.select(F.ln((F.col("p") + 1) / (F.col("n") + 1)).alias("bias"))
 
 
-def odds_score(tokens: DataFrame, key: str, weights: DataFrame, bias: DataFrame) -> DataFrame:
-    """(key, odds, probability) of each document with tokens: bias plus the weights of its distinct tokens."""
+def odds_score(tokens: DataFrame, key: str, weights: DataFrame, bias: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(key, odds, probability) of each document with tokens: bias plus the weights of its distinct tokens.
+
+    The weights are counted; up to ``most`` are sent to all tasks, and tokens are
+    summed by document before they are shuffled.
+    """
+    weights = S.kept(weights, "weights")
+    if weights.count() <= most:
+        weights = F.broadcast(weights)
     s = tokens.join(weights, "token", "left").groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
     out = s.join(F.broadcast(bias)).select(key, (F.col("w") + F.col("bias")).alias("odds"))
     return out.withColumn("probability", probability("odds"))

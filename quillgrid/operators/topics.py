@@ -47,16 +47,21 @@ def terms(doc: Column | str, stop: Sequence[str] = STOP) -> Column:
     return F.concat(F.transform(F.filter(words, ok), lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"))), F.transform(F.array_compact(two), lambda w: F.struct(w.alias("term"), F.lit(2).alias("n"))))
 
 
-def top_terms(df: DataFrame, key: str | Sequence[str], doc: str, k: int = 10) -> DataFrame:
-    """The k heaviest terms of each key (ties by term): key, term, weight, rank."""
+def top_terms(df: DataFrame, key: str | Sequence[str], doc: str, k: int = 10, unique: bool = False) -> DataFrame:
+    """The k heaviest terms of each key (ties by term): key, term, weight, rank.
+
+    If each row has a key of its own (``unique``), the texts are dealt by key once, and their terms
+    aren't shuffled; else terms are counted in each task first.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    df = df.repartition(*keys) if unique else df
     w = df.select(*keys, F.explode(terms(doc)).alias("x")).groupBy(*keys, F.col("x.term").alias("term")).agg(F.sum("x.n").alias("weight"))
     return w.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= k)
 
 
 def by_keyword(df: DataFrame, key: str, doc: str) -> DataFrame:
     """Clusters documents by their own heaviest term: key, bucket; a document without terms is a bucket of its own."""
-    first = top_terms(df, key, doc, 1).select(key, F.col("term").alias("bucket"))
+    first = top_terms(df, key, doc, 1, unique=True).select(key, F.col("term").alias("bucket"))
     return df.select(key).join(first, key, "left").withColumn("bucket", F.coalesce("bucket", F.concat(F.lit("document_"), F.col(key).cast("string"))))
 
 

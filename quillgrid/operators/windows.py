@@ -89,25 +89,19 @@ def chain(jumps: DataFrame, session: str) -> DataFrame:
     each round the reached entries jump as far as all rounds before together, and
     jumps are joined with themselves.
     """
-    jumps = _kept(jumps, "jumps")
+    jumps = S.kept(jumps, "jumps")
     reached = jumps.where("_e = 0").select(session, "_e", F.lit(0).cast("long").alias("_number"))
-    fresh = reached = _kept(reached, "reached")
+    fresh = reached = S.kept(reached, "reached")
     while True:
         j = jumps.withColumnsRenamed({session: "_s", "_e": "_from"})
         on = reached[session].eqNullSafe(F.col("_s")) & (F.col("_e") == F.col("_from"))
-        fresh = _kept(reached.join(j, on).select(session, F.col("_to").alias("_e"), (F.col("_number") + F.col("_n")).alias("_number")), "reached")
+        fresh = S.kept(reached.join(j, on).select(session, F.col("_to").alias("_e"), (F.col("_number") + F.col("_n")).alias("_number")), "reached")
         if fresh.isEmpty():
             return reached
         reached = reached.union(fresh)
         left, right = jumps, jumps.withColumnsRenamed({session: "_s", "_e": "_from", "_to": "_then", "_n": "_m"})
         twice = left.join(right, left[session].eqNullSafe(F.col("_s")) & (F.col("_to") == F.col("_from")))
-        jumps = _kept(twice.select(session, "_e", F.col("_then").alias("_to"), (F.col("_n") + F.col("_m")).alias("_n")), "jumps")
-
-
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    folder = S.scratch(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+        jumps = S.kept(twice.select(session, "_e", F.col("_then").alias("_to"), (F.col("_n") + F.col("_m")).alias("_n")), "jumps")
 
 
 def context_windows(df: DataFrame, session: str, order: str, text: str, rows: int, characters: int, block: int = BLOCK) -> DataFrame:
@@ -125,11 +119,11 @@ def context_windows(df: DataFrame, session: str, order: str, text: str, rows: in
     tie = F.xxhash64(*(F.col(c) for c in names))
     by = [F.col(session), F.col(order).asc_nulls_first(), F.col("_tie")]
     dealt = df.withColumn("_tie", tie).repartitionByRange(*by).sortWithinPartitions(*by)
-    base = _kept(dealt.withColumns({"_at": F.monotonically_increasing_id(), "_piece": F.spark_partition_id()}).drop("_tie"), "sessions")
+    base = S.kept(dealt.withColumns({"_at": F.monotonically_increasing_id(), "_piece": F.spark_partition_id()}).drop("_tie"), "sessions")
     n = numbered(base.select(session, "_at", "_piece", F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_size")), session, order, "_size")
     n = n.select(session, "_at", "_i", "_p", F.floor(F.col("_i") / block).cast("long").alias("_block"))
     ahead = n.where((F.col("_block") > 0) & (F.col("_i") % block <= rows)).withColumns({"_block": F.col("_block") - 1, "_guest": F.lit(True)})
-    n = _kept(n.withColumn("_guest", F.lit(False)).unionByName(ahead), "blocks")
+    n = S.kept(n.withColumn("_guest", F.lit(False)).unionByName(ahead), "blocks")
     kind = dict(df.dtypes)[session]
     jumps = n.groupBy(session, "_block").applyInPandas(_entries(session, rows, characters, block), f"`{session}` {kind}, _e long, _to long, _n long")
     long_ = n.where("_block > 0").select(F.col(session).alias("_s")).distinct()

@@ -14,6 +14,7 @@ from quillgrid.operators import lexicon as L
 from quillgrid.operators import phrases as P
 from quillgrid.operators import refine as R
 from quillgrid.operators import stats
+from quillgrid.operators import topic_model as TM
 from quillgrid.operators import topics as T
 from quillgrid.plans import frames as D
 from quillgrid.plans.registry import query
@@ -197,7 +198,7 @@ def m01(spark, sf):
 @query("m02_odds_score", f"{_TOK}, t2 AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[a-z0-9]+'))) AS token FROM d) SELECT doc_id, round(sum(coalesce(weight, 0)) + max(ln((p + 1) / (n + 1.0))), 6) AS odds, round(1 / (1 + exp(-least(greatest((sum(coalesce(weight, 0)) + max(ln((p + 1) / (n + 1.0)))) / 4, -12), 12))), 6) AS probability FROM t2 LEFT JOIN w USING (token), n GROUP BY doc_id")
 def m02(spark, sf):
     w, bias = C.fit_odds(labelled_tokens(spark, sf), "doc_id", "quality")
-    tokens = C.document_tokens(docs(spark, sf), "doc_id", text.unigrams("text"))
+    tokens = C.document_tokens(spread_docs(spark, sf), "doc_id", text.unigrams("text"))
     return C.odds_score(tokens, "doc_id", w, bias).select("doc_id", F.round("odds", 6).alias("odds"), F.round("probability", 6).alias("probability"))
 
 
@@ -386,7 +387,7 @@ u AS (SELECT doc_id, w[i] AS term, 1 AS n FROM (SELECT *, unnest(generate_series
 
 @query("m08_keyword_terms", f"WITH {_TERM}, s AS (SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS weight FROM u GROUP BY 1, 2) SELECT doc_id, term, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 10")
 def m08(spark, sf):
-    return T.top_terms(docs(spark, sf), "doc_id", "text")
+    return T.top_terms(spread_docs(spark, sf), "doc_id", "text", unique=True)
 
 
 _BUCKET = "b AS (SELECT d.doc_id, coalesce(term, 'document_' || d.doc_id) AS bucket FROM documents AS d LEFT JOIN (SELECT doc_id, term FROM (SELECT doc_id, term, sum(n) AS weight FROM u GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) = 1) USING (doc_id))"
@@ -394,7 +395,7 @@ _BUCKET = "b AS (SELECT d.doc_id, coalesce(term, 'document_' || d.doc_id) AS buc
 
 @query("m07_keyword_clusters", f"WITH {_TERM}, {_BUCKET} SELECT doc_id, bucket FROM b")
 def m07(spark, sf):
-    return T.by_keyword(docs(spark, sf), "doc_id", "text")
+    return T.by_keyword(spread_docs(spark, sf), "doc_id", "text")
 
 
 @query("m09_cluster_ids", f"WITH {_TERM}, {_BUCKET} SELECT bucket, count(*) AS size, 'DUR_' || CASE WHEN r < 10000 THEN lpad(CAST(r AS VARCHAR), 4, '0') ELSE CAST(r AS VARCHAR) END AS cluster FROM (SELECT bucket, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS r FROM b GROUP BY 1) JOIN b USING (bucket) GROUP BY bucket, r")
@@ -410,7 +411,7 @@ def m11(spark, sf):
 
 @query("m10_map_to_fixed", None)
 def m10(spark, sf):
-    k = T.top_terms(docs(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
+    k = T.top_terms(docs(spark, sf), "doc_id", "text", unique=True).groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
     m = F.col("mapping")
     return T.map_to_fixed(k, "keywords", T.seed_tokens(WORDS)).select("doc_id", m["candidate"].alias("candidate"), m["status"].alias("status"), m["score"].alias("score"))
 
@@ -448,10 +449,47 @@ def m17(spark, sf):
 # --- topic model tables ---
 
 
-@query("m18_nearest_topic", None)
+_ZERO = "z AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
+
+
+def zero_topics(spark, sf):
+    """A given topic for each label: the mean of its vectors."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")).select(F.format_string("%02d", "label").alias("topic"), "vector")
+
+
+@query("m18_nearest_topic", f"WITH {_ZERO}, s AS (SELECT vec_id, z.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), z.v) AS s FROM embeddings, z) SELECT vec_id, CAST(arg_max(label, s) AS INTEGER) AS topic, max(s) >= 0.68 AS zero_shot FROM s GROUP BY vec_id")
 def m18(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return T.nearest_topic(e, T.fit_centres(e, "embedding", 10), "vec_id", "embedding")
+    """The nearest given topic of each vector."""
+    zero = sorted((int(r["topic"]), r["vector"]) for r in zero_topics(spark, sf).collect())
+    found = TM.assign(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", TM.whole([v for _, v in zero]))
+    return found.select("vec_id", F.get(F.array(*(F.lit(t) for t, _ in zero)), F.col("topic")).alias("topic"), (F.col("similarity") >= TM.Config().similarity).alias("zero_shot"))
+
+
+def embedded(spark, sf):
+    """Documents that have a vector, with it."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").join(e, "doc_id")
+
+
+@query("m19_topic_model", None)
+def m19_model(spark, sf):
+    """Half of the labels are given topics; the rest is clustered."""
+    zero = zero_topics(spark, sf).where(F.col("topic").cast("int") % 2 == 0)
+    return TM.fit(embedded(spark, sf), "doc_id", "embedding", "text", zero)
+
+
+_GRAMS = f"""t AS (SELECT doc_id, lang AS topic, list_filter(regexp_extract_all(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({', '.join(f"'{w}'" for w in T.STOP)})) AS w FROM documents),
+p AS (SELECT *, unnest(generate_series(1, len(w))) AS i FROM t), g AS (SELECT doc_id, topic, w[i] AS term FROM p UNION ALL SELECT doc_id, topic, w[i] || ' ' || w[i + 1] FROM p WHERE i + 1 <= len(w) UNION ALL SELECT doc_id, topic, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM p WHERE i + 2 <= len(w)),
+c AS (SELECT topic, term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY 1, 2), o AS (SELECT term, sum(tf) AS all_tf, sum(df) AS all_df FROM c GROUP BY 1), k AS (SELECT c.*, all_tf FROM c JOIN o USING (term) WHERE all_df >= 3 AND all_df <= 0.92 * (SELECT count(*) FROM documents)),
+s AS (SELECT topic, term, round(tf / CAST(sum(tf) OVER (PARTITION BY topic) AS DOUBLE) * ln(1 + (SELECT sum(tf) / CAST(count(DISTINCT topic) AS DOUBLE) FROM k) / CAST(all_tf AS DOUBLE)), 9) AS score FROM k)"""
+
+
+@query("m19_class_terms", f"WITH {_GRAMS} SELECT topic, term, score, CAST(row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) <= 10")
+def m19_terms(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("lang").alias("topic"), "text")
+    return TM.class_terms(S.spread(d), "topic", "text")
 
 
 @query("m19_topic_stats", "WITH n AS (SELECT label % 5 AS topic, label, count(*) AS n, sum(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) AS p FROM embeddings GROUP BY 1, 2) SELECT topic, label AS majority, count, round(n / CAST(count AS DOUBLE), 6) AS purity, round(pos / CAST(count AS DOUBLE), 6) AS pos_rate FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY topic) AS BIGINT) AS count, sum(p) OVER (PARTITION BY topic) AS pos FROM n) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, label) = 1")

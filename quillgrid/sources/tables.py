@@ -259,6 +259,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back: what it was computed from is forgotten."""
+    folder = scratch(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def run_paths(dataset: str, track: str, tag: str) -> dict[str, str]:
     """Where a run's outputs go, as partition directories."""
     root = f"dataset={dataset}/track={track}/run_tag={tag}"
