@@ -1,12 +1,13 @@
 """Operator 7: secret scans through a trigram inverted index, in DataFrame functions only.
 
-Each rule's regular expression gives a Boolean trigram query (``trigrams``). The
-index is bit-sliced: the posting of a trigram is a Boolean column over the rows
-of a partition, whether the lower-cased text has it. Postings are intersected
-where they lie, the rarest first, so a conjunction's other trigrams are looked
-up only in texts that have that one, and neither texts nor postings are
-shuffled. Rules that a text may match are then tried on it; a rule without
-mandatory trigrams (long hexadecimal runs) is tried on every text.
+Each rule's regular expression gives a Boolean trigram query (``trigrams``). One
+scan of the texts makes the *postings*: for each trigram that a rule asks for,
+the sorted keys of the rows whose lower-cased texts have it. They are dealt to
+buckets by key, so that no list grows with the table, and are written to the
+shared folder. Within a bucket the lists of a conjunction are intersected, the
+rarest trigram's first, and the conjunctions of a rule united; the keys that are
+left name the rows on which the rule is tried. A rule without mandatory trigrams
+(long hexadecimal runs) is tried on every text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm import folds, trigrams
+from quillgrid.llm import folds, storage, trigrams
 
 #: Marks put around matches. They are noncharacters; where a text has one, it counts as U+FFFD, which no rule matches.
 OPEN, CLOSE, INNER = "﷐", "﷑", "﷒"
@@ -64,31 +65,64 @@ def queries(rules: tuple[Rule, ...] = RULES) -> list[trigrams.Query]:
 FREQUENT = "etaoinshrdlucmfwypvbgkjxqz"
 
 
-def posting(low: Column, gram: str) -> Column:
-    """The posting of a trigram: which rows' lower-cased texts have it."""
-    return F.contains(low, F.lit(gram))
+def _rarity(gram: str) -> tuple[int, str]:
+    return -sum(FREQUENT.find(c) % 64 for c in gram), gram
 
 
-def candidates(low: Column, query: trigrams.Query) -> Column:
-    """Which rows meet a trigram query: for one conjunction at least, they are in the postings of all its trigrams."""
-    if query is None:
-        return F.lit(True)
-    rarity = lambda g: (-sum(FREQUENT.find(c) % 64 for c in g), g)
-    out = F.lit(False)
-    for conjunction in sorted(query, key=sorted):
-        first, *rest = sorted(conjunction, key=rarity)
-        met = posting(low, first)
-        for g in rest:
-            met = met & posting(low, g)
-        out = out | met
-    return out
+def asked(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that the rules' queries ask for: some hundred, fixed by the rules."""
+    return sorted({g for q in queries(rules) if q is not None for c in q for g in c})
 
 
-def _with_candidates(rows: DataFrame, text: Column, rules: tuple[Rule, ...], name: str) -> DataFrame:
-    """Adds an array of Booleans: for each rule, whether the text may match it."""
-    low = f"{name}_low"
-    rows = rows.withColumn(low, F.lower(text))
-    return rows.withColumn(name, F.array(*(candidates(F.col(low), q) for q in queries(rules)))).drop(low)
+#: Bytes of texts for a bucket of postings.
+BUCKET = 32 << 20
+
+
+def postings(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(bucket, gram, keys): the inverted index, a sorted list of distinct keys for each trigram and bucket, written to the shared folder."""
+    buckets = max(8, storage.size_of(rows) // BUCKET)
+    there = F.filter(F.array(*(F.lit(g) for g in asked(rules))), lambda g: F.contains("_low", g))
+    has = rows.select(F.col(key).alias("key"), F.lower(text).alias("_low")).select("key", F.explode(there).alias("gram"))
+    lists = has.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket"), "gram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return storage.materialise(lists, "postings")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, rules: numbers of the rules whose query the key's postings meet), for rules that have a query."""
+    none = F.array().cast("array<bigint>")
+    lists = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
+    posting = lambda g: F.coalesce(F.try_element_at("lists", F.lit(g)), none)
+    found = []
+    for n, query in enumerate(queries(rules)):
+        if query is None:
+            continue
+        met = none
+        for conjunction in sorted(query, key=sorted):
+            first, *rest = sorted(conjunction, key=_rarity)
+            keys = posting(first)
+            for g in rest:
+                keys = F.array_intersect(keys, posting(g))
+            met = F.array_union(met, keys)
+        found.append(F.struct(F.lit(n).alias("rule"), met.alias("keys")))
+    if not found:
+        return index.select(F.lit(0).cast("long").alias("key"), F.array().cast("array<int>").alias("rules")).limit(0)
+    each = lists.select(F.explode(F.array(*found)).alias("_f")).select("_f.rule", F.explode("_f.keys").alias("key"))
+    return each.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+
+
+def _with_candidates(rows: DataFrame, id_: Column, text: Column, rules: tuple[Rule, ...], name: str) -> DataFrame:
+    """Adds an array of Booleans: for each rule, whether the text may match it.
+
+    A row's key is a hash of its id and text: rows that share one are candidates
+    of each other's rules, which are verified on each.
+    """
+    key, own = f"{name}_key", f"{name}_text"
+    rows = rows.withColumn(key, F.xxhash64(id_.cast("string"), text))
+    index = postings(rows.withColumn(own, text).select(key, own), key, own, rules)
+    met = candidates(index, rules).select(F.col("key").alias(key), F.col("rules").alias(f"{name}_rules"))
+    rows = rows.join(met.hint("shuffle_hash"), key, "left")
+    may = [F.lit(True) if q is None else F.coalesce(F.array_contains(f"{name}_rules", n), F.lit(False)) for n, q in enumerate(queries(rules))]
+    return rows.withColumn(name, F.array(*may)).drop(key, f"{name}_rules")
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -114,11 +148,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     found, an array of (start, place of the kind in ``rules``, end, kind), in
     that order; offsets are code points, the end exclusive. A null text counts
     as empty. Repeated and null ids are scanned row by row; an empty table gives
-    none. Each row is handled where it lies: one scan, no shuffle.
+    none. Texts are scanned once for the index and once to verify, and are dealt
+    by key to meet their candidates.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
-    rows = _with_candidates(rows, F.col("text"), rules, "may")
+    rows = _with_candidates(rows, F.col("id"), F.col("text"), rules, "may")
     has_mark = F.contains("text", F.lit(OPEN)) | F.contains("text", F.lit(CLOSE)) | F.contains("text", F.lit(INNER))
     rows = rows.withColumn("text", F.when(has_mark, F.translate("text", OPEN + CLOSE + INNER, "�" * 3)).otherwise(F.col("text")))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
@@ -147,7 +182,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     may = "_may"
     while any(c.lower().startswith(may) for c in names):
         may = f"_{may}"
-    rows = _with_candidates(docs, F.coalesce(docs[text_col], F.lit("")), rules, may)
+    rows = _with_candidates(docs, docs[id_col], F.coalesce(docs[text_col], F.lit("")), rules, may)
     text = F.col(text_col)  # a projection for each rule: nested, the expression would double with every rule
     for n, (rule, query) in enumerate(zip(rules, queries(rules))):
         changed = F.regexp_replace(text, f"({rule.head})({rule.strict or rule.value})", f"$1{mask}")

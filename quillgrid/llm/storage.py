@@ -7,14 +7,19 @@ read it, so a table written there survives the loss of any executor.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
-#: Scratch tables that ``materialise`` has written and ``free`` hasn't removed, by session.
-_made: dict[str, list[str]] = {}
+#: Scratch tables that ``materialise`` has written and ``free`` hasn't removed, by application and thread, so that calls in two threads don't free each other's.
+_made: dict[tuple[str, int], list[str]] = {}
+
+
+def _own(spark: SparkSession) -> tuple[str, int]:
+    return spark.sparkContext.applicationId, threading.get_ident()
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -36,7 +41,7 @@ def new_dir(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = new_dir(df.sparkSession, label)
-    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _made.setdefault(_own(df.sparkSession), []).append(path)
     df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,12 +61,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def mark(spark: SparkSession) -> int:
     """A place in the list of scratch tables, for ``free``."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+    return len(_made.get(_own(spark), []))
 
 
 def free(spark: SparkSession, since: int, keep: tuple[str, ...]) -> None:
     """Remove the scratch tables written since a mark, but for those with the labels ``keep``, which results still read."""
-    made = _made.get(spark.sparkContext.applicationId, [])
+    made = _made.get(_own(spark), [])
     kept = [p for p in made[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] in keep]
     for p in set(made[since:]) - set(kept):
         delete(spark, p)

@@ -625,6 +625,53 @@ def test_fits_take_one_row_an_id(spark):
     assert quality_rules.apply(none, quality_rules.fit(none, labels)).count() == 0 and rule_ensemble.classify(none, rule_ensemble.fit(none, labels)).count() == 0
 
 
+def test_postings_decide_where_rules_are_tried(spark):
+    """The lists are those of the texts' trigrams; a rule is tried on no row that its lists don't name."""
+    df = frame(spark, SECRETS).select(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    texts = {r.k: r.t.lower() for r in df.collect()}
+    index = secrets.postings(df, "k", "t")
+    lists = {}
+    for r in index.collect():
+        assert list(r["keys"]) == sorted(set(r["keys"]))
+        lists.setdefault(r.gram, set()).update(r["keys"])
+    assert lists == {g: own for g in secrets.asked() if (own := {k for k, t in texts.items() if g in t})}
+    want = {}
+    for n, q in enumerate(secrets.queries()):
+        for k, t in texts.items():
+            if q is not None and any(all(g in t for g in c) for c in q):
+                want.setdefault(k, set()).add(n)
+    assert {r.key: set(r.rules) for r in secrets.candidates(index).collect()} == want
+    assert secrets.candidates(index.limit(0)).count() == 0  # without lists, nothing but the rules that scan fully is tried
+
+
+def test_scratch_tables_of_two_threads(spark):
+    """A call frees what it has written itself, and nothing of another thread's."""
+    import threading
+
+    from quillgrid.llm import storage
+
+    kept, ready, done = [], threading.Event(), threading.Event()
+
+    def other():
+        storage.mark(spark)
+        kept.append(storage.materialise(spark.range(3), "other"))
+        ready.set()
+        done.wait()
+
+    t = threading.Thread(target=other)
+    since = storage.mark(spark)
+    t.start()
+    ready.wait()
+    mine = storage.materialise(spark.range(4), "mine")
+    storage.free(spark, since, ())
+    done.set()
+    t.join()
+    assert kept[0].count() == 3
+    with pytest.raises(Exception, match="PATH|exist"):
+        spark.read.parquet(mine.inputFiles()[0]).count()
+
+
+
 def test_secrets_in_long_texts(spark):
     """Many matches in one text: spans come out in order, and in a time that grows with the text, not with its square."""
     text = ("deadbeef" * 4 + " ") * 12_000 + "token = abcdefgh " * 3000
