@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import _c, strip
+from quillgrid.functions.text import _c, bind, strip
 
 #: What an answer looks like when it says so (fixed values).
 ANSWER_PATTERNS = (
@@ -111,8 +111,7 @@ def trimmed(c: Column, marks: str = " .;:") -> Column:
 
 
 def clean_area(c: Column | str, default: str = NOT_MENTIONED) -> Column:
-    t = strip(F.coalesce(_c(c).cast("string"), F.lit("")))
-    return F.when(trimmed(F.lower(t)).isin(*EMPTY_AREAS), default).otherwise(t)
+    return bind(strip(F.coalesce(_c(c).cast("string"), F.lit(""))), lambda t: F.when(trimmed(F.lower(t)).isin(*EMPTY_AREAS), default).otherwise(t))
 
 
 def without_implicit(c: Column) -> Column:
@@ -131,23 +130,31 @@ def is_generic(c: Column) -> Column:
 
 
 def is_placeholder(c: Column, terms: Sequence[str] = (), implicit_terms: Sequence[str] = ()) -> Column:
-    n = trimmed(matched(F.regexp_replace(c, "^[\"']+|[\"']+$", "")))
-    out = c.isNull() | n.isin(*EMPTY_AREAS) | is_generic(c)
-    for t in terms:
-        out = out | F.contains(n, F.lit(t))
-    for t in implicit_terms:
-        out = out | (F.contains(n, F.lit("implicit")) & F.contains(n, F.lit(t)))
-    return out
+
+
+    def known(n: Column) -> Column:
+        out = n.isin(*EMPTY_AREAS)
+        for t in terms:
+            out = out | F.contains(n, F.lit(t))
+        for t in implicit_terms:
+            out = out | (F.contains(n, F.lit("implicit")) & F.contains(n, F.lit(t)))
+        return out
+
+    return c.isNull() | bind(trimmed(matched(F.regexp_replace(c, "^[\"']+|[\"']+$", ""))), known) | is_generic(c)
 
 
 def scale(c: Column | str) -> Column:
     """The canonical level of a text that begins with its digit or has its name; null if none."""
-    n = matched(clean_area(c, ""))
-    digit = F.regexp_extract(n, r"^([1-9])(?:\.|\b)", 1)
-    out = F.when(digit != "", F.try_element_at(F.array(*(F.lit(s) for s in SCALES)), F.coalesce(digit.try_cast("int"), F.lit(1))))
-    for s in SCALES:
-        out = out.when(F.contains(n, F.lit(s.split(".", 1)[1].strip().lower())), s)
-    return F.when(n != "", out)
+
+
+    def named(n: Column) -> Column:
+        digit = F.regexp_extract(n, r"^([1-9])(?:\.|\b)", 1)
+        out = F.when(digit != "", F.try_element_at(F.array(*(F.lit(s) for s in SCALES)), F.coalesce(digit.try_cast("int"), F.lit(1))))
+        for s in SCALES:
+            out = out.when(F.contains(n, F.lit(s.split(".", 1)[1].strip().lower())), s)
+        return F.when(n != "", out)
+
+    return bind(matched(clean_area(c, "")), named)
 
 
 def scale_number(c: Column) -> Column:
@@ -164,8 +171,8 @@ def is_country(c: Column) -> Column:
 
 def scale_mismatch(area: Column, level: Column) -> Column:
     """An area too large for its level: implied or a country at 6 or above, the world at anything but 1."""
-    n, m = scale_number(level), matched(area)
-    return n.isNull() | (F.contains(m, F.lit("implicit")) & (n >= 6)) | (is_country(area) & (n >= 6)) | (m.isin("global", "world", "worldwide") & (n != 1))
+    wrong = lambda x: x["n"].isNull() | (F.contains(x["m"], F.lit("implicit")) & (x["n"] >= 6)) | (x["country"] & (x["n"] >= 6)) | (x["m"].isin("global", "world", "worldwide") & (x["n"] != 1))
+    return bind(F.struct(scale_number(level).alias("n"), matched(area).alias("m"), is_country(area).alias("country")), wrong)
 
 
 def fragments(area: Column) -> Column:
@@ -175,27 +182,31 @@ def fragments(area: Column) -> Column:
 
 def implied_country(area: Column, source: Column) -> Column:
     """The first word of the source that implies the area's country, if the source also speaks of policy; else null."""
-    core, out = core_area(area), F.lit(None).cast("string")
-    for name, words in COUNTRIES.items():
-        first = F.try_element_at(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(source, w)), F.lit(1))
-        out = F.when(core == name, first).otherwise(out)
-    return F.when(F.rlike(source, F.lit(POLICY_WORDS)), out)
+    table = F.create_map(*(x for name, words in COUNTRIES.items() for x in (F.lit(name), F.array(*(F.lit(w) for w in words)))))
+    first = F.try_element_at(F.filter(F.try_element_at(table, core_area(area)), lambda w: F.contains(source, w)), F.lit(1))
+    return F.when(F.rlike(source, F.lit(POLICY_WORDS)), first)
 
 
 def support(area: Column, title: Column | str, abstract: Column | str) -> Column:
     """struct(ok, reason, evidence): does the title or abstract bear the area out?"""
-    source = matched(strip(F.concat_ws(" ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(abstract), F.lit("")))))
-    core, parts = without_implicit(area), fragments(without_implicit(area))
     say = lambda ok, reason, evidence: F.struct(F.lit(ok).alias("ok"), F.lit(reason).alias("reason"), evidence.alias("evidence"))
-    named = trimmed(matched(core))
-    implied = implied_country(area, source)
-    return (
-        F.when(source == "", say(False, "missing_source_text", F.lit("")))
-        .when((named != "") & F.contains(source, named), say(True, "explicit_area_evidence", core))
-        .when((F.size(parts) >= 2) & F.forall(parts, lambda p: F.contains(source, matched(p))), say(True, "explicit_area_fragment_evidence", F.array_join(parts, "; ")))
-        .when(F.contains(matched(area), F.lit("implicit")) & implied.isNotNull(), say(True, "implicit_country_region_evidence", F.coalesce(implied, F.lit(""))))
-        .otherwise(say(False, "area_not_supported_by_title_or_abstract", core))
-    )
+
+    def judged(x: Column) -> Column:
+        source, core, parts, named, implied = (x[n] for n in ("source", "core", "parts", "named", "implied"))
+        return (
+            F.when(source == "", say(False, "missing_source_text", F.lit("")))
+            .when((named != "") & F.contains(source, named), say(True, "explicit_area_evidence", core))
+            .when((F.size(parts) >= 2) & F.forall(parts, lambda p: F.contains(source, matched(p))), say(True, "explicit_area_fragment_evidence", F.array_join(parts, "; ")))
+            .when(F.contains(matched(area), F.lit("implicit")) & implied.isNotNull(), say(True, "implicit_country_region_evidence", F.coalesce(implied, F.lit(""))))
+            .otherwise(say(False, "area_not_supported_by_title_or_abstract", core))
+        )
+
+    def found(x: Column) -> Column:
+        source, core = x["source"], x["core"]
+        return bind(F.struct(source.alias("source"), core.alias("core"), fragments(core).alias("parts"), trimmed(matched(core)).alias("named"), implied_country(area, source).alias("implied")), judged)
+
+    whole = matched(strip(F.concat_ws(" ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(abstract), F.lit("")))))
+    return bind(F.struct(whole.alias("source"), without_implicit(area).alias("core")), found)
 
 
 def spatial(c: Column | str, title: Column | str, abstract: Column | str) -> Column:
@@ -209,22 +220,32 @@ def spatial(c: Column | str, title: Column | str, abstract: Column | str) -> Col
     start = F.locate("{", text)
     schema = "Reasoning string, Is_Spatial_Research string, Spatial_Scale_Level string, Specific_Study_Area string, Confidence string"
     data = F.from_json(F.when(start > 0, F.substring(text, start, F.length(text))), schema)
-    area, level = clean_area(data["Specific_Study_Area"]), scale(data["Spatial_Scale_Level"])
-    proof = support(area, title, abstract)
 
-    def say(status, reason, evidence, accepted=False):
-        return F.struct(
-            F.lit("1" if accepted else "0").alias("is_spatial"), (level if accepted else F.lit(NOT_MENTIONED)).alias("level"), (area if accepted else F.lit(NOT_MENTIONED)).alias("area"), F.coalesce(data["Reasoning"], F.lit("")).alias("reasoning"),
-            F.coalesce(data["Confidence"], F.lit("Low")).alias("confidence"), F.lit(status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), evidence.alias("evidence"),
-        )
-
-    broken = data.isNull() | F.coalesce(data["Is_Spatial_Research"], data["Spatial_Scale_Level"], data["Specific_Study_Area"], data["Reasoning"], data["Confidence"]).isNull()
-    return (
-        F.when(broken, say("not_spatial", "default_non_spatial", F.lit("")))
-        .when(~is_spatial(data["Is_Spatial_Research"]), say("not_spatial", "model_non_spatial", F.lit("")))
-        .when(is_placeholder(area), say("rejected", "placeholder_or_generic_area", area))
-        .when(level.isNull(), say("rejected", "missing_or_invalid_scale", area))
-        .when(scale_mismatch(area, level), say("rejected", "scale_area_mismatch", area))
-        .when(~proof["ok"], say("rejected", proof["reason"], F.when(proof["evidence"] != "", proof["evidence"]).otherwise(area)))
-        .otherwise(say("accepted", proof["reason"], proof["evidence"], True))
-    )
+    def judged(x: Column) -> Column:
+        data, area, level, proof = (x[n] for n in ("data", "area", "level", "proof"))
+
+        def say(status, reason, evidence, accepted=False):
+            return F.struct(
+                F.lit("1" if accepted else "0").alias("is_spatial"), (level if accepted else F.lit(NOT_MENTIONED)).alias("level"), (area if accepted else F.lit(NOT_MENTIONED)).alias("area"), F.coalesce(data["Reasoning"], F.lit("")).alias("reasoning"),
+                F.coalesce(data["Confidence"], F.lit("Low")).alias("confidence"), F.lit(status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), evidence.alias("evidence"),
+            )
+
+        broken = data.isNull() | F.coalesce(data["Is_Spatial_Research"], data["Spatial_Scale_Level"], data["Specific_Study_Area"], data["Reasoning"], data["Confidence"]).isNull()
+        return (
+            F.when(broken, say("not_spatial", "default_non_spatial", F.lit("")))
+            .when(~is_spatial(data["Is_Spatial_Research"]), say("not_spatial", "model_non_spatial", F.lit("")))
+            .when(is_placeholder(area), say("rejected", "placeholder_or_generic_area", area))
+            .when(level.isNull(), say("rejected", "missing_or_invalid_scale", area))
+            .when(scale_mismatch(area, level), say("rejected", "scale_area_mismatch", area))
+            .when(~proof["ok"], say("rejected", proof["reason"], F.when(proof["evidence"] != "", proof["evidence"]).otherwise(area)))
+            .otherwise(say("accepted", proof["reason"], proof["evidence"], True))
+        )
+
+    # each value is computed once for a row, and the plan has it once
+    def proved(x: Column) -> Column:
+        return bind(F.struct(x["data"].alias("data"), x["area"].alias("area"), x["level"].alias("level"), support(x["area"], title, abstract).alias("proof")), judged)
+
+    def cleaned(d: Column) -> Column:
+        return bind(F.struct(d.alias("data"), clean_area(d["Specific_Study_Area"]).alias("area"), scale(d["Spatial_Scale_Level"]).alias("level")), proved)
+
+    return bind(data, cleaned)
