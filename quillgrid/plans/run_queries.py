@@ -323,6 +323,19 @@ def h21(spark, sf):
     return H.anchor_guard(H.apply_gate(df)).select("doc_id", F.col("guard.action").alias("action"), F.col("guard.reason").alias("reason"))
 
 
+_DOUBTED = f"""{_GUARDED}, ga AS (SELECT *, CASE WHEN NOT applies THEN '' WHEN greenfield THEN 'blocked_nonurban_risk' WHEN cand IS NOT NULL AND marks <> '' THEN 'promote' ELSE 'review' END AS ga FROM gx),
+da AS (SELECT ga.*, topic LIKE 'N%' AND margin < 2 AND fn IN (1, 6) AND src = 'rule_model_fusion' AND ga IN ('', 'blocked_nonurban_risk') AS doubts, coalesce(within LIKE 'U%' AND within <> 'Unknown' AND isc >= 3.4 AND im >= 1, false) AS by_inner, b LIKE 'U%' AND b <> 'Unknown' AND lc >= 0.62 AND lm >= 1.2 AS by_local, round(gp, 6) >= 0.52 AND bucket IN ({', '.join(f"'{x}'" for x in P.PROMOTE_BUCKETS)}) AS by_family FROM ga JOIN (SELECT doc_id, fn FROM k) USING (doc_id)),
+db AS (SELECT *, by_family AND NOT by_inner AND NOT by_local AND coalesce(wok, false) AS falls FROM da),
+dc AS (SELECT *, CASE WHEN by_inner THEN within WHEN by_local THEN b WHEN falls THEN wl END AS promoted, concat_ws('; ', CASE WHEN by_inner THEN printf('within_family:%s@%.2f/%.2f', within, isc, im) END, CASE WHEN by_local THEN printf('local_urban:%s@%.2f/%.2f', b, lc, lm) END, CASE WHEN by_family THEN printf('family_prob_bucket:%.2f:%s', round(gp, 6), bucket) END, CASE WHEN falls THEN printf('fallback_within:%s@%.2f/%.2f', wl, ws, wm) END) AS why,
+  CASE WHEN greenfield THEN 'risk_tag={P.GREENFIELD_RISK}' WHEN contains(title, 'farmland') THEN 'text=farmland' WHEN NOT contains(title, 'renewal') THEN 'missing_renewal_anchor' ELSE '' END AS stop, CASE WHEN contains(title, 'urban renewal') THEN 'core_anchor:urban renewal' WHEN contains(title, 'renewal') THEN 'broad_anchor:renewal' END AS meaning FROM db)"""
+
+
+@query("h24_uncertain_guard", f"{_DOUBTED} SELECT doc_id, CASE WHEN NOT doubts THEN '' WHEN promoted IS NOT NULL AND stop <> '' THEN 'blocked_nonurban_risk' WHEN promoted IS NOT NULL THEN 'promote' WHEN a IN {P.HIGH_RISK_RULES} OR (a = 'N8' AND meaning IS NOT NULL) THEN 'review' ELSE 'keep_0' END AS action, CASE WHEN NOT doubts THEN '' WHEN promoted IS NOT NULL AND stop <> '' THEN stop WHEN promoted IS NOT NULL THEN why WHEN a IN {P.HIGH_RISK_RULES} OR (a = 'N8' AND meaning IS NOT NULL) THEN concat_ws('; ', 'high_risk_rule:' || a, meaning) ELSE 'rule=' || a || ' not in high_risk_bucket' END AS reason FROM dc")
+def h24(spark, sf):
+    df = G.gate(G.features(H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))))
+    return H.uncertain_guard(H.anchor_guard(H.apply_gate(df))).select("doc_id", F.col("doubt.action").alias("action"), F.col("doubt.reason").alias("reason"))
+
+
 # --- tasks ---
 
 _LABEL = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '1' WHEN 6 THEN '0' WHEN 7 THEN '0' WHEN 8 THEN '1' ELSE '0' END"
