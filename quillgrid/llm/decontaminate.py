@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quillgrid.llm import arrays, storage
 
 WINDOW, ANCHOR = 13, 4
-#: Nodes of one automaton at most (about 50 bytes each in every worker); anchors beyond are scanned for in further passes.
-NODES = 8_000_000
+#: Nodes of one automaton at most (about 50 bytes each in every worker), and windows that it stands for; what is beyond is scanned for in further passes.
+NODES, WINDOWS = 8_000_000, 2_000_000
 
 _tables: dict[str, tuple] = {}
 _FACTORS = arrays.mix(np.arange(1, 2 * 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 64) | np.uint64(1)
@@ -205,20 +205,31 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     original text). A null or empty text has no words; items without words have
     no windows; rows and items may repeat; either table may be empty. Documents
     aren't shuffled. The windows' entries are broadcast; anchors of more than
-    ``NODES`` characters are dealt out, by their hash, to as many passes over
+    ``NODES`` characters, or ``WINDOWS`` windows, are dealt out, by their hash, to as many passes over
     the documents as it takes, so no automaton is larger, whatever one item is.
+    An anchor that stands for more than its share of a pass's windows - a stem
+    that many questions begin with - is dealt out window by window.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].alias("text")).where("text is not null")
     entries = storage.materialise(items.mapInArrow(_entries(size), ENTRIES).distinct(), "entries")
-    nodes = entries.select("anchor").distinct().agg(F.coalesce(F.sum(F.length("anchor") + 2), F.lit(0))).first()[0]
-    passes = max(1, -(-nodes // NODES))
+    stands = entries.groupBy("anchor").agg(F.count("*").alias("_n"))
+    nodes, windows_ = stands.agg(F.coalesce(F.sum(F.length("anchor") + 2), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    passes = max(1, -(-nodes // NODES), -(-2 * windows_ // WINDOWS) if windows_ > WINDOWS else 1)
+    if passes > 1:
+        share = max(1, WINDOWS // 16)
+        # anchors of more than a sixteenth of a pass's windows: at most 16 a pass
+        hot = stands.where(F.col("_n") > share).select("anchor", F.ceil(F.col("_n") / share).alias("_slices"))
+        slice_ = F.coalesce(F.pmod(F.col("one"), F.col("_slices")), F.lit(0))
+        entries = entries.join(F.broadcast(hot), "anchor", "left").withColumn("_pass", F.pmod(F.xxhash64("anchor", slice_), F.lit(passes))).drop("_slices")
+        entries = storage.materialise(entries, "dealt-entries")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def table(k: int):
-        return spark.sparkContext.broadcast((uuid.uuid4().hex, entries.where(F.pmod(F.xxhash64("anchor"), F.lit(passes)) == k).toArrow()))
+        own = entries.where(F.col("_pass") == k).drop("_pass") if passes > 1 else entries
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, own.toArrow()))
 
     if passes == 1:
         out = src.mapInArrow(_scan(table(0)), schema)

@@ -625,6 +625,18 @@ def test_fits_take_one_row_an_id(spark):
     assert quality_rules.apply(none, quality_rules.fit(none, labels)).count() == 0 and rule_ensemble.classify(none, rule_ensemble.fit(none, labels)).count() == 0
 
 
+def test_a_stem_of_many_questions_is_dealt_out(spark, monkeypatch):
+    """One anchor stands for most windows; with small passes its windows go to several, and the result stays."""
+    stem = "which of the following is the best answer to question number"
+    bench = spark.createDataFrame([(i, f"{stem} n{i} x{i} y{i} z{i} v{i}") for i in range(300)], "item_id long, text string")
+    texts = [f"a b {stem} n{i} x{i} y{i} z{i} v{i} c d" if i % 3 else f"{stem} m{i} x{i}" for i in range(40)]
+    docs = frame(spark, texts)
+    want = sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "WINDOWS", 200)
+    rows = decontaminate.decontaminate(docs, bench).collect()
+    assert sorted(map(tuple, rows)) == want and sum(r.contaminated for r in rows) == 26
+
+
 def test_postings_decide_where_rules_are_tried(spark):
     """The lists are those of the texts' trigrams; a rule is tried on no row that its lists don't name."""
     df = frame(spark, SECRETS).select(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
