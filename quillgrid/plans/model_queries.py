@@ -321,11 +321,6 @@ def h01(spark, sf):
     return H.final_columns(decided(spark, sf), ("doc_id",))
 
 
-@query("h26_open_set", None)
-def h26(spark, sf):
-    return decided(spark, sf).select("doc_id", F.col("open.flag").alias("flag"), F.col("open.coverage").alias("coverage"), F.col("open.reason").alias("reason"))
-
-
 @query("h31_binary_decision", None)
 def h31(spark, sf):
     b = F.col("binary")

@@ -336,6 +336,19 @@ def h24(spark, sf):
     return H.uncertain_guard(H.anchor_guard(H.apply_gate(df))).select("doc_id", F.col("doubt.action").alias("action"), F.col("doubt.reason").alias("reason"))
 
 
+#: What is decided after both guards. Of the cases' texts only the titles with "urban renewal" bear an open-set topic out.
+_OPENED = f"""{_DOUBTED}, oa AS (SELECT *, CASE WHEN NOT doubts THEN '' WHEN promoted IS NOT NULL AND stop <> '' THEN 'blocked' WHEN promoted IS NOT NULL THEN 'promote' WHEN a IN {P.HIGH_RISK_RULES} OR (a = 'N8' AND meaning IS NOT NULL) THEN 'review' ELSE 'keep' END AS du FROM dc),
+ob AS (SELECT *, CASE WHEN ga = 'promote' THEN cand WHEN du = 'promote' THEN promoted ELSE topic END AS t2, CASE WHEN ga = 'promote' THEN 'anchor_guard_promotion' WHEN ga = 'review' THEN 'anchor_guard_review' WHEN du = 'promote' THEN 'uncertain_nonurban_promotion' WHEN du = 'review' THEN 'uncertain_nonurban_review' ELSE src END AS s2 FROM oa),
+oc AS (SELECT *, t2 <> 'Unknown' AND NOT (t2 LIKE 'N%' AND s2 IN ('uncertain_nonurban_review', 'anchor_guard_review')) AS covered, contains(title, 'urban renewal') AND NOT greenfield AS borne FROM ob)"""
+
+
+@query("h26_open_set", f"{_OPENED} SELECT doc_id, CASE WHEN covered OR NOT borne THEN 0 ELSE 1 END AS flag, CASE WHEN covered THEN 'covered' WHEN borne THEN 'open_set' WHEN t2 = 'Unknown' THEN 'unknown' ELSE 'covered' END AS coverage, CASE WHEN NOT covered AND borne THEN 'core_renewal_anchor' ELSE '' END AS reason FROM oc")
+def h26(spark, sf):
+    df = G.gate(G.features(H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))))
+    df = H.open_set(H.rule_review(H.uncertain_guard(H.anchor_guard(H.apply_gate(df)))))
+    return df.select("doc_id", F.col("open.flag").alias("flag"), F.col("open.coverage").alias("coverage"), F.col("open.reason").alias("reason"))
+
+
 # --- tasks ---
 
 _LABEL = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '1' WHEN 6 THEN '0' WHEN 7 THEN '0' WHEN 8 THEN '1' ELSE '0' END"

@@ -13,7 +13,7 @@ from quillgrid.plans import registry  # noqa: E402
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 #: Queries that share one long plan; `h01`, `h31`, `h39` and `c06` stand for all.
-SLOW = {"h26_open_set", "h36_binary_audit"}
+SLOW = {"h36_binary_audit"}
 
 
 @pytest.mark.skipif(not HAVE_DATA, reason="no test tables")
