@@ -321,17 +321,6 @@ def h01(spark, sf):
     return H.final_columns(decided(spark, sf), ("doc_id",))
 
 
-@query("h31_binary_decision", None)
-def h31(spark, sf):
-    b = F.col("binary")
-    return decided(spark, sf).select("doc_id", b["score"].alias("score"), b["label"].alias("label"), b["recall"]["tier"].alias("tier"))
-
-
-@query("h36_binary_audit", None)
-def h36(spark, sf):
-    return decided(spark, sf).select("doc_id", F.col("audit.action").alias("action"), F.col("review.flag").alias("flag"), F.col("review.reason").alias("reason"))
-
-
 @query("h39_explanations", None)
 def h39(spark, sf):
     e = F.col("explanation")

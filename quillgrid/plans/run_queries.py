@@ -349,6 +349,43 @@ def h26(spark, sf):
     return df.select("doc_id", F.col("open.flag").alias("flag"), F.col("open.coverage").alias("coverage"), F.col("open.reason").alias("reason"))
 
 
+def _said(terms) -> str:
+    return _any(terms).replace("contains(v,", "contains(txt,")
+
+
+_VOTE = lambda c: f"CASE WHEN {c} = 'Urban_Renewal_Other' THEN 1.0 WHEN {c} LIKE 'U%' AND {c} <> 'Unknown' THEN 1.0 WHEN {c} LIKE 'N%' THEN 0.0 ELSE 0.5 END"
+_INSIDE_OF = lambda c: f"({c} LIKE 'U%' AND {c} <> 'Unknown')"
+_PROMOTED = ", ".join(f"'{x}'" for x in H.PROMOTIONS)
+_SCORED = f"""{_OPENED}, od AS (SELECT oc.*, title || ' ' || abstract AS txt, h, off.n AS curated, fu.topic AS fused, CASE WHEN NOT covered AND borne THEN 'Urban_Renewal_Other' ELSE t2 END AS t3, CASE WHEN NOT covered AND borne THEN 'open_set_recovery' ELSE s2 END AS s3 FROM oc JOIN (SELECT doc_id, h FROM hin) USING (doc_id) JOIN (SELECT doc_id, n FROM off) AS off USING (doc_id) JOIN (SELECT doc_id, topic FROM fu) AS fu USING (doc_id)),
+oe AS (SELECT *, {_said(P.NEGATIONS)} AS neg, {_said(P.CORE_ANCHORS)} AND NOT {_said(P.NEGATIONS)} AS core, {_said(P.COMMON_ANCHORS)} AND NOT {_said(P.NEGATIONS)} AS broad, {_said(P.EXISTING_OBJECTS)} AS obj, {_said(P.MECHANISMS)} AS mech, {_said(P.CONTEXT)} AS ctx, {_INSIDE_OF('a')} OR {_INSIDE_OF('b')} OR {_INSIDE_OF('within')} OR {_INSIDE_OF('t3')} AS topical FROM od),
+og AS (SELECT *, round(least(greatest(0.40 * round(gp, 6) + 0.25 * p + 0.20 * round(({_VOTE('a')} + {_VOTE('b')} + {_VOTE('within')} + 0.5 + {_VOTE('t3')}) / 5, 6) + 0.10 * CASE WHEN core THEN 0.75 WHEN broad OR obj OR mech THEN 0.65 WHEN technical AND t3 = 'N8' THEN 0.45 ELSE 0.5 END + 0.05 * CASE llm WHEN '1' THEN 1.0 WHEN '0' THEN 0.0 ELSE 0.5 END
+  + CASE WHEN technical THEN -0.06 ELSE 0 END + CASE WHEN greenfield THEN -0.12 ELSE 0 END + CASE WHEN s3 IN ({_PROMOTED}) THEN 0.16 WHEN s3 = 'unknown_hint_resolution' AND fused = 'Unknown' AND curated IS NULL AND h = 1 THEN -0.10 ELSE 0 END, 0.02), 0.98), 6) AS raw FROM oe),
+oh AS (SELECT *, (technical AND t3 = 'N8' AND NOT (core OR broad OR obj)) OR (greenfield AND NOT (core OR broad)) AS blocked, CASE WHEN s3 IN ({_PROMOTED}) THEN 6 WHEN core THEN 5 WHEN {_INSIDE_OF('t3')} THEN 4 WHEN broad AND (ctx OR topical OR obj) THEN 3 WHEN topical AND (obj OR mech OR ctx) THEN 2 WHEN raw >= 0.067 AND (ctx OR topical OR obj OR mech) AND NOT neg THEN 1 END AS rank_ FROM og),
+oi AS (SELECT *, CASE rank_ WHEN 6 THEN 0.62 WHEN 5 THEN 0.58 WHEN 4 THEN 0.56 WHEN 3 THEN 0.52 WHEN 2 THEN 0.50 WHEN 1 THEN 0.46 END AS floor FROM oh),
+oj AS (SELECT *, CASE WHEN blocked OR rank_ IS NULL OR floor <= raw THEN raw ELSE floor END AS bscore, CASE WHEN blocked THEN 'blocked' WHEN rank_ IS NULL OR floor <= raw THEN 'none' ELSE ['context_relevance_floor', 'urban_evidence_context_floor', 'broad_anchor_context_floor', 'final_topic_urban_floor', 'core_anchor_floor', 'guard_promotion_floor'][rank_] END AS tier FROM oi),
+ok AS (SELECT *, CASE WHEN bscore >= 0.45 THEN '1' ELSE '0' END AS blabel, CASE WHEN t3 = 'Unknown' THEN 'unknown' WHEN t3 LIKE 'U%' THEN 'urban' ELSE 'nonurban' END AS tfam FROM oj)"""
+
+
+def _chain(spark, sf):
+    df = G.gate(G.features(H.resolve_unknown(H.fuse(H.signals(MQ.cases(spark, sf))))))
+    return H.binary_decision(H.open_set(H.rule_review(H.uncertain_guard(H.anchor_guard(H.apply_gate(df))))))
+
+
+@query("h31_binary_decision", f"{_SCORED} SELECT doc_id, CAST(bscore AS DOUBLE) AS score, blabel AS label, tier FROM ok")
+def h31(spark, sf):
+    b = F.col("binary")
+    return _chain(spark, sf).select("doc_id", b["score"].alias("score"), b["label"].alias("label"), b["recall"]["tier"].alias("tier"))
+
+
+_AUDIT = """CASE WHEN blabel = '1' AND tfam <> 'urban' THEN 'positive_binary_conflict_audit' WHEN blabel = '0' AND tfam <> 'nonurban' THEN 'negative_binary_conflict_audit' ELSE 'covered' END"""
+_WHY = """concat_ws(';', CASE WHEN abs(bscore - 0.45) <= 0.005 THEN 'binary_near_threshold' END, CASE WHEN tfam = 'unknown' OR (blabel = '1' AND tfam <> 'urban') OR (blabel = '0' AND tfam = 'urban') THEN 'binary_topic_inconsistency' END, CASE WHEN tier = 'blocked' AND blabel = '1' THEN 'risk_blocked_positive' END, CASE WHEN ga = 'review' AND marks = '' THEN 'anchor_guard_core_anchor_without_support' WHEN ga = 'review' THEN 'anchor_guard_support_without_urban_candidate' END, CASE WHEN du = 'review' THEN 'uncertain_nonurban_review' END)"""
+
+
+@query("h36_binary_audit", f"{_SCORED} SELECT doc_id, {_AUDIT} AS action, CASE WHEN {_WHY} = '' THEN 0 ELSE 1 END AS flag, {_WHY} AS reason FROM ok")
+def h36(spark, sf):
+    return H.audit(_chain(spark, sf)).select("doc_id", F.col("audit.action").alias("action"), F.col("review.flag").alias("flag"), F.col("review.reason").alias("reason"))
+
+
 # --- tasks ---
 
 _LABEL = "CASE answer_kind WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '1' WHEN 6 THEN '0' WHEN 7 THEN '0' WHEN 8 THEN '1' ELSE '0' END"

@@ -12,8 +12,6 @@ from oracle import DATA, HAVE_DATA, compare  # noqa: E402
 from quillgrid.plans import registry  # noqa: E402
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
-#: Queries that share one long plan; `h01`, `h31`, `h39` and `c06` stand for all.
-SLOW = {"h36_binary_audit"}
 
 
 @pytest.mark.skipif(not HAVE_DATA, reason="no test tables")
@@ -23,7 +21,7 @@ def test_oracle(spark, name):
 
 
 @pytest.mark.skipif(not HAVE_DATA, reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
