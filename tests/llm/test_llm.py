@@ -637,6 +637,22 @@ def test_a_stem_of_many_questions_is_dealt_out(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == want and sum(r.contaminated for r in rows) == 26
 
 
+def test_very_long_texts(spark):
+    """Texts of 400,000 characters, one of them a near copy, through the operators that take whole texts."""
+    long = " ".join(f"w{i % 9973} x{i}" for i in range(30_000)) + " under the MIT license "
+    texts = [long, long + "the end", "short text of a few words here", None]
+    docs, path = frame(spark, texts), bpe.library_path()
+    library = bpe.tokenizer(path)
+    tokens = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, path).collect()} == dict(enumerate(tokens))
+    packed = packing.pack(docs, path, capacity=2048, end_id=0).collect()
+    assert {i: sum(r.length for r in packed if r.doc_id == i) for i in range(4)} == {i: n + 1 for i, n in enumerate(tokens)}
+    classes = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert classes[0] == classes[1] and classes[2] != classes[0]
+    found = {r.doc_id: r for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert found[0].n_words == len(words(long)) and "mit" in found[0].labels.split(",") and found[2].n_base == 0
+
+
 def test_postings_decide_where_rules_are_tried(spark):
     """The lists are those of the texts' trigrams; a rule is tried on no row that its lists don't name."""
     df = frame(spark, SECRETS).select(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
