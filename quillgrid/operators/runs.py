@@ -103,10 +103,15 @@ def batch(df: DataFrame, wanted: Mapping[str, str], title: str = "title") -> Dat
 
 
 def postprocess(df: DataFrame, key: str, doc: str, taxonomy: Taxonomy, *, discover: bool = False, refined: bool = False, settings: Mapping[str, object] | None = None) -> DataFrame:
-    """Cluster what the chain left open (``discover``), and let firm clusters correct labels (``refined``); a failure isn't swallowed."""
+    """Cluster what the chain left open, the rows with a ``source_pool`` (``discover``), and let firm clusters correct labels (``refined``); a failure isn't swallowed.
+
+    Reads final_label, and for ``refined`` the columns of ``refine.refine`` that
+    don't come from the clusters.
+    """
     if not discover and not refined:
         return df
     out = topics.enrich(df, key, doc, taxonomy)
+    out = topics.candidates(out, label="final_label", candidate="fixed_candidate", status="mapping_status", keywords="cluster_keywords", confidence_="cluster_confidence")
     return refine.refine(out, refine.Config.from_context(settings)) if refined else out
 
 

@@ -447,12 +447,13 @@ def c11(spark, sf):
     return U.replay(answers(spark, sf).select("doc_id"), answers(spark, sf).select("doc_id", runs.single().alias("answer")), "doc_id").select("doc_id", F.col("answer").alias("label"))
 
 
-@query("c09_postprocess", f"WITH e AS ({_E}) SELECT doc_id, false AS changed FROM e")
+@query("c09_postprocess", None)
 def c09(spark, sf):
-    """Nothing asked for: the frame as it is. ``m16_enrich_clusters`` and ``m17_refine_labels`` run its two steps."""
-    e = D.spark_frame(spark, sf, D.EVAL)
-    out = runs.postprocess(e, "doc_id", "lang", MQ.WORDS)
-    return out.select("doc_id", F.lit(out.columns != e.columns).alias("changed"))
+    """What is open among all documents is clustered, and firm clusters correct its labels."""
+    open_ = F.col("doc_id") % 2 == 0
+    d = MQ.docs(spark, sf).withColumns({"source_pool": F.when(open_, "unknown_pool").otherwise(""), "final_label": F.when(open_, "").otherwise("1"), "topic_final": F.when(open_, "Unknown").otherwise("U1"), "coverage": F.when(open_, "unknown").otherwise("covered"), "guard_action": F.lit(""), "review_flag": open_.cast("string"), "score": F.lit("0.4"), "threshold": F.lit("0.45")})
+    out = runs.postprocess(d, "doc_id", "text", MQ.WORDS, discover=True, refined=True, settings={"least_size": "2", "least_confidence": "0.3"})
+    return out.select("doc_id", "cluster", "mapping_status", "candidate_label", "override_applied", "final_label", "topic_final")
 
 
 # --- labels, metadata, reports ---

@@ -281,3 +281,16 @@ def test_paths(tmp_path):
     paths.remove(uri)
     paths.remove(uri)
     assert paths.names(f"file://{tmp_path}/a") == []
+
+
+def test_postprocessing_corrects_open_labels(spark):
+    """A firm cluster of open rows that speak of renewal gives them a label; settled rows and a small cluster stay as they are."""
+    from quillgrid.operators import runs
+
+    rows = [(i, "urban renewal of estate housing", "estate housing renewal residents upgrading", "unknown_pool", "", "Unknown", "unknown") for i in range(25)]
+    rows += [(100, "zebra zebra zebra", "", "unknown_pool", "", "Unknown", "unknown"), (101, "urban renewal of estate housing", "", "", "0", "N3", "covered")]
+    df = spark.createDataFrame(rows, "id long, title string, abstract string, source_pool string, final_label string, topic_final string, coverage string").withColumns({"guard_action": F.lit(""), "review_flag": F.lit("1"), "score": F.lit("0.4"), "threshold": F.lit("0.45"), "doc": F.concat_ws(" ", "title", "abstract")})
+    assert runs.postprocess(df, "id", "doc", L.SAMPLE) is df
+    got = {r.id: r for r in runs.postprocess(df, "id", "doc", L.SAMPLE, discover=True, refined=True).collect()}
+    assert len(got) == len(rows) and all((got[i].final_label, got[i].topic_final, got[i].override_applied) == ("1", "U1", 1) for i in range(25))
+    assert (got[100].final_label, got[100].override_applied, got[101].final_label, got[101].cluster) == ("", 0, "0", None)
