@@ -243,7 +243,7 @@ def near(a, b):
     if a == b or len(b) - len(a) > 1:
         return False
     k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k:]
+    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
 def brute_variants(rows, typos=97, least=3):
