@@ -11,19 +11,23 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.functions import text
 from quillgrid.operators.topics import STOP
 from quillgrid.sources import tables as S
 
 OUTLIER = -1
+_WORD = re.compile("[a-z0-9_]{2,}")
 #: Whole numbers stand for components of unit vectors; sums of their products stay below 2**53, and so do a task's sums of 2**28 rows.
 SCALE = 1 << 25
 
@@ -157,21 +161,45 @@ def fit(docs: DataFrame, key: str, vector: str, doc: str, zero: DataFrame | None
     return none if near is None else near.select(key, "topic", F.lit("zero_shot").alias("kind"), "similarity").unionByName(none)
 
 
-def n_grams(doc: Column | str, most: int = 3, stop: tuple[str, ...] = STOP) -> Column:
-    """Runs of one to ``most`` words of two characters or more, once stop words are out, joined by spaces."""
-    w = F.filter(F.regexp_extract_all(text.phrase(doc), F.lit(r"[a-z0-9_]{2,}"), 0), lambda x: ~x.isin(*stop))
+#: Distinct terms that a task counts before it hands them on.
+_HELD = 1 << 18
 
-    def runs(x: Column) -> Column:
-        out = [x]
-        for k in range(2, most + 1):
-            n = F.greatest(F.size(x) - (k - 1), F.lit(0))
-            longer = F.slice(x, 1, n)
-            for j in range(1, k):
-                longer = F.zip_with(longer, F.slice(x, j + 1, n), lambda a, b: F.concat(a, F.lit(" "), b))
-            out.append(longer)
-        return F.concat(*out)
 
-    return text.bind(w, runs)
+def n_grams(words: list[str], most: int = 3) -> list[str]:
+    """Runs of one to ``most`` of a text's words, joined by spaces."""
+    out = list(words)
+    for k in range(2, most + 1):
+        out.extend(map(" ".join, zip(*(words[i:] for i in range(k)))))
+    return out
+
+
+def _gram_counts(schema: pa.Schema, most: int, stop: frozenset[str]):
+    """(topic, term, tf, df) of a task's (topic, phrase) rows, combined over as many rows as ``_HELD`` distinct terms have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        n = 0
+
+        def out():
+            rows = [(topic, term, k, df[term]) for topic, (tf, df) in held.items() for term, k in tf.items()]
+            held.clear()
+            columns = list(zip(*rows)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+        for b in batches:
+            for topic, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tf, df = held.setdefault(topic, (Counter(), Counter()))
+                found = Counter(n_grams([w for w in _WORD.findall(phrase) if w not in stop], most))
+                n -= len(tf)
+                tf.update(found)
+                df.update(found.keys())
+                n += len(tf)
+                if n >= _HELD:
+                    yield out()
+                    n = 0
+        yield out()
+
+    return run
 
 
 def class_terms(docs: DataFrame, topic: str, doc: str, cfg: Config = Config()) -> DataFrame:
@@ -179,16 +207,20 @@ def class_terms(docs: DataFrame, topic: str, doc: str, cfg: Config = Config()) -
 
     A term's score in a topic is its share of the topic's terms, times
     ln(1 + terms of an average topic / occurrences in all). Terms of fewer than
-    ``min_df`` documents, or of more than a share of ``max_df``, are left out; counts
-    are combined by document, then by topic, before they are shuffled.
+    ``min_df`` documents, or of more than a share of ``max_df``, are left out. Each task
+    counts its documents' terms and combines them; they are dealt once, by term,
+    which both a topic's and the overall counts are taken from, and only the
+    terms that stay are written.
     """
-    each = docs.select(topic, F.monotonically_increasing_id().alias("_doc"), n_grams(doc, cfg.n_gram).alias("_g"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     n = docs.count()
-    # within a document: each distinct term once, with its number
-    one = each.select(topic, "_doc", F.explode("_g").alias("term")).groupBy(topic, "_doc", "term").agg(F.count("*").alias("tf"))
-    counts = S.kept(one.groupBy(topic, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), "term-counts")
-    overall = counts.groupBy("term").agg(F.sum("tf").alias("all_tf"), F.sum("df").alias("all_df")).where((F.col("all_df") >= cfg.min_df) & (F.col("all_df") <= cfg.max_df * n))
-    kept = S.kept(counts.join(overall, "term"), "terms")
+    schema = T.StructType([T.StructField(topic, docs.schema[topic].dataType), *T._parse_datatype_string("term string, tf long, df long").fields])
+    parts = docs.select(topic, text.phrase(doc)).mapInArrow(_gram_counts(to_arrow_schema(schema), cfg.n_gram, frozenset(STOP)), schema)
+    counts = parts.repartition("term").groupBy(topic, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    own = Window.partitionBy("term")
+    overall = counts.withColumns({"all_tf": F.sum("tf").over(own), "all_df": F.sum("df").over(own)})
+    kept = S.kept(overall.where((F.col("all_df") >= cfg.min_df) & (F.col("all_df") <= cfg.max_df * n)), "terms")
     size = kept.groupBy(topic).agg(F.sum("tf").alias("size"))
     average = kept.agg(F.sum("tf").alias("s"), F.count_distinct(topic).alias("k")).select((F.col("s") / F.col("k")).alias("average"))
     scored = kept.join(F.broadcast(size), topic).join(F.broadcast(average)).withColumn("score", F.round(F.col("tf") / F.col("size") * F.ln(1 + F.col("average") / F.col("all_tf")), 9))
