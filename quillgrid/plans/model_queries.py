@@ -369,7 +369,7 @@ def m07(spark, sf):
 
 @query("m09_cluster_ids", f"WITH {_TERM}, {_BUCKET} SELECT bucket, count(*) AS size, 'DUR_' || CASE WHEN r < 10000 THEN lpad(CAST(r AS VARCHAR), 4, '0') ELSE CAST(r AS VARCHAR) END AS cluster FROM (SELECT bucket, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS r FROM b GROUP BY 1) JOIN b USING (bucket) GROUP BY bucket, r")
 def m09(spark, sf):
-    return T.name_clusters(T.by_keyword(docs(spark, sf), "doc_id", "text"), "doc_id")
+    return T.name_clusters(T.by_keyword(spread_docs(spark, sf), "doc_id", "text"), "doc_id")
 
 
 @query("m11_cluster_confidence", "SELECT doc_id, round(0.45 * least(1, n_chars / 2000.0) + 0.35 * least(1, (doc_id % 10) / 10.0 / 0.35) + 0.2 * least(1, (doc_id % 12) / 8.0), 6) AS confidence FROM documents")
@@ -380,7 +380,7 @@ def m11(spark, sf):
 
 @query("m10_map_to_fixed", None)
 def m10(spark, sf):
-    k = T.top_terms(docs(spark, sf), "doc_id", "text", unique=True).groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("keywords"))
+    k = T.row_keywords(spread_docs(spark, sf), "doc_id", "text")
     m = F.col("mapping")
     return T.map_to_fixed(k, "keywords", T.seed_tokens(WORDS)).select("doc_id", m["candidate"].alias("candidate"), m["status"].alias("status"), m["score"].alias("score"))
 

@@ -510,9 +510,7 @@ _SEED_ROWS = ", ".join(f"('{k}', '{w}')" for k, v in _SEEDS.items() for w in v)
 
 @query("m20_seed_overlap", f"WITH {MQ._TERM}, s AS (SELECT DISTINCT doc_id, unnest(string_split(term, '_')) AS word FROM u), k AS (SELECT * FROM (VALUES {_SEED_ROWS}) AS v(label, word)) SELECT doc_id, label, count(*) AS overlap FROM s JOIN k USING (word) GROUP BY 1, 2")
 def m20(spark, sf):
-    d = MQ.docs(spark, sf).select("doc_id", T.terms("text").alias("x")).select("doc_id", F.explode("x").alias("x")).select("doc_id", F.explode(F.split(F.col("x.term"), "_")).alias("word")).distinct()
-    seeds = spark.createDataFrame([(k, w) for k, v in T.seed_tokens(MQ.WORDS).items() for w in v], "label string, word string")
-    return d.join(F.broadcast(seeds), "word").groupBy("doc_id", "label").agg(F.count("*").alias("overlap"))
+    return T.seed_words(MQ.spread_docs(spark, sf), "doc_id", "text", T.seed_tokens(MQ.WORDS)).distinct().groupBy("doc_id", "label").agg(F.count("*").alias("overlap"))
 
 
 @query("m04_gate_training", "SELECT doc_id, quality AS label FROM labels WHERE quality IN (0, 1)")

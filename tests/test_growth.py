@@ -40,3 +40,42 @@ def test_class_terms_shuffle_combined_counts(spark):
     assert {r["topic"] for r in got} == {"a", "b"} and len(got) == 20
     # every document has 180 terms, so that counts by document are more than 70,000 rows
     assert rows < 10_000
+
+
+def documents(spark, tmp_path, texts):
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name, most", [("m08_keyword_terms", 0), ("m07_keyword_clusters", 0), ("m10_map_to_fixed", 0), ("m09_cluster_ids", 3000), ("m20_seed_overlap", 1500)])
+def test_terms_of_a_row_are_not_shuffled(spark, tmp_path, name, most):
+    from quillgrid.plans import registry
+
+    sf = documents(spark, tmp_path, [t + " que los that" for t in prose(300, 150)])
+    got, rows = shuffled(spark, lambda: registry.queries()[name](spark, sf).collect())
+    assert got
+    # the terms of 300 documents are some 80,000 rows
+    assert rows <= most
+
+
+def test_terms_of_a_bucket_are_added_up_before_they_are_dealt(spark):
+    from quillgrid.operators import topics as T
+    from quillgrid.plans import model_queries as MQ
+
+    text = prose(1, 100)[0] + " same same same same"
+    df = spark.createDataFrame([(i, text, "unknown_pool") for i in range(400)], "doc_id long, text string, source_pool string").repartition(4)
+    got, rows = shuffled(spark, lambda: T.enrich(df, "doc_id", "text", MQ.WORDS).collect())
+    assert {(r["cluster"], r["cluster_size"]) for r in got} == {("DUR_0001", 400)}
+    assert rows < 6_000
+
+
+def test_terms_as_the_array_form_has_them(spark):
+    from pyspark.sql import functions as F
+
+    from quillgrid.operators import topics as T
+
+    texts = [None, "", "the and", "a_b a_b ab_", "Abc-d the abc_d  abc+d\nxyz xyz q1 abc_abc abc abc", "nan", "word the word word é word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    old = df.select("k", F.explode(T.terms("t")).alias("x")).groupBy("k", "x.term").agg(F.sum("x.n").alias("weight")).collect()
+    new = T.top_terms(df, "k", "t", 1000, unique=True).collect()
+    assert {(r["k"], r["term"], r["weight"]) for r in old} == {(r["k"], r["term"], r["weight"]) for r in new} and len(new) == len(old)
