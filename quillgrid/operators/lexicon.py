@@ -8,11 +8,13 @@ projection without a join.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.functions import cells, text
 from quillgrid.operators import phrases as P
@@ -212,14 +214,71 @@ def score_topics(df: DataFrame, taxonomy: Taxonomy, column: str = "topics") -> D
 KINDS = ("seed", "context", "anchor", "exclude")
 
 
-def table_hits(df: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+#: Words whose terms a task remembers.
+_REMEMBERED = 1 << 17
+
+
+def _in_words(terms: Sequence[str], schema: pa.Schema):
+    """(key, term, in_title, in_abstract) of a task's (key, title, abstract) rows, for terms without a space: those lie within words.
+
+    A word's terms are its substrings of the terms' lengths that are terms. They are worked out when a word first comes up.
+    """
+    place = {t: i for i, t in enumerate(terms)}
+    lengths = sorted({len(t) for t in terms})
+    names = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset[int]] = {}
+
+        def found(words: set[str]) -> set[int]:
+            out: set[int] = set()
+            for w in words:
+                got = known.get(w)
+                if got is None:
+                    got = frozenset(place[x] for n in lengths if n <= len(w) for x in {w[i : i + n] for i in range(len(w) - n + 1)} if x in place)
+                    if len(known) >= _REMEMBERED:
+                        known.clear()
+                    known[w] = got
+                out |= got
+            return out
+
+        for b in batches:
+            row, term, in_title, in_abstract = [], [], [], []
+            for k, (title, abstract) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                t, a = found(set(title.split(" "))), found(set(abstract.split(" ")))
+                both = sorted(t | a)
+                row += [k] * len(both)
+                term += both
+                in_title += [x in t for x in both]
+                in_abstract += [x in a for x in both]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), names.take(pa.array(term, pa.int32())), pa.array(in_title, pa.bool_()), pa.array(in_abstract, pa.bool_())], schema=schema)
+
+    return run
+
+
+def table_hits(df: DataFrame, key: str, lexicon: DataFrame, most: int = 1 << 17) -> DataFrame:
     """(key, term, in_title, in_abstract) of a lexicon table's terms in each text. Needs ``fields``.
 
     A term may also lie across the border of title and abstract, and then is in neither.
+    Terms without a space are looked for within the row, word by word, if they have been counted and
+    are ``most`` at most, so that texts aren't shuffled; all others by a join of q-grams.
     """
-    found = qgrams.join_terms(df, key, "_both", lexicon, also=("_t", "_a"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    terms = lexicon.select("term").where(F.length("term") > 0).distinct()
+    spaced = F.contains("term", F.lit(" "))
+    single = [r[0] for r in terms.where(~spaced).limit(most + 1).collect()]
+    inside = None
+    if single and len(single) <= most:
+        schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string("term string, in_title boolean, in_abstract boolean").fields])
+        inside = df.select(key, "_t", "_a").mapInArrow(_in_words(sorted(single), to_arrow_schema(schema)), schema)
+        terms = terms.where(spaced)
+        if terms.isEmpty():
+            return inside
+    found = qgrams.join_terms(df, key, "_both", terms, also=("_t", "_a"))
     one = lambda t: F.struct(t.alias("term"), F.contains("_t", t).alias("in_title"), F.contains("_a", t).alias("in_abstract"))
-    return found.select(key, F.explode(F.transform("terms", one)).alias("_x")).select(key, "_x.*")
+    joined = found.select(key, F.explode(F.transform("terms", one)).alias("_x")).select(key, "_x.*")
+    return joined if inside is None else inside.unionByName(joined)
 
 
 def table_scores(hits_: DataFrame, key: str, lexicon: DataFrame, bonus: float = 1.5, most: int = 1 << 20) -> DataFrame:

@@ -79,3 +79,22 @@ def test_terms_as_the_array_form_has_them(spark):
     old = df.select("k", F.explode(T.terms("t")).alias("x")).groupBy("k", "x.term").agg(F.sum("x.n").alias("weight")).collect()
     new = T.top_terms(df, "k", "t", 1000, unique=True).collect()
     assert {(r["k"], r["term"], r["weight"]) for r in old} == {(r["k"], r["term"], r["weight"]) for r in new} and len(new) == len(old)
+
+
+def test_terms_of_a_lexicon_table_are_found_within_rows(spark):
+    from quillgrid.operators import lexicon as L
+
+    texts = [("Old Harbour", "the harbour-wall is old"), ("", "ab cab"), (None, None), ("ends in ha", "rbour and x")] + [(t[:40], t[40:]) for t in prose(200, 120)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "k int, title string, abstract string").repartition(4)
+    words = ["harbour", "old", "ab", "a", "wall is", "ha rbour", "arbour", "zzz", ""] + [w[1:4] for w in " ".join(prose(1, 150, 2)).split()]
+    lexicon = spark.createDataFrame([(w,) for w in words], "term string")
+    d = L.fields(df)
+    want = {(r["k"], w, w in r["_t"], w in r["_a"]) for r in d.collect() for w in words if w and w in r["_both"]}
+    assert (3, "ha rbour", False, False) in want
+    for most in (1 << 17, 1):
+        got = [tuple(r) for r in L.table_hits(d, "k", lexicon, most=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    single = lexicon.where("not contains(term, ' ')")
+    _, rows = shuffled(spark, lambda: L.table_hits(d, "k", single).collect())
+    # the lexicon alone is shuffled; the texts' q-grams are more than 10,000 rows
+    assert rows < 1_000
