@@ -281,7 +281,7 @@ def table_hits(df: DataFrame, key: str, lexicon: DataFrame, most: int = 1 << 17)
     return joined if inside is None else inside.unionByName(joined)
 
 
-def table_scores(hits_: DataFrame, key: str, lexicon: DataFrame, bonus: float = 1.5, most: int = 1 << 20) -> DataFrame:
+def table_scores(hits_: DataFrame, key: str, lexicon: DataFrame, bonus: float = 1.5, most: int = qgrams.SENT) -> DataFrame:
     """(key, topic, score) of the topics that a text has terms of, by a lexicon table (topic, kind, term).
 
     The same weights as ``score_topics``: context terms count if the topic has no

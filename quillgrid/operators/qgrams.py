@@ -25,8 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text
+from quillgrid.sources import tables as S
 
 Q = 3
+#: Rows of an index that are sent to all tasks: some MB, which the driver holds several times over.
+SENT = 1 << 16
 #: Between terms of one bucket; no normalised text or term has it.
 _SEP = "\x02"
 _EDGE = "\x01"
@@ -67,17 +70,40 @@ class Index:
         return text.bind(c, lambda x: F.filter(self.candidates(x) if candidates is None else candidates, lambda t: F.contains(x, t)))
 
 
+def sent(df: DataFrame, n: int | None = None, most: int | None = None) -> DataFrame:
+    """A side of a join that is sent to all tasks if it has been counted and has few rows, and else is not.
+
+    Spark takes sizes from compressed files and blocks, and so would send, by way of the driver, tables of a million short names.
+    """
+    return F.broadcast(df) if (df.count() if n is None else n) <= (SENT if most is None else most) else df.hint("merge")
+
+
 def index_table(lexicon: DataFrame, term: str = "term", q: int = Q) -> DataFrame:
     """(gram, term): each distinct term that isn't empty under the gram of its own that fewest terms share (ties: the least), or under itself if it's short."""
     terms = lexicon.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
     inner = grams(F.col("term"), q, inner=True)
     each = terms.select("term", F.explode(F.when(F.length("term") < q, F.array("term")).when(F.size(inner) > 0, inner).otherwise(grams(F.col("term"), q))).alias("gram"))
     # a gram's terms are counted first and joined back, so that no gram's terms come to one task as a whole
-    counts = each.groupBy("gram").agg(F.count("*").alias("n"))
-    return each.join(counts, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).select("gram", "term")
+    counts = S.kept(each.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
+    return each.join(sent(counts), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).select("gram", "term")
+
+
+def _led(df: DataFrame, columns: list[str], column: str, lexicon: DataFrame, term: str, q: int, most: int) -> DataFrame:
+    """(columns, term): for each text the terms that its grams lead to, each once, since a term is entered under one gram."""
+    index = index_table(lexicon, term, q)
+    about = index.agg(F.count("*").alias("n"), F.collect_set(F.length("gram")).alias("lengths"), F.coalesce(F.bool_or(F.contains("gram", F.lit(" "))), F.lit(False)).alias("spaced")).first()
+    index = sent(index, about["n"], most)
+    # only grams of the kinds that the index has
+    kinds = [grams(F.col(column), n, inner=n == q and not about["spaced"]) for n in sorted(about["lengths"])] or [F.array().cast("array<string>")]
+    return df.select(*columns, F.explode(F.flatten(F.array(*kinds))).alias("gram")).join(index, "gram").drop("gram")
+
+
+def join_pairs(df: DataFrame, key: str, column: str, lexicon: DataFrame, term: str = "term", q: int = Q, most: int = SENT) -> DataFrame:
+    """(key, term) of each term that a short text contains. The text goes with each candidate, so that no text's or term's candidates come together."""
+    return _led(df, list(dict.fromkeys((key, column))), column, lexicon, term, q, most).where(F.contains(column, "term")).select(key, "term")
 
 
-def join_terms(df: DataFrame, key: str, column: str, lexicon: DataFrame, term: str = "term", q: int = Q, most: int = 1 << 20, also: tuple[str, ...] = ()) -> DataFrame:
+def join_terms(df: DataFrame, key: str, column: str, lexicon: DataFrame, term: str = "term", q: int = Q, most: int = SENT, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, also, terms): for each text of ``column`` the array of terms that it contains, sorted; texts without any are left out.
 
     ``key`` tells rows apart. Texts' distinct grams are joined with the index,
@@ -85,13 +111,6 @@ def join_terms(df: DataFrame, key: str, column: str, lexicon: DataFrame, term: s
     Candidates are gathered by text (never more than the lexicon has), and only
     texts that have some are verified. A null text has no terms.
     """
-    index = index_table(lexicon, term, q)
-    about = index.agg(F.count("*").alias("n"), F.collect_set(F.length("gram")).alias("lengths"), F.coalesce(F.bool_or(F.contains("gram", F.lit(" "))), F.lit(False)).alias("spaced")).first()
-    if about["n"] <= most:
-        index = F.broadcast(index)
-    # only grams of the kinds that the index has
-    kinds = [grams(F.col(column), n, inner=n == q and not about["spaced"]) for n in sorted(about["lengths"])] or [F.array().cast("array<string>")]
-    every = F.flatten(F.array(*kinds))
-    led = df.select(key, F.explode(every).alias("gram")).join(index, "gram").groupBy(key).agg(F.collect_set("term").alias("_terms"))
+    led = _led(df, [key], column, lexicon, term, q, most).groupBy(key).agg(F.collect_set("term").alias("_terms"))
     checked = df.select(key, column, *(c for c in also if c != column)).join(led, key).select(key, *also, text.bind(F.col(column), lambda x: F.array_sort(F.filter("_terms", lambda t: F.contains(x, t)))).alias("terms"))
     return checked.where(F.size("terms") > 0)
