@@ -403,7 +403,7 @@ def m16(spark, sf):
 
 @query("m06_kmeans_clusters", None)
 def m06(spark, sf):
-    return T.by_kmeans(docs(spark, sf), "doc_id", "text", T.Config(min_size=100))
+    return T.by_kmeans(spread_docs(spark, sf), "doc_id", "text", T.Config(min_size=100))
 
 
 REFINE = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '' END AS final_label, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'N3' END AS topic_final, 'covered' AS coverage, CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE '' END AS candidate_label, CAST((doc_id % 10) / 10.0 AS STRING) AS cluster_confidence, CAST(doc_id % 40 AS STRING) AS cluster_size, 'DUR_1' AS cluster,

@@ -98,3 +98,34 @@ def test_terms_of_a_lexicon_table_are_found_within_rows(spark):
     _, rows = shuffled(spark, lambda: L.table_hits(d, "k", single).collect())
     # the lexicon alone is shuffled; the texts' q-grams are more than 10,000 rows
     assert rows < 1_000
+
+
+def test_bound_truths_need_no_large_broadcast_and_one_row_for_a_set_of_words(spark):
+    from quillgrid.sources import discovery as Y
+    from quillgrid.sources import tables as S
+
+    truths = [f"{a}_{b}.xlsx" for a in ("red", "blue", "old") for b in ("ring", "gear")] + ["red_gear_10x.xlsx"]
+    names = [f"red-gear-{k}.xlsx" for k in range(300)] + [f"x{k}.xlsx" for k in range(50)] + ["a_red_ring.xlsx", "red.xlsx", "blue_gear.xlsx"]
+    frame = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    got = [{r["name"]: (r["truth"], r["how"]) for r in Y.bind(frame(names), frame(truths), most=most).collect()} for most in (Y.qgrams.SENT, 0)]
+    assert got[0] == got[1] == {n: S.bind_truth(n, sorted(truths)) for n in names}
+    assert Y.qgrams.SENT <= 1 << 16
+    _, rows = shuffled(spark, lambda: Y.bind(frame(names), frame(truths)).collect())
+    # pairs of a name and a truth with a word in common are more than 1,500 rows a step
+    assert rows < 20_000
+
+
+def test_kmeans_counts_terms_once_and_keeps_those_of_the_vocabulary(spark):
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.sql import functions as F
+
+    from quillgrid.operators import topics as T
+
+    texts = [t + (" red ring old" if i % 2 else " blue gear new") for i, t in enumerate(prose(60, 40, vocabulary=30))] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(4)
+    got = T.corpus_terms(df, "t", 10_000, 0.95 * len(texts))
+    fitted = CountVectorizer(inputCol="x", maxDF=0.95).fit(df.select(F.transform(T.terms("t"), lambda x: x["term"]).alias("x")))
+    assert set(got) == set(fitted.vocabulary)
+    buckets = {r["k"]: r["bucket"] for r in T.by_kmeans(df, "k", "t", T.Config(min_size=31)).collect()}
+    assert set(buckets) == set(range(62)) and len(set(buckets.values())) == 2
+    assert T.by_kmeans(df.where("k >= 60"), "k", "t", T.Config(min_size=1)).count() == 2
