@@ -1,17 +1,21 @@
-"""The main text of web pages, by their markup and by differencing pages of neighbouring URLs.
+"""The main text of web pages, by differencing pages of neighbouring URLs and by their markup.
 
-A page is cut into *lines*: the text between the borders of block elements. What
-a page's own markup settles is taken from it: lines of menus, headers, footers,
+A page is cut into *lines*: the text between the borders of block elements. All
+pages of a host are sorted by URL path, each is paired with its nearest
+neighbour, all lines of the two are aligned by a longest common subsequence, and
+what they share - the template - goes.
+
+The markup checks what differencing leaves. Lines of menus, headers, footers,
 sidebars, forms, adverts, notices and reader comments (by element, role, or a word
-of the class or id) go, and a declared main region (an article, else ``main``)
-stays. Lines of a page that declares no main region are *open*, and are settled
-by differencing: pages of a host are sorted by URL path, each is paired with its
-nearest neighbour, the lines of the two are aligned by a longest common
-subsequence, and what they share - the template - goes.
+of the class or id) go, shared or not, and so do those around a declared main
+region (an article, else ``main``, else a block named so). A line of a declared
+article is the article's own however often it is repeated, so it is no template,
+neither here nor in the neighbour.
 
 Shared lines say nothing if both pages have one article, so copies (equal
 outlines) count as one page before pages are paired, and of its two neighbours a
-page takes the nearer one that it doesn't share the larger part of its text with.
+page takes the nearer one that it doesn't share the larger part of its text with,
+as far as markup leaves that text.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,7 +187,7 @@ def lines(page: str) -> tuple[list[str], list[int]]:
 
 
 def _settle(out: list[tuple[str, int, bool]]) -> list[int]:
-    """KEPT, OPEN or DROPPED of each line: those of the surest main region stay; without one, rows of three links or more go and the rest is open."""
+    """KEPT, OPEN or DROPPED of each line: those around the surest main region go; in it, an article's are its own and others open; without one, rows of three links or more go and the rest is open."""
     size = [0, 0, 0, 0]
     for text, sure, _ in out:
         if sure >= 0:
@@ -191,7 +196,8 @@ def _settle(out: list[tuple[str, int, bool]]) -> list[int]:
     if not best and 2 * size[_NAMED] >= sum(size) > 0:
         best = _NAMED
     if best:
-        return [KEPT if sure == best else DROPPED for _, sure, _ in out]
+        inside = KEPT if best == _ARTICLE else OPEN
+        return [inside if sure == best else DROPPED for _, sure, _ in out]
     verdicts = [DROPPED if sure < 0 else OPEN for _, sure, _ in out]
     k = 0
     while k < len(out):
@@ -220,23 +226,23 @@ def _common(a: list[int], b: list[int]) -> list[int]:
     return [0, *np.cumsum(bits, dtype=np.int64).tolist()]
 
 
-def shared(a: list[int], b: list[int]) -> list[int]:
-    """Places of ``a`` on a longest common subsequence of ``a`` and ``b``, in memory that is linear in both (divide and conquer)."""
-    found: list[int] = []
+def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The places in ``a`` and ``b`` of a longest common subsequence, in memory that is linear in both (divide and conquer)."""
+    found: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
         i, j, k, m = work.pop()
         while i < j and k < m and a[i] == b[k]:
-            found.append(i)
+            found.append((i, k))
             i, k = i + 1, k + 1
         while i < j and k < m and a[j - 1] == b[m - 1]:
-            found.append(j - 1)
             j, m = j - 1, m - 1
+            found.append((j, m))
         if i == j or k == m:
             continue
         if j - i == 1:
             if a[i] in b[k:m]:
-                found.append(i)
+                found.append((i, b.index(a[i], k, m)))
             continue
         mid = (i + j) // 2
         head, tail = _common(a[i:mid], b[k:m]), _common(a[mid:j][::-1], b[k:m][::-1])
@@ -246,9 +252,15 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return sorted(found)
 
 
+def shared(a: list[int], b: list[int]) -> list[int]:
+    """Places of ``a`` on a longest common subsequence of ``a`` and ``b``."""
+    return [i for i, _ in aligned(a, b)]
+
+
 # --- on Spark ---
 
-_LINED = "text string, texts array<string>, host string, path string, outline binary, hashes array<long>, sizes array<int>, open array<int>"
+_OUTLINED = "host string, path string, outline binary, hashes array<long>, sizes array<int>, verdicts array<tinyint>"
+_LINED = "host string, outline binary, verdicts array<tinyint>, lines binary"
 
 
 def _address(url: str | None) -> tuple[str, str]:
@@ -257,25 +269,50 @@ def _address(url: str | None) -> tuple[str, str]:
     return (m[1].rsplit("@", 1)[-1].lower(), m[2] or "/") if m else ("", url or "")
 
 
-def _fingerprints(texts: list[str]) -> tuple[list[int], bytes]:
-    whole = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-    return [int.from_bytes(d[:8], "little", signed=True) for d in whole], hashlib.blake2b(b"".join(whole), digest_size=16).digest()
+def _outline(texts: list[str], verdicts: list[int]) -> bytes:
+    """A digest of a page's lines and of what its markup says of each."""
+    marks = np.array(verdicts, np.int8).tobytes()
+    return hashlib.blake2b(len(marks).to_bytes(8, "little") + marks + "\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The text of each page that its own markup settles, or else all its lines; and its outline: hashes and sizes of the lines around the main region, and which are open."""
+def _hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _outlines(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The outline of each page: hashes of all its lines, what its markup says of them, and their sizes (0 if they go)."""
     for batch in batches:
-        rows: list[list] = [[] for _ in range(8)]
-        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        rows: list[list] = [[] for _ in schema]
+        for url, page in zip(batch.column("_url").to_pylist(), batch.column("_page").to_pylist()):
             texts, verdicts = lines(page or "")
-            # a page with open lines has no line of a main region, so all of its lines are in the outline
-            around = [(t, v) for t, v in zip(texts, verdicts) if v != KEPT]
-            open_ = [k for k, (_, v) in enumerate(around) if v == OPEN]
-            hashes, own = _fingerprints([t for t, _ in around])
-            text = None if open_ else "\n".join(t for t, v in zip(texts, verdicts) if v == KEPT)
-            for column, value in zip(rows, (text, texts if open_ else None, *_address(url), own, hashes, [len(t) for t, _ in around], open_)):
+            sizes = [0 if v == DROPPED else len(t) for t, v in zip(texts, verdicts)]
+            for column, value in zip(rows, (*_address(url), _outline(texts, verdicts), [_hash(t) for t in texts], sizes, verdicts)):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t.type) for c, t in zip(rows, list(schema)[1:])]], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, schema)], schema=schema)
+
+
+def _lined(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The lines of each page that its markup leaves, compressed, beside its row and outline."""
+    for batch in batches:
+        rows: list[list] = [[] for _ in range(4)]
+        for url, page in zip(batch.column("_url").to_pylist(), batch.column("_page").to_pylist()):
+            texts, verdicts = lines(page or "")
+            left = "\n".join(t for t, v in zip(texts, verdicts) if v != DROPPED)
+            for column, value in zip(rows, (_address(url)[0], _outline(texts, verdicts), verdicts, zlib.compress(left.encode("utf-8", "surrogatepass")))):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), *[pa.array(c, t.type) for c, t in zip(rows, list(schema)[1:])]], schema=schema)
+
+
+def _without(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Each page's text: the lines that its markup leaves, without its template."""
+    for batch in batches:
+        texts = []
+        for verdicts, packed, template in zip(*(batch.column(c).to_pylist() for c in ("verdicts", "lines", "template"))):
+            gone = set(template or ())
+            left = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            places = [k for k, v in enumerate(verdicts) if v != DROPPED]
+            texts.append("\n".join(t for k, t in zip(places, left) if k not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], schema=schema)
 
 
 def _prefix(a: str, b: str) -> int:
@@ -287,23 +324,23 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def _settled(row: dict, other: dict) -> list[int] | None:
-    """The open lines of ``row`` that ``other`` has too; None if the two share the larger part of either's text, as copies do."""
-    common = shared(row["hashes"], other["hashes"])
-    size = sum(row["sizes"][k] for k in common)
+def _template(row: dict, other: dict) -> list[int] | None:
+    """The lines of ``row`` that ``other`` has too, but those of a declared article in either; None if the two share the larger part of either's text, as copies do."""
+    pairs = aligned(row["hashes"], other["hashes"])
+    size = sum(row["sizes"][k] for k, _ in pairs)
     if 2 * size > min(sum(row["sizes"]), sum(other["sizes"])):
         return None
-    return sorted(set(common) & set(row["open"]))
+    return [k for k, j in pairs if KEPT not in (row["verdicts"][k], other["verdicts"][j])]
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The template lines of each open outline, from its neighbours in the order of host and path. Guests from other tasks are neighbours only."""
+    """The template of each outline that has one, from its neighbours in the order of host and path. Guests from other tasks are neighbours only."""
 
     def decide(row, before, after):
         near = [o for o in (before, after) if o and o["host"] == row["host"] and row["host"]]
         near.sort(key=lambda o: -_prefix(row["path"], o["path"]))
         for other in near:
-            found = _settled(row, other)
+            found = _template(row, other)
             if found is not None:
                 return found
         return []
@@ -331,23 +368,23 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for row, before, after in every():
-        if row["open"]:
-            held.append((row["host"], row["outline"], decide(row, before, after)))
+        if template := decide(row, before, after):
+            held.append((row["host"], row["outline"], template))
             if len(held) >= 2000:
                 yield batch()
     if held:
         yield batch()
 
 
-def templates(lined: DataFrame) -> DataFrame:
-    """(host, outline, template): places, among the lines around the main region, of the open lines that a page's nearest neighbour has too.
+def templates(outlined: DataFrame) -> DataFrame:
+    """(host, outline, template): places, among all lines of a page, of those that its nearest neighbour has too; pages without any have no row.
 
     Pages of one host with equal outlines are one row. Rows are sorted by ranges of host and
     path, which cut a hot host into many tasks; the last outline before a task's
     range and the first one after it are added as guests, so that neighbours are
     the same however the rows are dealt.
     """
-    one = lined.groupBy("host", "outline").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.first("open").alias("open"))
+    one = outlined.groupBy("host", "outline").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.first("verdicts").alias("verdicts"))
     dealt = one.repartitionByRange("host", "path", "outline").sortWithinPartitions("host", "path", "outline")
     dealt = storage.materialise(dealt.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "outlines")
     edges = dealt.groupBy("task").agg(F.min("at").alias("first"), F.max("at").alias("last"))
@@ -369,16 +406,19 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     have equal texts, an input column called text is replaced, and an empty table
     gives an empty one.
 
-    Only pages with open lines are joined with what differencing has found; the
-    join's other side has one row for an outline, so that a hot outline can be split.
+    Pages are parsed twice, once for their outlines and once for their lines, so that
+    the lines, compressed, are written to disk only by the join with the templates.
+    The join's other side has one row for an outline, so that a hot outline can be split.
     """
     kept = [c for c in pages.columns if c not in (page, "text")]
-    source = pages.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.col(url), F.col(page))
-    schema = T.StructType([source.schema["_row"], *T._parse_datatype_string(_LINED).fields])
-    arrow = to_arrow_schema(schema)
-    lined = storage.materialise(source.mapInArrow(lambda batches: _parsed(batches, arrow), schema), "page-lines")
-    gone = F.coalesce("template", F.array().cast("array<int>"))
-    stays = F.filter("open", lambda k: ~F.array_contains(gone, k))
-    rest = lined.where("text is null").select("_row", "host", "outline", "texts", "open").join(templates(lined.select("host", "path", "outline", "hashes", "sizes", "open")), ["host", "outline"], "left")
-    differenced = rest.select("_row", F.array_join(F.transform(stays, lambda k: F.element_at("texts", k + 1)), "\n").alias("text"))
-    return lined.where("text is not null").select("_row", "text").union(differenced).select("_row.*", "text")
+    source = pages.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.col(url).alias("_url"), F.col(page).alias("_page"))
+    row = source.schema["_row"]
+    outlined, lined, texts = T._parse_datatype_string(_OUTLINED), T.StructType([row, *T._parse_datatype_string(_LINED).fields]), T.StructType([row, T.StructField("text", T.StringType())])
+
+    def mapped(df: DataFrame, step, schema: T.StructType) -> DataFrame:
+        arrow = to_arrow_schema(schema)
+        return df.mapInArrow(lambda batches: step(batches, arrow), schema)
+
+    found = templates(mapped(source.select("_url", "_page"), _outlines, outlined))
+    joined = mapped(source, _lined, lined).join(found, ["host", "outline"], "left").select("_row", "verdicts", "lines", "template")
+    return mapped(joined, _without, texts).select("_row.*", "text")

@@ -85,6 +85,31 @@ def test_differencing(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_alignment_pairs():
+    a, b = [1, 2, 3, 4, 2, 5], [2, 9, 4, 2, 7, 5]
+    pairs = html_text.aligned(a, b)
+    assert len(pairs) == 4 and all(a[i] == b[j] for i, j in pairs)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def test_differencing_of_declared_regions(spark):
+    """Pages with a declared region are differenced too; a declared article's own lines stay, repeated or not."""
+    wide = "w" * 40
+    shapes = {"main": "<nav>N</nav><main>{}</main><p>Foot</p>", "named": "<nav>N</nav><div class=content>{}</div>", "article": "<nav>N</nav><article>{}</article><p>Foot</p>"}
+    rows = [(f"{kind} {i}", f"http://{kind}.org/{i}", shape.format(f"<p>Print this page</p><p>own {i} {wide}</p><p>Was it helpful?</p>")) for kind, shape in shapes.items() for i in range(6)]
+    # an article's line that stands in the open text of its neighbours is no template there either
+    rows += [(f"mixed {i}", f"http://mixed.org/{i}", f"<{t}><p>a line</p><p>own {i} {wide}</p></{t}>") for i, t in enumerate(("div", "article", "div"))]
+    # large menus that markup drops don't make two pages copies
+    rows += [(f"menu {i}", f"http://menu.org/{i}", f"<nav>{'<p>menu</p>' * 50}</nav><main><p>Print</p><p>own {i} {wide}</p></main>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)).collect()}
+    for i in range(6):
+        own = f"own {i} {wide}"
+        assert got[f"main {i}"] == got[f"named {i}"] == own
+        assert got[f"article {i}"] == f"Print this page\n{own}\nWas it helpful?"
+    assert [got[f"mixed {i}"] for i in range(3)] == [f"a line\nown {i} {wide}" for i in range(3)]
+    assert [got[f"menu {i}"] for i in range(3)] == [f"own {i} {wide}" for i in range(3)]
+
+
 @pytest.mark.skipif(not HAVE_DATA, reason="no test tables")
 def test_main_text_of_the_tables(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
