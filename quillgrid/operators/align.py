@@ -147,11 +147,24 @@ def side_by_side(frames: Mapping[str, DataFrame], order: str = ROW) -> DataFrame
     return out
 
 
-def by_title(left: DataFrame, right: DataFrame, *, title: str = "title", suffix: str = "_right") -> DataFrame:
-    """Left join by trimmed lower-case title; repeated titles on the right repeat the row."""
+def by_title(left: DataFrame, right: DataFrame, *, title: str = "title", suffix: str = "_right", deals: int = 16, most: int = 1 << 17) -> DataFrame:
+    """Left join by trimmed lower-case title; repeated titles on the right repeat the row.
+
+    The pairs of one title are the product of its rows, so they are dealt: its right rows
+    to ``deals`` groups, and its left rows, packed into arrays of about ``most``, to each of
+    them. A pair is unpacked last, left rows within a right one, so that the same
+    runs of left rows follow each other, which files store in little room.
+    """
     k = lambda df: df.withColumn("_key", F.lower(cells.text_of(title)))
-    r = k(right).select("_key", *(F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c != title))
-    return k(left).join(r, "_key", "left").drop("_key")
+    a, b = k(left), k(right)
+    row = F.struct(*(F.col(c) for c in left.columns))
+    packed = a.groupBy("_key", F.pmod(F.xxhash64(*left.columns), F.lit(left.count() // most + 1)).alias("_part")).agg(F.collect_list(row).alias("_rows"))
+    found = [F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c != title]
+    dealt = b.select("_key", F.pmod(F.xxhash64(*right.columns), F.lit(deals)).cast("int").alias("_deal"), F.struct("_key", *found).alias("_found"))
+    pairs = packed.select("_key", "_rows", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("_deal")).hint("merge").join(dealt, ["_key", "_deal"])
+    pairs = pairs.select(F.explode("_rows").alias("_row"), "_found").select("_row.*", "_found.*").drop("_key")
+    alone = a.join(b.select("_key").distinct(), "_key", "left_anti").select(*left.columns)
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def reused(base: DataFrame, other: DataFrame, value: str, *, title: str = "title", abstract: str = "abstract", order: str = ROW) -> DataFrame:

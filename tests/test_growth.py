@@ -129,3 +129,35 @@ def test_kmeans_counts_terms_once_and_keeps_those_of_the_vocabulary(spark):
     buckets = {r["k"]: r["bucket"] for r in T.by_kmeans(df, "k", "t", T.Config(min_size=31)).collect()}
     assert set(buckets) == set(range(62)) and len(set(buckets.values())) == 2
     assert T.by_kmeans(df.where("k >= 60"), "k", "t", T.Config(min_size=1)).count() == 2
+
+
+def test_pairs_of_one_title_are_dealt_in_runs(spark):
+    """A hot title's pairs are made by many tasks, a right row's pairs side by side; all pairs are there, and unmatched rows once."""
+    import collections
+
+    from pyspark.sql import functions as F
+
+    from quillgrid.operators import align as J
+
+    left = [(k, " Hot " if k % 2 else "HOT", k % 3) for k in range(300)] + [(300, None, 1), (301, "alone", 2), (301, "alone", 2), (302, "two", 0), (302, "two", 0)]
+    right = [(k, "hot") for k in range(200)] + [(200, ""), (201, "Two"), (201, "Two"), (202, "nobody's")]
+    a = spark.createDataFrame(left, "doc_id int, title string, n int").coalesce(1)
+    b = spark.createDataFrame(right, "doc_id int, title string").coalesce(1)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        for most in (1 << 17, 50):
+            found = J.by_title(a, b, most=most)
+            assert found.columns == ["doc_id", "title", "n", "doc_id_right"]
+            got = found.withColumn("task", F.spark_partition_id()).collect()
+            clean = lambda t: (t or "").strip().lower()
+            ids = collections.defaultdict(list)
+            for i, t in right:
+                ids[clean(t)].append(i)
+            assert collections.Counter(tuple(r)[:4] for r in got) == collections.Counter((*row, i) for row in left for i in ids.get(clean(row[1]), [None]))
+            hot = [(r.task, r.doc_id_right) for r in got if clean(r.title) == "hot"]
+            assert len({t for t, _ in hot}) > 1
+            assert sum(x != y for x, y in zip(hot, hot[1:])) <= 200 * (len(left) // most + 1)
+    finally:
+        spark.conf.set(setting, before)
