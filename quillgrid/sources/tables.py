@@ -23,9 +23,17 @@ POSITIONAL = ("title", "abstract", "is_target", "is_spatial", "spatial_level", "
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt to all cores if they come in fewer tasks than there are cores, as those of one small file do; else as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The rows dealt to all cores if they come in fewer tasks than there are cores, or if one task has far more than its share; else as they are.
+
+    A large file of few row groups comes in many tasks too, but only as many as it has
+    row groups get rows. Rows are counted without their columns, which for a table of files reads footers only.
+    """
+    cores, tasks = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if tasks >= cores:
+        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        if 2 * max(counts, default=0) * cores <= 3 * sum(counts):
+            return df
+    return df.repartition(max(cores, tasks))
 
 
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:

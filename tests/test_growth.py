@@ -161,3 +161,30 @@ def test_pairs_of_one_title_are_dealt_in_runs(spark):
             assert sum(x != y for x, y in zip(hot, hot[1:])) <= 200 * (len(left) // most + 1)
     finally:
         spark.conf.set(setting, before)
+
+
+def test_a_file_of_few_row_groups_is_dealt_to_all_cores(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quillgrid.sources import tables as S
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = 4000
+    table = pa.table({"doc_id": list(range(rows)), "text": [f"{k} " * 50 for k in range(rows)]})
+    most = lambda df: max(df.rdd.glom().map(len).collect())
+    settings = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for name, size in (("one", rows), ("many", rows // 40)):
+            pq.write_table(table, tmp_path / name, row_group_size=size, compression="none")
+            df = spark.read.parquet(str(tmp_path / name))
+            assert df.rdd.getNumPartitions() >= cores
+            found = S.spread(df)
+            assert most(found) <= 2 * rows // cores and found.count() == rows and found.distinct().count() == rows
+            assert (found is df) == (name == "many")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
