@@ -6,9 +6,10 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,11 @@ OPTIONAL = RECORD[2:]
 POSITIONAL = ("title", "abstract", "is_target", "is_spatial", "spatial_level", "spatial_desc")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a task: how many rows it has."""
+    yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in batches)], pa.int64())})
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt to all cores if they come in fewer tasks than there are cores, or if one task has far more than its share; else as they are.
 
@@ -30,7 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores, tasks = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
     if tasks >= cores:
-        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        counts = [r["n"] for r in df.select(F.lit(1).alias("n")).mapInArrow(_counted, "n bigint").collect()]
         if 2 * max(counts, default=0) * cores <= 3 * sum(counts):
             return df
     return df.repartition(max(cores, tasks))
