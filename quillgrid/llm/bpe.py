@@ -100,10 +100,18 @@ class Pieces:
     """A bounded table from a pre-token to what ``encode`` gives for it.
 
     A pre-token is found by its 64-bit hash; the table keeps the bytes of its
-    entries, and a hit counts only where they are the same.
+    entries, and a hit counts only where they are the same. When it is full,
+    entries that no chunk has found again go; most pre-tokens of a large
+    collection stand in it once or twice. ``encode`` gets at most ``AT_ONCE``
+    pre-tokens in a call, as what a library returns for each is far larger than
+    the ids in it.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], bits: int = 21, most: int = 1_500_000, ids: bool = True):
+    AT_ONCE = 4096
+    #: Bytes of spellings beyond which a table is full, however few its entries.
+    MOST_SPELT = 1 << 24
+
+    def __init__(self, encode: Callable[[list[bytes]], list], bits: int = 20, most: int = 400_000, ids: bool = True):
         self.encode, self.mask, self.most, self.ids = encode, _U(2**bits - 1), most, ids
         self.clear()
 
@@ -113,30 +121,49 @@ class Pieces:
         self.n, self.used, self.spelt = 0, 0, 0
         self.length, self.place = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
         self.size, self.spell_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.hot = np.zeros(1 << 16, bool)  # which entries a chunk has found in the table
         self.pool, self.spelling = np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint8)
 
+    def _make_room(self) -> None:
+        """Keep the hot entries, at most half of what the table may hold."""
+        kept = np.flatnonzero(self.hot[: self.n])[-(self.most // 2) :]
+        lengths, sizes, at = self.length[kept], self.size[kept], self.spell_at[kept]
+        if not len(kept) or sizes.sum() > self.MOST_SPELT // 2:
+            return self.clear()
+        hashes = arrays.span_hashes(self.spelling, at, at + sizes) | _U(1)
+        body = self.spelling[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        ids = self.all_ids(kept) if self.ids else None
+        self.clear()
+        self._file(hashes, self._put(lengths, ids, sizes, body))
+
     def _add(self, raw: list[bytes]) -> np.ndarray:
         """Entries for these pre-tokens; where to find them is the caller's concern."""
-        found = self.encode(raw)
-        lengths = np.array([len(x) for x in found] if self.ids else found, np.int32)
-        while self.n + len(found) > len(self.length):
-            self.length, self.place, self.size, self.spell_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.place, self.size, self.spell_at))
-        new = np.arange(self.n, self.n + len(found), dtype=np.int32)
+        new = []
+        for k in range(0, len(raw), self.AT_ONCE):
+            some = raw[k : k + self.AT_ONCE]
+            found = self.encode(some)
+            lengths = np.array([len(x) for x in found] if self.ids else found, np.int32)
+            ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())) if self.ids else None
+            new.append(self._put(lengths, ids, np.array([len(x) for x in some], np.int64), np.frombuffer(b"".join(some), np.uint8)))
+        return np.concatenate(new)
+
+    def _put(self, lengths: np.ndarray, ids: np.ndarray | None, sizes: np.ndarray, body: np.ndarray) -> np.ndarray:
+        while self.n + len(lengths) > len(self.length):
+            self.length, self.place, self.size, self.spell_at, self.hot = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.place, self.size, self.spell_at, self.hot))
+        new = np.arange(self.n, self.n + len(lengths), dtype=np.int32)
         self.length[new] = lengths
-        if self.ids:
-            total = int(lengths.sum())
-            while self.used + total > len(self.pool):
+        if ids is not None:
+            while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.pool[self.used : self.used + len(ids)] = ids
             self.place[new] = self.used + np.cumsum(lengths) - lengths
-            self.used += total
-        sizes, body = np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+            self.used += len(ids)
         while self.spelt + len(body) + 8 > len(self.spelling):
             self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
         self.spelling[self.spelt : self.spelt + len(body)] = body
         self.size[new], self.spell_at[new] = sizes, self.spelt + np.cumsum(sizes) - sizes
         self.spelt += len(body)
-        self.n += len(found)
+        self.n += len(lengths)
         return new
 
     def _file(self, hashes: np.ndarray, new: np.ndarray) -> None:
@@ -148,8 +175,8 @@ class Pieces:
 
     def look(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each pre-token; valid until the next call."""
-        if self.n > self.most or self.spelt > 1 << 27:
-            self.clear()
+        if self.n > self.most or self.spelt > self.MOST_SPELT:
+            self._make_room()
         h = arrays.span_hashes(data, starts, ends) | _U(1)
         first = (h & self.mask).astype(np.int64)
         out = self.entry[first]
@@ -158,6 +185,9 @@ class Pieces:
             second = ((h[miss] >> _U(32)) & self.mask).astype(np.int64)
             out[miss] = self.entry[second]
             miss = miss[self.keys[second] != h[miss]]
+        found = np.ones(len(out), bool)
+        found[miss] = False
+        self.hot[out[found]] = True
         raw = None
         if len(miss):
             new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -310,7 +340,7 @@ def _counter(path: str) -> tuple[Merges, Pieces]:
     key = ("count", path)
     if key not in _tables:
         m = Merges(path)
-        _tables[key] = (m, Pieces(lambda pieces: [m.count(p) for p in pieces], ids=False))
+        _tables[key] = (m, Pieces(lambda pieces: [m.count(p) for p in pieces], 21, 1_500_000, ids=False))
     return _tables[key]
 
 

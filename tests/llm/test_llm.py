@@ -614,6 +614,26 @@ def test_words_that_weak_hashes_confuse(spark, monkeypatch):
     assert len({r.class_id for r in near_dup.near_duplicates(frame(spark, [a, b])).collect()}) == 2
 
 
+def test_a_workers_table_of_ids_stays_small_and_keeps_frequent_pretokens():
+    asked, calls = Counter(), []
+
+    def encode(pieces):
+        calls.append(len(pieces))
+        asked.update(p for p in pieces if len(p) < 5)
+        return [[int(p), len(p)] for p in pieces]
+
+    table = bpe.Pieces(encode)
+    for k in range(12):
+        own = [*range(1000), *range(100_000 * (k + 1), 100_000 * (k + 2)), *range(1000)]  # frequent ones and such as never come again
+        body = [b" %d" % i for i in own]
+        ends = np.cumsum([len(x) for x in body])
+        entries = table.look(np.frombuffer(b"".join(body), np.uint8), np.append(0, ends[:-1]), ends)
+        assert np.array_equal(table.all_ids(entries).reshape(-1, 2), np.array([own, [len(x) for x in body]]).T)
+        assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) < 50e6
+    assert max(calls) <= 4096  # what the library returns for each is large
+    assert len(asked) == 1000 and sum(asked.values()) < 2000  # a table that forgets all when it is full asks for each of them again and again
+
+
 def test_fits_take_one_row_an_id(spark):
     docs, labels, _ = quality_frame(spark, 120)
     twice = docs.union(docs).union(docs.where("doc_id % 2 = 0"))
